@@ -1,3 +1,3 @@
 """Query plans bound to the driver tables; importing registers them."""
-from . import q_bias, q_serving, q_text  # noqa: F401
+from . import q_bias, q_serving, q_similarity, q_text  # noqa: F401
 from .registry import REGISTRY  # noqa: F401

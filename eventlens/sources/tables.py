@@ -145,7 +145,7 @@ class TestTables:
     def vectors(self) -> DataFrame:
         """Clustering input: linked articles with their embedding (id, source_id, ts, vec)."""
         e = self.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-        a = self.articles.select("id", "source_id", "headline", "published_at", "created_at")
+        a = self.articles.select("id", "source_id", "headline", "description", "published_at", "created_at")
         return a.join(e, "id")
 
     def as_of(self) -> Column:
