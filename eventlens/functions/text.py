@@ -28,9 +28,14 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same set as literal characters (for btrim).
+WS_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                                     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
 def strip(c) -> Column:
-    """Python ``str.strip()``."""
-    return F.regexp_replace(_c(c), STRIP_RE, "")
+    """Python ``str.strip()``: trim the white-space set at both ends (no regex)."""
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def arabic_normalize_v1(c) -> Column:
