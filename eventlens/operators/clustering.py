@@ -27,9 +27,9 @@ few joins and aggregations:
   3. eligibility (window, source) and cosine to the prefix sum; best label
      by (cosine desc, first member asc); join when cosine > θ.
 
-Each round's labels are cut from the lineage with a reliable
-``checkpoint()`` (the shared ``spark.checkpoint.dir``), so a lost executor
-recomputes one round, not the whole iteration.
+Each round's labels are written as a table in the shared checkpoint folder
+(``spark.checkpoint.dir``) and read back, so the lineage never grows and a
+lost executor recomputes at most one round.
 """
 from __future__ import annotations
 
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as fx
 from ..functions.dates import parse_ntz
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from .similarity import _unit_matrix, blocked_join, epoch_us, has_content, to_double
 
 HOUR_US = 3_600_000_000
@@ -154,33 +154,34 @@ def cluster_labels(points: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD
     article's inputs are unchanged, so its value is already final for this labelling."""
     if not 0 < threshold < 1:
         raise ValueError("threshold must be in (0, 1) for the exact candidate bound")
-    spark = points.sparkSession
-    ensure_checkpoint_dir(spark)
-    pts = points.checkpoint()
+    pts = materialize(points, "c4-points")
     n_sources = pts.agg(F.count_distinct("src")).first()[0] or 1
     if pairs is None:
         pairs = candidate_pairs(pts, threshold, window_hours, n_sources, block_rows)
-    pairs = pairs.checkpoint()
+    pairs = materialize(pairs, "c4-pairs")
     window_us = int(window_hours * HOUR_US)
-    labels = pts.select("id", F.col("id").alias("label"), F.lit(1.0).alias("score")).checkpoint()
+    labels = pts.select("id", F.col("id").alias("label"), F.lit(1.0).alias("score"))
     # Articles without partners never join anything: only the others are evaluated.
-    active = pairs.select(F.col("a").alias("id")).distinct().checkpoint()
+    active = pairs.select(F.col("a").alias("id")).distinct()
     rounds = 0
     while rounds < max_rounds:
         rounds += 1
-        upd = _round(labels, pts, pairs, active, threshold, window_us).checkpoint()
-        old = labels.select("id", F.col("label").alias("old"))
-        delta = upd.join(old, "id").filter(F.col("label") != F.col("old")).checkpoint()
-        labels = labels.join(upd.select("id"), "id", "left_anti").unionByName(upd).checkpoint()
-        if delta.isEmpty():
+        upd = _round(labels, pts, pairs, active, threshold, window_us)
+        upd = materialize(upd.join(labels.select("id", F.col("label").alias("old")), "id"), "c4-round")
+        delta = upd.filter(F.col("label") != F.col("old"))
+        done = delta.isEmpty()
+        # scores can move while labels stay: always take the round's values
+        labels = materialize(labels.join(upd.select("id"), "id", "left_anti")
+                             .unionByName(upd.drop("old")), "c4-labels")
+        if done:
             if stats is not None:
                 stats["rounds"] = rounds
             return labels
         touched = delta.select(F.col("old").alias("L")).unionByName(delta.select(F.col("label").alias("L"))) \
             .distinct()
         lab_m = labels.select(F.col("id").alias("m"), F.col("label").alias("L"))
-        active = pairs.select("a", "m").join(lab_m, "m").join(touched, "L", "left_semi") \
-            .select(F.col("a").alias("id")).distinct().checkpoint()
+        active = materialize(pairs.select("a", "m").join(lab_m, "m").join(touched, "L", "left_semi")
+                             .select(F.col("a").alias("id")).distinct(), "c4-active")
     raise NotConverged(f"event clustering did not converge in {max_rounds} rounds")
 
 
