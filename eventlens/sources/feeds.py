@@ -23,8 +23,8 @@ ITEM_RE = r"(?s)<item\b.*?</item>"
 
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) per landed file."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", "*.xml").text(path) \
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml") \
+        .text(path, wholetext=True) \
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
