@@ -283,3 +283,48 @@ def cluster_summaries(page_clusters: DataFrame, links: DataFrame, articles: Data
         .join(loc, "cluster_id", "left")
     return out.withColumn("country_city", F.coalesce("country_city", F.lit(""))) \
         .withColumnRenamed("cluster_id", "id")
+
+
+# ---------------------------------------------------------------------------
+# Lookups and page compositions
+# ---------------------------------------------------------------------------
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """B-1: the row with ``key == value`` (the lowest id when several match)."""
+    out = df.filter(F.col(key) == F.lit(value))
+    return out.orderBy("id").limit(1) if "id" in df.columns else out.limit(1)
+
+
+def distinct_topics(entities: DataFrame) -> DataFrame:
+    """F-10 (intended): topics present in the entity table."""
+    return entities.filter(F.col("category").isNotNull()).select("category").distinct()
+
+
+def set_union(a, b) -> Column:
+    """H-9: union of two string lists (order of first appearance, no duplicates)."""
+    return F.array_union(F.coalesce(a, F.array().cast("array<string>")),
+                         F.coalesce(b, F.array().cast("array<string>")))
+
+
+def topic_sidebar(clusters: DataFrame, links: DataFrame, entities: DataFrame, topic: str = "security",
+                  k: int = 5, topic_map: dict | None = None) -> DataFrame:
+    """G-6: newest ``k`` clusters of one topic."""
+    return page(filter_clusters(clusters, links, entities, category=topic, topic_map=topic_map), k, 0)
+
+
+def homepage(clusters: DataFrame, links: DataFrame, articles: DataFrame, sources: DataFrame,
+             entities: DataFrame, as_of: Column, page_no: int = 1, per_page: int = 100) -> dict:
+    """J-2: the homepage's parts as DataFrames (page, totals, page list, cities, sidebar, trending)."""
+    from ..functions.dates import page_numbers
+    from .trending import refresh_trending, trending_topk
+    total = clusters.agg(F.count(F.lit(1)).alias("total"))
+    pages = total.select(F.lit(page_no).alias("page"), "total",
+                         page_numbers(F.lit(page_no), F.col("total"), F.lit(per_page)).alias("page_numbers"))
+    pg = page(clusters, per_page, (page_no - 1) * per_page)
+    refreshed = refresh_trending(clusters, links, articles, as_of)
+    return {
+        "clusters": cluster_summaries(pg, links, articles, sources, entities),
+        "pages": pages,
+        "cities": distinct_values(entities, "cities", "city"),
+        "sidebar": topic_sidebar(clusters, links, entities),
+        "trending": trending_topk(refreshed, as_of, 5),
+    }

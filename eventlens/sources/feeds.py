@@ -72,7 +72,11 @@ def feed_key(path: Column) -> Column:
 def feed_registry(spark: SparkSession, feeds: list[tuple[str, str]],
                   international: list[str] = fx.INTERNATIONAL_SOURCES) -> DataFrame:
     """A-2: (feed_key, source, category) — 'international' when the source is listed."""
-    df = spark.createDataFrame(feeds, "feed_key string, source string")
+    return registry_from(spark.createDataFrame(feeds, "feed_key string, source string"), international)
+
+
+def registry_from(df: DataFrame, international: list[str] = fx.INTERNATIONAL_SOURCES) -> DataFrame:
+    """A-2 over a (feed_key, source) DataFrame."""
     intl = F.array(*[F.lit(u) for u in international])
     return df.withColumn("category", F.when(F.array_contains(intl, F.col("source")), "international")
                          .otherwise("local"))

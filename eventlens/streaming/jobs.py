@@ -26,10 +26,10 @@ from ..operators.relevance import Lexicon
 from ..sources.feeds import items_from_text, parse_items
 
 
-def feed_file_stream(spark: SparkSession, path: str) -> DataFrame:
+def feed_file_stream(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
     """Streaming (path, text) per newly landed file."""
     return spark.readStream.format("text").option("wholetext", True) \
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(path) \
+        .option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path) \
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
