@@ -16,29 +16,27 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def dense_ids(df: DataFrame, start: Column | int = 0, col: str = "id") -> DataFrame:
-    """Dense ids start+1, start+2, … without a global sort or a single-task window.
-
-    Rows are numbered inside their partition (``monotonically_increasing_id`` keeps the
-    partition index in its upper bits); the per-partition counts (one row per
-    partition) give each partition its offset.  Call on a checkpointed / written
-    input so the partitioning is stable under retries."""
-    start = F.lit(start) if isinstance(start, int) else start
-    x = df.withColumn("_mono", F.monotonically_increasing_id()) \
-        .withColumn("_pid", F.shiftright("_mono", 33))
-    counts = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+def next_ids(new_rows: DataFrame, existing: DataFrame, order_cols: list[str], col: str = "id",
+             partitions: int | None = None) -> DataFrame:
+    """Ids max(existing.id)+1, +2, … dense and in ``order_cols`` order (unique per row).
+
+    No single-task window: rows are range-partitioned on the order key and numbered
+    inside their partition; that numbering is written once to the shared checkpoint
+    folder, and the per-partition offsets are computed from the written copy, so the
+    offsets and the rows always come from the same data (no recomputation can
+    disagree with itself)."""
+    from ..session import materialize
+
+    base = F.coalesce(existing.agg(F.max(col)).scalar().cast("long"), F.lit(0).cast("long"))
+    n = partitions or int(new_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = new_rows.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+    ranged = ranged.withColumn("_pos", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
+    fixed = materialize(ranged, "ids")
+    counts = fixed.groupBy("_pid").agg(F.max("_pos").alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offs = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return x.join(F.broadcast(offs), "_pid") \
-        .withColumn(col, start + F.col("_off") + (F.col("_mono") - F.shiftleft("_pid", 33)) + 1) \
-        .drop("_mono", "_pid", "_off")
-
-
-def next_ids(new_rows: DataFrame, existing: DataFrame, order_cols: list[str], col: str = "id") -> DataFrame:
-    """Ids continuing after max(existing.id) in ``order_cols`` order (small change tables)."""
-    base = F.coalesce(existing.agg(F.max(col)).scalar(), F.lit(0))
-    w = Window.orderBy(*order_cols)
-    return new_rows.withColumn(col, (base + F.row_number().over(w)).cast("long"))
+    return fixed.join(F.broadcast(offs), "_pid") \
+        .withColumn(col, (base + F.col("_off") + F.col("_pos")).cast("long")).drop("_pid", "_pos", "_off")
 
 
 # ---------------------------------------------------------------------------

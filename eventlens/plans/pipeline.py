@@ -51,8 +51,7 @@ def ingest(parsed: DataFrame, registry: DataFrame, sources: DataFrame, articles:
     x = x.join(first, "content_hash").filter(F.struct("path", "item_no") == F.col("_k")).drop("_k")
     existing = articles.select("content_hash").where(F.col("content_hash").isNotNull())
     new = x.join(existing, "content_hash", "left_anti")
-    start = F.coalesce(articles.agg(F.max("id")).scalar(), F.lit(0))
-    new = upserts.dense_ids(new, start)
+    new = upserts.next_ids(new, articles, ["content_hash"])  # ids in hash order (deterministic)
     new = new.select("id", "source_id", "headline", "description", "published_at",
                      as_of.alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"),
                      "article_url", "image_url", "category", "content_hash")
