@@ -114,3 +114,28 @@ def page_numbers(page, total, per_page) -> Column:
     end = F.least(pages + 1, _c(page) + 3)
     return F.when(end - 1 >= start, F.sequence(start.cast("long"), (end - 1).cast("long"))) \
         .otherwise(F.array().cast("array<bigint>"))
+
+
+# ---------------------------------------------------------------------------
+# E-8 zone operations (NTZ values are application-zone wall clock)
+# ---------------------------------------------------------------------------
+def to_app_zone(ts, app_tz: str = fx.APP_TIMEZONE, naive_is_app: bool = True) -> Column:
+    """E-8 to_app_timezone: an instant (TIMESTAMP) → app wall clock; an NTZ value is
+    already app wall clock and is returned unchanged."""
+    c = _c(ts)
+    return F.convert_timezone(None, F.lit(app_tz), c.cast("timestamp_ntz"))
+
+
+def app_to_utc(ntz, app_tz: str = fx.APP_TIMEZONE) -> Column:
+    """E-8 to_utc: app wall clock (NTZ) → UTC wall clock (NTZ)."""
+    return F.convert_timezone(F.lit(app_tz), F.lit("UTC"), _c(ntz))
+
+
+def format_ts(ts, fmt: str = STORE_FMT) -> Column:
+    """E-8 format_datetime."""
+    return F.date_format(_c(ts), fmt)
+
+
+def app_now(app_tz: str = fx.APP_TIMEZONE) -> Column:
+    """E-8 now(): the current instant as app wall clock (use a fixed ``as_of`` in jobs)."""
+    return F.convert_timezone(None, F.lit(app_tz), F.current_timestamp().cast("timestamp_ntz"))
