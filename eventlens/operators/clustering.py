@@ -37,7 +37,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed_values as fx
 from ..functions.dates import parse_ntz
@@ -94,48 +93,89 @@ def candidate_pairs(points: DataFrame, threshold: float, window_hours: float, n_
                         "a long, m long, cos double", block_rows)
 
 
-@F.pandas_udf(T.DoubleType())
-def _prefix_cosine(avec: pd.Series, mids: pd.Series, mvecs: pd.Series) -> pd.Series:
-    """cos(a, Σ members) per row; members are summed in id order so the float sum is
-    the same on every run and every retry."""
-    out = np.empty(len(avec))
-    for i, (a, ids, vs) in enumerate(zip(avec, mids, mvecs)):
-        order = np.argsort(np.asarray(ids), kind="stable")
-        s = np.zeros(len(a))
-        for k in order:
-            s += vs[k]
-        av = np.asarray(a, dtype=np.float64)
-        d = np.linalg.norm(av) * np.linalg.norm(s)
-        out[i] = float(av @ s / d) if d > 0 else np.nan
-    return pd.Series(out)
+EVAL_SCHEMA = "a long, L long, cos double, ok boolean, first_t long, first_id long"
+
+
+def _eval_label(window_us: int):
+    """Per cogroup task (a bucket of labels, one chunk): for every query article a and
+    candidate label L, the prefix state of L before a and the cosine of a to it.
+    Members are summed in (time, id) order, vectorised per label."""
+
+    def one(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame | None:
+        m = m.sort_values(["mt", "mid"], kind="stable")
+        mt, mid = m["mt"].to_numpy(), m["mid"].to_numpy()
+        msrc = m["msrc"].to_numpy()
+        prefix = np.cumsum(np.stack([np.asarray(v, dtype=np.float64) for v in m["mvec"]]), axis=0)
+        at, a = q["at"].to_numpy(), q["a"].to_numpy()
+        before = (mt[None, :] < at[:, None]) | ((mt[None, :] == at[:, None]) & (mid[None, :] < a[:, None]))
+        idx = before.sum(axis=1)                     # members before a form a prefix of the sorted list
+        qi = np.nonzero(idx > 0)[0]
+        if len(qi) == 0:
+            return None
+        k = idx[qi] - 1
+        s = prefix[k]
+        av = np.stack([np.asarray(v, dtype=np.float64) for v in q["avec"].to_numpy()[qi]])
+        d = np.linalg.norm(av, axis=1) * np.linalg.norm(s, axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cos = np.where(d > 0, np.einsum("ij,ij->i", av, s) / d, np.nan)
+        dup = ((msrc[None, :] == q["asrc"].to_numpy()[qi, None]) & before[qi]).any(axis=1)
+        ok = (at[qi] - mt[k] <= window_us) & ~dup & ~np.isnan(cos)
+        return pd.DataFrame({"a": a[qi], "L": q["L"].to_numpy()[qi], "cos": cos, "ok": ok,
+                             "first_t": np.full(len(qi), mt[0]), "first_id": np.full(len(qi), mid[0])})
+
+    def run(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(m):
+            mg = dict(tuple(m.groupby("L", sort=False)))
+            for lab, qg in q.groupby("L", sort=False):
+                mm = mg.get(lab)
+                if mm is not None:
+                    r = one(qg, mm)
+                    if r is not None:
+                        out.append(r)
+        if not out:
+            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "L": pd.Series([], dtype="int64"),
+                                 "cos": pd.Series([], dtype="float64"), "ok": pd.Series([], dtype="bool"),
+                                 "first_t": pd.Series([], dtype="int64"), "first_id": pd.Series([], dtype="int64")})
+        return pd.concat(out, ignore_index=True)
+
+    return run
 
 
 def _round(labels: DataFrame, points: DataFrame, pairs: DataFrame, active: DataFrame,
-           threshold: float, window_us: int) -> DataFrame:
-    """One evaluation of F for the ``active`` articles (id): (id, label, score)."""
+           threshold: float, window_us: int, chunk_rows: int = 4096) -> DataFrame:
+    """One evaluation of F for the ``active`` articles (id): (id, label, score).
+
+    Candidate labels of a = labels of its partners.  Queries (a, L) and the members of
+    each L meet in one cogroup task per (L, chunk); a label with many queries is split
+    into chunks of at most ``chunk_rows`` queries and its members are copied to each."""
     act_pairs = pairs.select("a", "m").join(active.select(F.col("id").alias("a")), "a", "left_semi")
     cand = act_pairs.join(labels.select(F.col("id").alias("m"), F.col("label").alias("L")), "m") \
         .select("a", "L").distinct()
-    members = labels.select(F.col("id").alias("mid"), F.col("label").alias("L")).join(
-        points.select(F.col("id").alias("mid"), F.col("src").alias("msrc"), F.col("t_us").alias("mt"),
-                      F.col("vec").alias("mvec")), "mid")
-    q = cand.join(points.select(F.col("id").alias("a"), F.col("src").alias("asrc"), F.col("t_us").alias("at")),
-                  "a")
-    mord, aord = F.struct("mt", "mid"), F.struct("at", "a")
-    x = q.join(members, "L").filter(mord < aord)
-    state = x.groupBy("a", "L").agg(
-        F.collect_list("mid").alias("mids"),
-        F.collect_list("mvec").alias("mvecs"),
-        F.max("mt").alias("last_us"),
-        F.max((F.col("msrc") == F.col("asrc")).cast("int")).alias("dup"),
-        F.min(F.struct("mt", "mid")).alias("first"),
-        F.first("at").alias("at"))
-    state = state.join(points.select(F.col("id").alias("a"), F.col("vec").alias("avec")), "a")
-    ev = state.select("a", "L", "first", _prefix_cosine("avec", "mids", "mvecs").alias("cos"),
-                      ((F.col("at") - F.col("last_us") <= window_us) & (F.col("dup") == 0)).alias("ok"))
-    best = ev.filter(F.col("ok") & F.col("cos").isNotNull()).groupBy("a").agg(
+    cand = materialize(cand, "c4-cand")
+    # tasks: labels hashed into buckets sized to the candidate volume; a label with many
+    # queries is also split into chunks, its members copied to each chunk
+    n_cand = cand.count()
+    n_buckets = max(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                    -(-n_cand // chunk_rows))
+    nchunks = cand.groupBy("L").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_c"))
+    bucket = F.pmod(F.xxhash64("L"), F.lit(n_buckets)).cast("int")
+    q = cand.join(nchunks, "L").join(
+        points.select(F.col("id").alias("a"), F.col("src").alias("asrc"), F.col("t_us").alias("at"),
+                      F.col("vec").alias("avec")), "a") \
+        .withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("_c")).cast("int")).drop("_c") \
+        .withColumn("bucket", bucket)
+    members = labels.select(F.col("id").alias("mid"), F.col("label").alias("L")) \
+        .join(nchunks, "L") \
+        .join(points.select(F.col("id").alias("mid"), F.col("src").alias("msrc"), F.col("t_us").alias("mt"),
+                            F.col("vec").alias("mvec")), "mid") \
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).drop("_c") \
+        .withColumn("bucket", bucket)
+    ev = q.groupBy("bucket", "chunk").cogroup(members.groupBy("bucket", "chunk")) \
+        .applyInPandas(_eval_label(window_us), EVAL_SCHEMA)
+    best = ev.filter(F.col("ok")).groupBy("a").agg(
         F.max_by(F.struct("L", "cos"), F.struct(F.col("cos"), F.struct(
-            (-F.col("first.mt")).alias("t"), (-F.col("first.mid")).alias("i")))).alias("b"))
+            (-F.col("first_t")).alias("t"), (-F.col("first_id")).alias("i")))).alias("b"))
     j = active.select("id").join(best.withColumnRenamed("a", "id"), "id", "left")
     join_it = F.col("b.cos") > threshold
     return j.select("id",
