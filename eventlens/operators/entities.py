@@ -70,23 +70,20 @@ def article_with_entities(articles: DataFrame, entities: DataFrame, sources: Dat
     return articles.join(s, "source_id", "left").join(e, articles.id == e.article_id, "left").drop("article_id")
 
 
-def words(text: Column) -> Column:
-    """Words of a normalised text (white-space split, empties dropped)."""
-    return F.filter(F.split(normalize_text(text), f"[{WS}]+"), lambda w: w != "")
+def spaced_words(text: Column) -> Column:
+    """Normalised text with every white-space run collapsed to one space, trimmed."""
+    return F.trim(F.regexp_replace(normalize_text(text), f"[{WS}]+", " "))
 
 
-def ngrams(words_col: Column, max_n: int) -> Column:
-    """Distinct word n-grams (1 … max_n) of a word array *column*.
+def ngrams(spaced: Column, max_n: int) -> Column:
+    """Distinct word n-grams (1 … max_n) of a ``spaced_words`` column.
 
-    Each order is built from the previous one with ``zip_with`` against the words
-    shifted by one, so the cost is linear in the number of words."""
-    w = words_col
-    grams = [w]
-    prev = w
+    n ≥ 2 grams come from one regex pass each: the match consumes one word and a
+    lookahead group captures it with the next n-1 words, so every word start yields
+    its n-gram (JVM regex, linear in the text, no per-element lambdas)."""
+    grams = [F.filter(F.split(spaced, " "), lambda w: w != "")]
     for n in range(2, max_n + 1):
-        prev = F.zip_with(prev, F.slice(w, n, F.greatest(F.size(w), F.lit(1))),
-                          lambda x, y: F.concat(x, F.lit(" "), y))
-        grams.append(F.filter(prev, lambda g: g.isNotNull()))
+        grams.append(F.regexp_extract_all(spaced, F.lit(f"(?=((?:[^ ]+ ){{{n - 1}}}[^ ]+))[^ ]+"), F.lit(1)))
     return F.array_distinct(F.flatten(F.array(*grams)))
 
 
@@ -97,21 +94,27 @@ def gazetteer_entities(docs: DataFrame, gazetteer: DataFrame, topics: DataFrame
 
     ``gazetteer``: (term, kind) with normalised terms; ``topics``: (term, topic, rank) —
     the topic with most distinct keyword hits wins, lower rank breaks ties."""
-    max_n = gazetteer.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-    tok = docs.select(F.col(id_col).alias("_doc"), words(F.col(text_col)).alias("_w"))
+    lex = gazetteer.select("term", "kind", F.lit(None).cast("string").alias("topic"),
+                           F.lit(None).cast("int").alias("rank"))
+    if topics is not None:
+        lex = lex.unionByName(topics.select("term", F.lit(None).cast("string").alias("kind"),
+                                            "topic", F.col("rank").cast("int")))
+    max_n = lex.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    tok = docs.select(F.col(id_col).alias("_doc"), spaced_words(F.col(text_col)).alias("_w"))
     grams = tok.select("_doc", F.explode(ngrams(F.col("_w"), max_n)).alias("term"))
-    hits = grams.join(gazetteer.select("term", "kind"), "term")
-    agg = hits.groupBy("_doc").agg(*[
-        F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("kind") == k, F.col("term"))))).alias(k)
-        for k in kinds])
+    # one pass over the token stream: a single join with the whole lexicon, a single
+    # aggregation per document (entity lists + topic hits)
+    hits = grams.join(lex, "term")
+    agg = hits.groupBy("_doc").agg(
+        *[F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("kind") == k, F.col("term"))))).alias(k)
+          for k in kinds],
+        F.collect_list(F.when(F.col("topic").isNotNull(), F.struct("topic", "rank"))).alias("_th"))
+    th = F.col("_th")
+    scored = F.transform(F.array_distinct(th), lambda t: F.struct(
+        F.size(F.filter(th, lambda x: x["topic"] == t["topic"])).alias("score"),
+        (-t["rank"]).alias("nr"), t["topic"].alias("topic")))
+    best = F.when(F.size(th) > 0, F.array_max(scored)["topic"])
     out = docs.select(F.col(id_col).alias("_doc")).join(agg, "_doc", "left")
-    out = out.select("_doc", *[F.coalesce(F.col(k), _empty()).alias(k) for k in kinds])
-    if topics is not None:
-        th = grams.join(topics.select("term", "topic", "rank"), "term") \
-            .groupBy("_doc", "topic", "rank").agg(F.count(F.lit(1)).alias("score"))
-        best = th.groupBy("_doc").agg(
-            F.max_by("topic", F.struct(F.col("score"), -F.col("rank"))).alias("category"))
-        out = out.join(best, "_doc", "left")
-    else:
-        out = out.withColumn("category", F.lit(None).cast("string"))
+    out = out.select("_doc", *[F.coalesce(F.col(k), _empty()).alias(k) for k in kinds],
+                     (best if topics is not None else F.lit(None).cast("string")).alias("category"))
     return out.withColumnRenamed("_doc", id_col)

@@ -59,9 +59,8 @@ def zones(headline, description, parity: bool = True) -> tuple[Column, Column, C
     return title, body, F.concat(title, F.lit(" "), body)
 
 
-def relevance_parts(headline="headline", description="description", lex: Lexicon = Lexicon(),
-                    parity: bool = True) -> dict[str, Column]:
-    title, body, full = zones(headline, description, parity)
+def _parts(title: Column, body: Column, lex: Lexicon) -> dict[str, Column]:
+    full = F.concat(title, F.lit(" "), body)
     a_any = [v for kw in lex.definitive + lex.strong for v in _variants(kw, True)]
     a_def = [v for kw in lex.definitive for v in _variants(kw, True)]
     excl = [kw.lower() for kw in lex.exclusion]
@@ -72,7 +71,7 @@ def relevance_parts(headline="headline", description="description", lex: Lexicon
         for k in ctx], F.lit(0))
     ctx_hits = reduce(lambda a, b: a + b,
                       [F.when(full.contains(F.lit(k)), 1).otherwise(0) for k in ctx], F.lit(0))
-    return {
+    p = {
         "local_tier_a": _any(full, a_any),
         "local_context_hits": ctx_hits,
         "has_exclusion": _any(title, excl),
@@ -80,22 +79,41 @@ def relevance_parts(headline="headline", description="description", lex: Lexicon
         "tier_a_body": _any(body, a_def),
         "context_score": score,
     }
+    p["rel_local"] = p["local_tier_a"] | (p["local_context_hits"] >= 1)
+    p["rel_international"] = (
+        F.when(p["tier_a_title"], True)
+        .when(p["tier_a_body"] & ~p["has_exclusion"], True)
+        .when(p["has_exclusion"], False)
+        .otherwise(p["context_score"] >= lex.min_score))
+    return p
+
+
+def relevance_struct(headline="headline", description="description", lex: Lexicon = Lexicon(),
+                     parity: bool = True) -> Column:
+    """All relevance parts as one struct.  The normalised zones are bound once as a lambda
+    variable (``transform`` over a one-element array), so each text is normalised once
+    however many keyword tests read it — common-subexpression elimination does not reach
+    into the conditional branches of the rule."""
+    title, body, _ = zones(headline, description, parity)
+    z = F.array(F.struct(title.alias("t"), body.alias("b")))
+    return F.element_at(F.transform(z, lambda r: F.struct(*[
+        c.alias(k) for k, c in _parts(r["t"], r["b"], lex).items()])), 1)
+
+
+def relevance_parts(headline="headline", description="description", lex: Lexicon = Lexicon(),
+                    parity: bool = True) -> dict[str, Column]:
+    st = relevance_struct(headline, description, lex, parity)
+    return {k: st[k] for k in ("local_tier_a", "local_context_hits", "has_exclusion", "tier_a_title",
+                               "tier_a_body", "context_score", "rel_local", "rel_international")}
 
 
 def is_relevant(source_type: Column | str, headline="headline", description="description",
                 lex: Lexicon = Lexicon(), parity: bool = True) -> Column:
     """B-10 as one boolean expression; ``source_type`` is 'local' or 'international'."""
-    p = relevance_parts(headline, description, lex, parity)
     st = F.col(source_type) if isinstance(source_type, str) and source_type not in ("local", "international") \
         else (F.lit(source_type) if isinstance(source_type, str) else source_type)
-    local = p["local_tier_a"] | (p["local_context_hits"] >= 1)
-    intl = (
-        F.when(p["tier_a_title"], True)
-        .when(p["tier_a_body"] & ~p["has_exclusion"], True)
-        .when(p["has_exclusion"], False)
-        .otherwise(p["context_score"] >= lex.min_score)
-    )
-    return F.when(st == "local", local).otherwise(intl)
+    r = relevance_struct(headline, description, lex, parity)
+    return F.when(st == "local", r["rel_local"]).otherwise(r["rel_international"])
 
 
 def relevance_gate(articles: DataFrame, lex: Lexicon = Lexicon(), filter_local: bool = False,
