@@ -72,3 +72,17 @@ def outbox(messages: DataFrame, tokens: DataFrame, max_messages: int = 1000) ->
 def delivery_counts(results: DataFrame) -> DataFrame:
     """F-18: success / failure totals of a delivery-result table (status column)."""
     return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def popular_sweep(clusters: DataFrame, links: DataFrame, articles: DataFrame, tokens: DataFrame,
+                  as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """K-6: popular clusters → one message each → outbox rows, plus the per-cluster
+    summary (cluster, title, sources, queued deliveries) the sweep reports."""
+    from .serving import popular_clusters
+    pop = popular_clusters(clusters, links, as_of)
+    msgs = popular_messages(pop, links, articles)
+    box = outbox(msgs, tokens)
+    queued = box.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("queued"))
+    summary = pop.select(F.col("id").alias("cluster_id"), "title", F.col("number_of_sources").alias("sources")) \
+        .join(queued, "cluster_id", "left").fillna(0, ["queued"])
+    return box, summary

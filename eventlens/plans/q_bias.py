@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from ..operators import bias
-from ..sources.tables import TestTables
+from ..sources.tables import DriverTables
 from .registry import query
 
 _SIDES_SQL = """
@@ -43,7 +43,7 @@ select cluster_id, pro_count, neutral_count, oppose_count, total_rated,
 from p
 """)
 def blindspot_report(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return bias.blindspot_metrics(t.links, t.articles, t.sources)
 
 
@@ -59,7 +59,7 @@ dist AS (
 
 @query("bias_distribution", "WITH " + _SIDES_SQL + "," + _DIST_SQL + " select * from dist")
 def bias_distribution(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return bias.bias_distribution(t.links, t.articles, t.sources)
 
 
@@ -72,5 +72,5 @@ select cluster_id,
 from dist
 """)
 def dominant_side(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return bias.dominant_side(bias.bias_distribution(t.links, t.articles, t.sources))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import ENTITY_LIST_KEYS
 from ..functions.text import WS
 from ..operators import entities as E
-from ..sources.tables import TestTables
+from ..sources.tables import DriverTables
 from . import sqlgen as S
 from .registry import query
 
@@ -88,7 +88,7 @@ v AS (select article_id, j, coalesce(json_type(j) = 'OBJECT', false)
        else '' end as category
 from v""")
 def entity_response_clean(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return E.parse_responses(_raw_spark(t.entities)).select("article_id", "valid", *ENTITY_LIST_KEYS, "category")
 
 
@@ -120,7 +120,7 @@ best AS (select id, arg_max(topic, (score, -rank)) as category from th group by
 select a.id, {", ".join(f"coalesce(agg.{k}, []::VARCHAR[]) as {k}" for k in ENTITY_LIST_KEYS)}, best.category
 from v_articles a left join agg on agg.id = a.id left join best on best.id = a.id""")
 def gazetteer_entities(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     docs = t.articles.select("id", F.concat_ws(" ", "headline", "description").alias("text"))
     gaz = spark.createDataFrame(TEST_GAZETTEER, "term string, kind string")
     top = spark.createDataFrame(TEST_TOPICS, "term string, topic string, rank int")

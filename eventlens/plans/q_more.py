@@ -10,7 +10,7 @@ from ..operators import entities as E
 from ..operators import serving
 from ..session import ensure_checkpoint_dir
 from ..sources import feeds
-from ..sources.tables import TestTables
+from ..sources.tables import DriverTables
 from ..streaming import jobs
 from .pipeline import tfidf_embeddings
 from .q_text import TEST_LEXICON
@@ -23,14 +23,14 @@ where c.id in (select l.cluster_id from v_links l join v_entities e on e.article
                where e.category = 'security')
 order by published_at desc nulls last, id desc limit 5""")
 def topic_sidebar(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return serving.topic_sidebar(t.clusters, t.links, t.entities, "security", 5, topic_map={}) \
         .select("id", "title", "published_at")
 
 
 @query("distinct_topics", "select distinct category from v_entities where category is not null")
 def distinct_topics(spark, sf_dir):
-    return serving.distinct_topics(TestTables(spark, sf_dir).entities)
+    return serving.distinct_topics(DriverTables(spark, sf_dir).entities)
 
 
 @query("notification_stats", """
@@ -46,7 +46,7 @@ select (select count(*) from v_tokens) as total_tokens,
   (select count(*) from v_tokens where platform = 'android') as android_tokens,
   (select count(*) from pop) as popular_clusters_count""")
 def notification_stats(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     tk = t.tokens
     pop = serving.popular_clusters(t.clusters, t.links, t.as_of())
     return tk.agg(F.count(F.lit(1)).alias("total_tokens"),
@@ -60,7 +60,7 @@ select a.id, a.headline, a.published_at, s.name as source_name, s.url as source_
   e.cities, e.category as nlp_category
 from v_articles a left join v_sources s on s.id = a.source_id left join v_entities e on e.article_id = a.id""")
 def article_with_entities(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     ent = t.entities.select("id", "article_id", "cities", "category")
     x = E.article_with_entities(t.articles, ent, t.sources)
     return x.select("id", "headline", "published_at", "source_name", "source_url", "category",
@@ -69,7 +69,7 @@ def article_with_entities(spark, sf_dir):
 
 @query("tfidf_embeddings")
 def tfidf(spark, sf_dir):
-    d = TestTables(spark, sf_dir).raw("documents")
+    d = DriverTables(spark, sf_dir).raw("documents")
     v = tfidf_embeddings(d.select(F.col("doc_id").alias("id"), "text"), dims=256)
     nnz = F.size(F.filter("embedding", lambda x: x != 0))
     return v.select("id", nnz.alias("nonzero"),
@@ -84,7 +84,7 @@ def _scratch(spark, name: str) -> str:
 def stream_ingest(spark, sf_dir):
     """Every article of the test binding landed as a one-item RSS document (one per line,
     files per source), streamed through L-1 into a scratch table, read back."""
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     root = _scratch(spark, "stream-ingest")
     item = F.concat(
         F.lit('<?xml version="1.0"?><rss><channel><item><title><![CDATA['), F.col("headline"),
@@ -108,7 +108,7 @@ def stream_ingest(spark, sf_dir):
 def stream_windowed_coverage(spark, sf_dir):
     """Link events (cluster, created_at) streamed through L-3 in update mode; the last
     update per (cluster, window) is the count."""
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     root = _scratch(spark, "stream-coverage")
     ev = t.links.join(t.articles.select(F.col("id").alias("article_id"), "created_at"), "article_id") \
         .select("cluster_id", F.col("created_at").cast("timestamp").alias("created_at"))

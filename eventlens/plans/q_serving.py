@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fx
 from ..functions import dates as D
 from ..operators import bias, serving, trending
-from ..sources.tables import TestTables
+from ..sources.tables import DriverTables
 from .q_bias import _SIDES_SQL
 from .registry import query
 
@@ -32,7 +32,7 @@ vel AS (
 select id, r as recent_count, p as previous_count, round_even(v, 2) as coverage_velocity,
   v > 1.5 and number_of_sources >= 3 as is_trending from vel""")
 def coverage_velocity(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return trending.coverage_velocity(t.clusters, t.links, t.articles, t.as_of()) \
         .select("id", "recent_count", "previous_count", "coverage_velocity", "is_trending")
 
@@ -43,7 +43,7 @@ where try_strptime(published_at, '%Y-%m-%d %H:%M:%S') >= (select as_of from v_as
   and v > 1.5 and number_of_sources >= 3
 order by coverage_velocity desc, id asc limit 10""")
 def trending_topk(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     as_of = t.as_of()
     r = trending.refresh_trending(t.clusters, t.links, t.articles, as_of, TEST_LOOKBACK_HOURS)
     return trending.trending_topk(r, as_of, 10, TEST_LOOKBACK_HOURS) \
@@ -58,7 +58,7 @@ where try_cast(a.published_at as timestamp) >= timestamp '2024-01-01 12:00:00'
   and (contains(a.headline, 'the') or contains(a.description, 'the'))
 order by a.published_at desc nulls last, a.id desc limit 100""")
 def article_search(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return serving.article_search(t.articles, t.sources, date_from="2024-01-01 12:00:00",
                                   date_to="2024-01-02T12:00:00", keyword="the", limit=100) \
         .select("id", "headline", "published_at", "source_name", "category")
@@ -68,13 +68,13 @@ def article_search(spark, sf_dir):
 select id, title, published_at, number_of_sources from v_clusters
 order by published_at desc nulls last, id desc limit 20 offset 20""")
 def clusters_page(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return serving.page(t.clusters, limit=20, offset=20).select("id", "title", "published_at", "number_of_sources")
 
 
 @query("clusters_total", "select count(*) as total_clusters from v_clusters")
 def clusters_total(spark, sf_dir):
-    return TestTables(spark, sf_dir).clusters.agg(F.count(F.lit(1)).alias("total_clusters"))
+    return DriverTables(spark, sf_dir).clusters.agg(F.count(F.lit(1)).alias("total_clusters"))
 
 
 _FILTERED_SQL = """
@@ -93,7 +93,7 @@ f AS (
 select id, title, published_at, (select count(*) from f) as total from f
 order by published_at desc nulls last, id desc limit 50""")
 def clusters_filtered(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     f = serving.filter_clusters(t.clusters, t.links, t.entities, query="e", has_entities=True,
                                 category="security", city="de", topic_map={})
     return serving.page_with_total(f, 50, 0).select("id", "title", "published_at", "total")
@@ -101,14 +101,14 @@ def clusters_filtered(spark, sf_dir):
 
 @query("distinct_cities", "select distinct unnest(cities) as city from v_entities where cities is not null")
 def distinct_cities(spark, sf_dir):
-    return serving.distinct_values(TestTables(spark, sf_dir).entities, "cities", "city")
+    return serving.distinct_values(DriverTables(spark, sf_dir).entities, "cities", "city")
 
 
 @query("entity_stats", """
 select category, count(*) as n, (select count(*) from v_entities) as total_with_entities
 from v_entities where category is not null group by category""")
 def entity_stats(spark, sf_dir):
-    return serving.entity_stats(TestTables(spark, sf_dir).entities)
+    return serving.entity_stats(DriverTables(spark, sf_dir).entities)
 
 
 @query("top_entities", """
@@ -117,27 +117,27 @@ c AS (select kind, value, count(*) as n from x where value is not null group by
 select kind, value, n, row_number() over (partition by kind order by n desc, value asc) as rank
 from c qualify rank <= 10""")
 def top_entities(spark, sf_dir):
-    return serving.top_entities(TestTables(spark, sf_dir).entities, kinds=("cities",))
+    return serving.top_entities(DriverTables(spark, sf_dir).entities, kinds=("cities",))
 
 
 @query("token_stats", """
 select platform, count(*) as n, (select count(*) from v_tokens) as total_tokens from v_tokens group by platform""")
 def token_stats(spark, sf_dir):
-    tk = TestTables(spark, sf_dir).tokens
+    tk = DriverTables(spark, sf_dir).tokens
     total = tk.agg(F.count(F.lit(1))).scalar()
     return serving.group_count(tk, "platform").withColumn("total_tokens", total)
 
 
 @query("sources_by_bias", "select bias, count(*) as n from v_sources group by bias")
 def sources_by_bias(spark, sf_dir):
-    return serving.group_count(TestTables(spark, sf_dir).sources, "bias")
+    return serving.group_count(DriverTables(spark, sf_dir).sources, "bias")
 
 
 @query("articles_per_cluster", """
 select c.id, c.title, count(*) as article_count
 from v_clusters c join v_links l on l.cluster_id = c.id group by c.id, c.title""")
 def articles_per_cluster(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return serving.articles_per_cluster(t.clusters, t.links)
 
 
@@ -150,7 +150,7 @@ tot AS (select source_id, count(*) as total_articles from v_articles group by so
 select r.*, tot.total_articles, s.name as source_name, s.bias
 from r join tot on tot.source_id = r.source_id join v_sources s on s.id = r.source_id""")
 def source_recent_articles(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return serving.source_recent_articles(t.sources, t.articles, 20)
 
 
@@ -171,7 +171,7 @@ popular AS (
 @query("popular_clusters", "WITH " + _POPULAR_SQL + """
 select id, title, number_of_sources, article_count, created_at from popular""")
 def popular_clusters(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return serving.popular_clusters(t.clusters, t.links, t.as_of(), hours=TEST_LOOKBACK_HOURS)
 
 
@@ -183,7 +183,7 @@ select cluster_id, arg_min(article_id, (t, article_id)) as article_id,
   arg_min(headline, (t, article_id)) as headline, arg_min(published_at, (t, article_id)) as published_at
 from x where t is not null group by cluster_id""")
 def earliest_article(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return serving.earliest_article(t.links, t.articles)
 
 
@@ -201,7 +201,7 @@ g AS (
 select cluster_id, coalesce(topic, case when has_local = 1 and has_intl = 1 then 'محلي ودولي'
   when has_intl = 1 then 'دولي' else 'محلي' end) as category_label from g""")
 def category_label(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return serving.category_label(t.links, t.articles, t.entities)
 
 
@@ -211,7 +211,7 @@ select l.cluster_id, a.id as article_id, a.headline, a.published_at, s.name as s
 from v_links l join v_articles a on a.id = l.article_id
 left join v_sources s on s.id = a.source_id left join v_entities e on e.article_id = a.id""")
 def cluster_detail(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return serving.cluster_detail_rows(t.links, t.articles, t.sources, t.entities).select(
         "cluster_id", "article_id", "headline", "published_at", "source_name", "source_bias",
         "category", "similarity_score", "cities", "nlp_category")
@@ -251,7 +251,7 @@ select pg.id, pg.title as headline, pg.number_of_sources,
 from pg join first on first.cluster_id = pg.id join dist on dist.cluster_id = pg.id
 left join loc on loc.cluster_id = pg.id left join cnt on cnt.cluster_id = pg.id""")
 def cluster_summary(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     pg = serving.page(t.clusters, 50, 0)
     tr = trending.coverage_velocity(t.clusters, t.links, t.articles, t.as_of()).select("id", "is_trending")
     return serving.cluster_summaries(pg, t.links, t.articles, t.sources, t.entities, trending=tr).select(
@@ -261,7 +261,7 @@ def cluster_summary(spark, sf_dir):
 
 @query("unclustered_articles", "select id from v_articles where id not in (select article_id from v_links)")
 def unclustered_articles(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return t.articles.select("id").join(t.links.select(F.col("article_id").alias("id")), "id", "left_anti")
 
 
@@ -287,7 +287,7 @@ select id,
        else 'منذ لحظات' end as ago_client
 from s""")
 def time_ago(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     as_of = t.as_of()
     return t.articles.select("id", D.time_ago(F.col("created_at"), as_of).alias("ago"),
                              D.time_ago_client(F.col("created_at"), as_of).alias("ago_client"))
@@ -304,7 +304,7 @@ select event_id, raw,
                     when 1 then strftime(ts, '%Y-%m-%d %H:%M:%S') else 'N/A' end as published_at
 from r""")
 def date_standardize(spark, sf_dir):
-    ev = TestTables(spark, sf_dir).raw("events")
+    ev = DriverTables(spark, sf_dir).raw("events")
     raw = (F.when(F.col("event_id") % 3 == 0,
                   F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
            .when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
@@ -327,7 +327,7 @@ select id, bias, {_map_sql('bias', fx.BIAS_LABELS, "'" + fx.BIAS_LABEL_UNKNOWN +
 from v_sources""")
 def bias_label(spark, sf_dir):
     from ..functions.labels import bias_css, bias_label as bl, language_label
-    s = TestTables(spark, sf_dir).sources
+    s = DriverTables(spark, sf_dir).sources
     return s.select("id", "bias", bl("bias").alias("bias_label"), bias_css("bias").alias("bias_css"),
                     bias.bias_side(F.col("bias")).alias("bias_side"),
                     language_label("language").alias("language_label"))
@@ -345,7 +345,7 @@ b AS (select cluster_id, case when po > 70 and pp < 15 then 'PRO_SAF_BLINDSPOT'
 select cluster_id, blindspot_type, {_map_sql('blindspot_type', fx.BLINDSPOT_CAPTIONS, 'null')} as caption from b""")
 def blindspot_caption(spark, sf_dir):
     from ..functions.labels import blindspot_caption as cap
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     m = bias.blindspot_metrics(t.links, t.articles, t.sources)
     return m.select("cluster_id", "blindspot_type", cap("blindspot_type").alias("caption"))
 
@@ -357,7 +357,7 @@ select page, (page - 1) * 10 as "offset", (select (total + 9) // 10 from t) as t
   range(greatest(1, page - 2), least((select (total + 9) // 10 from t) + 1, page + 3)) as page_numbers
 from p""")
 def page_numbers(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     per = 10
     tot = t.clusters.agg(F.count(F.lit(1)).alias("total"))
     pages = tot.select(F.explode(F.sequence(F.lit(1).cast("long"),

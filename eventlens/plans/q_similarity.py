@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clustering, similarity
-from ..sources.tables import TestTables
+from ..sources.tables import DriverTables
 from .registry import query
 
 # Test threshold: at the reference's 0.5 almost every driver vector is a
@@ -21,7 +21,7 @@ cent AS (select cluster_id, list(x order by i) as centroid
 """
 
 
-def _members(t: TestTables):
+def _members(t: DriverTables):
     e = t.raw("embeddings").select(F.col("vec_id").alias("article_id"), "embedding")
     return t.links.select("cluster_id", "article_id").join(e, "article_id")
 
@@ -29,7 +29,7 @@ def _members(t: TestTables):
 @query("cluster_centroids", "WITH " + _CENT_SQL + """
 select cluster_id, list_transform(centroid, lambda x: round_even(x, 6)) as centroid from cent""")
 def cluster_centroids(spark, sf_dir):
-    c = similarity.centroids(_members(TestTables(spark, sf_dir)))
+    c = similarity.centroids(_members(DriverTables(spark, sf_dir)))
     return c.select("cluster_id", F.transform("centroid", lambda x: F.bround(x, 6)).alias("centroid"))
 
 
@@ -40,7 +40,7 @@ select cluster_id, article_id, round_even(cos, 6) as cosine,
   row_number() over (partition by cluster_id order by cos desc, article_id asc) as rank
 from s qualify rank <= 5""")
 def cosine_topk(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     m = _members(t)
     c = similarity.centroids(m)
     j = m.join(c, "cluster_id").withColumn("cos", similarity.cosine(similarity.to_double("embedding"), "centroid"))
@@ -57,7 +57,7 @@ s AS (select m.article_id as id, c.cluster_id, list_cosine_similarity(m.e::DOUBL
 select id, arg_max(cluster_id, (sim, -cluster_id)) as cluster_id, round_even(max(sim), 6) as similarity
 from s where sim >= 0.5 group by id""")
 def best_cluster_for_vector(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     m = _members(t)
     c = similarity.centroids(m).join(t.clusters.select(F.col("id").alias("cluster_id"), "created_at"), "cluster_id")
     v = m.select(F.col("article_id").alias("id"), "embedding")
@@ -67,5 +67,5 @@ def best_cluster_for_vector(spark, sf_dir):
 
 @query("event_clusters")
 def event_clusters(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return clustering.event_clusters(t.vectors, threshold=TEST_THRESHOLD)

@@ -6,32 +6,32 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dedup
 from ..operators.relevance import Lexicon, _py_norm_ar, _variants, is_relevant, relevance_gate, relevance_parts
-from ..sources.tables import TestTables
+from ..sources.tables import DriverTables
 from . import sqlgen as S
 from .registry import query
 
 
 @query("text_normalize", f"select doc_id, {S.normalize_text('text')} as text_norm from documents")
 def text_normalize(spark, sf_dir):
-    d = TestTables(spark, sf_dir).raw("documents")
+    d = DriverTables(spark, sf_dir).raw("documents")
     return d.select("doc_id", T.normalize_text("text").alias("text_norm"))
 
 
 @query("arabic_normalize_v1", f"select doc_id, {S.norm_v1('text')} as text_norm from documents")
 def arabic_normalize_v1(spark, sf_dir):
-    d = TestTables(spark, sf_dir).raw("documents")
+    d = DriverTables(spark, sf_dir).raw("documents")
     return d.select("doc_id", T.arabic_normalize_v1("text").alias("text_norm"))
 
 
 @query("arabic_normalize_v2", f"select doc_id, {S.norm_v2('text')} as text_norm from documents")
 def arabic_normalize_v2(spark, sf_dir):
-    d = TestTables(spark, sf_dir).raw("documents")
+    d = DriverTables(spark, sf_dir).raw("documents")
     return d.select("doc_id", T.arabic_normalize_v2("text").alias("text_norm"))
 
 
 @query("content_hash", f"select id, {S.content_hash('headline', 'description')} as content_hash from v_articles")
 def content_hash(spark, sf_dir):
-    return dedup.with_content_hash(TestTables(spark, sf_dir).articles).select("id", "content_hash")
+    return dedup.with_content_hash(DriverTables(spark, sf_dir).articles).select("id", "content_hash")
 
 
 _HASHED = f"hashed AS (select id, {S.content_hash('headline', 'description')} as h from v_articles)"
@@ -42,7 +42,7 @@ WITH {_HASHED}
 select id, h as content_hash from hashed where id in (select min(id) from hashed group by h)
 """)
 def dedup_articles(spark, sf_dir):
-    return dedup.dedup_batch(TestTables(spark, sf_dir).articles).select("id", "content_hash")
+    return dedup.dedup_batch(DriverTables(spark, sf_dir).articles).select("id", "content_hash")
 
 
 @query("mark_duplicates", f"""
@@ -53,7 +53,7 @@ select hashed.id,
 from hashed join k on k.h = hashed.h
 """)
 def mark_duplicates(spark, sf_dir):
-    return dedup.mark_duplicates(TestTables(spark, sf_dir).articles)
+    return dedup.mark_duplicates(DriverTables(spark, sf_dir).articles)
 
 
 @query("mark_duplicates_report", f"""
@@ -64,18 +64,18 @@ select count(*) filter (where hashed.id = k.keep_id) as updated,
 from hashed join k on k.h = hashed.h
 """)
 def mark_duplicates_report(spark, sf_dir):
-    return dedup.mark_duplicates_report(dedup.mark_duplicates(TestTables(spark, sf_dir).articles))
+    return dedup.mark_duplicates_report(dedup.mark_duplicates(DriverTables(spark, sf_dir).articles))
 
 
 @query("html_to_text", f"select page_id, {S.html_to_text('html')} as text from pages")
 def html_to_text(spark, sf_dir):
-    p = TestTables(spark, sf_dir).raw("pages")
+    p = DriverTables(spark, sf_dir).raw("pages")
     return p.select("page_id", T.html_to_text("html").alias("text"))
 
 
 @query("image_url", f"select page_id, {S.image_url_from_html('html')} as image_url from pages")
 def image_url(spark, sf_dir):
-    p = TestTables(spark, sf_dir).raw("pages")
+    p = DriverTables(spark, sf_dir).raw("pages")
     return p.select("page_id", T.image_url(F.lit(None), F.lit(None), F.col("html")).alias("image_url"))
 
 
@@ -120,21 +120,21 @@ rel AS (
 
 @query("relevance_local", "WITH " + _sql_parts(TEST_LEXICON) + " select id, rel_local as is_relevant from rel")
 def relevance_local(spark, sf_dir):
-    a = TestTables(spark, sf_dir).articles
+    a = DriverTables(spark, sf_dir).articles
     return a.select("id", is_relevant("local", lex=TEST_LEXICON).alias("is_relevant"))
 
 
 @query("relevance_international",
        "WITH " + _sql_parts(TEST_LEXICON) + " select id, rel_intl as is_relevant from rel")
 def relevance_international(spark, sf_dir):
-    a = TestTables(spark, sf_dir).articles
+    a = DriverTables(spark, sf_dir).articles
     return a.select("id", is_relevant("international", lex=TEST_LEXICON).alias("is_relevant"))
 
 
 @query("relevance_score", "WITH " + _sql_parts(TEST_LEXICON) + """
 select id, context_score, has_exclusion, tier_a_title, tier_a_body from rel""")
 def relevance_score(spark, sf_dir):
-    a = TestTables(spark, sf_dir).articles
+    a = DriverTables(spark, sf_dir).articles
     p = relevance_parts(lex=TEST_LEXICON)
     return a.select("id", *[p[k].alias(k) for k in
                             ("context_score", "has_exclusion", "tier_a_title", "tier_a_body")])
@@ -143,5 +143,5 @@ def relevance_score(spark, sf_dir):
 @query("relevance_gate", "WITH " + _sql_parts(TEST_LEXICON) + """
 select id, category from rel where category = 'local' or rel_intl""")
 def relevance_gate_q(spark, sf_dir):
-    a = TestTables(spark, sf_dir).articles
+    a = DriverTables(spark, sf_dir).articles
     return relevance_gate(a, TEST_LEXICON).select("id", "category")

@@ -4,13 +4,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import notify, serving, upserts
-from ..sources.tables import TestTables
+from ..sources.tables import DriverTables
 from .registry import query
 
 HOST_RE = r"^https?://([^/?#]+)"
 
 
-def _hosts(t: TestTables):
+def _hosts(t: DriverTables):
     """Source urls seen in the crawled pages (new sources for the upsert tests)."""
     return t.raw("pages").select(F.regexp_extract("url", HOST_RE, 1).alias("url")).distinct()
 
@@ -28,7 +28,7 @@ union all
 select (select max(id) from v_sources) + row_number() over (order by url) as id, url, name,
   'ar' as language, null as bias from new""")
 def source_upsert(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     s = t.sources.select("id", "url", "name", "language", "bias")
     inc = t.sources.select("url", F.upper("url").alias("name")).unionByName(
         _hosts(t).withColumn("name", F.lit(None).cast("string")))
@@ -48,7 +48,7 @@ details AS (
 """
 
 
-def _details(t: TestTables):
+def _details(t: DriverTables):
     d = t.raw("documents").groupBy("source").agg(
         F.count_if(F.col("lang") == "en").alias("_en"), F.count(F.lit(1)).alias("_n"),
         F.min("doc_id").alias("_min"))
@@ -73,7 +73,7 @@ select s.id, s.url,
   case when d.url is not null then d.hq_location else null end as hq_location
 from v_sources s left join details d on d.url = s.url""")
 def source_details_update(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     none = F.lit(None).cast("string")
     s = t.sources.select("id", "url", "name", "bias", none.alias("owner"), none.alias("founded_at"),
                          none.alias("hq_location"))
@@ -83,7 +83,7 @@ def source_details_update(spark, sf_dir):
 @query("source_details_not_found", "WITH " + _DETAILS_SQL + """
 select url from details where url not in (select url from v_sources)""")
 def source_details_not_found(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return upserts.details_not_found(t.sources, _details(t)).select("url")
 
 
@@ -117,7 +117,7 @@ select (select max(id) from v_tokens) + row_number() over (order by token) as id
   case when n > 1 then last_ts end as updated_at
 from per where token not in (select token from v_tokens)""")
 def token_upsert(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     ev = t.raw("events").filter(F.col("event_type") == "click")
     regs = ev.select(
         "user_id", F.concat(F.lit("dev"), F.col("user_id").cast("string")).alias("device_id"),
@@ -131,7 +131,7 @@ def token_upsert(spark, sf_dir):
 select id, token, updated_at from v_tokens
 where not coalesce(updated_at < (select max(ts) from events) - INTERVAL 7 DAY, false)""")
 def token_expiry(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     as_of = t.raw("events").agg(F.max("ts")).scalar()
     kept, _ = upserts.expire_tokens(t.tokens, as_of, days=7)
     return kept.select("id", "token", "updated_at")
@@ -141,7 +141,7 @@ def token_expiry(spark, sf_dir):
 select count(*) as deleted from v_tokens
 where coalesce(updated_at < (select max(ts) from events) - INTERVAL 7 DAY, false)""")
 def token_expiry_count(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     as_of = t.raw("events").agg(F.max("ts")).scalar()
     _, gone = upserts.expire_tokens(t.tokens, as_of, days=7)
     return gone.agg(F.count(F.lit(1)).alias("deleted"))
@@ -174,27 +174,27 @@ msg AS (
 """
 
 
-def _popular_msgs(t: TestTables):
+def _popular_msgs(t: DriverTables):
     pop = serving.popular_clusters(t.clusters, t.links, t.as_of())
     return notify.popular_messages(pop, t.links, t.articles)
 
 
 @query("popular_messages", "WITH " + _POP_SQL + " select * from msg")
 def popular_messages(spark, sf_dir):
-    return _popular_msgs(TestTables(spark, sf_dir))
+    return _popular_msgs(DriverTables(spark, sf_dir))
 
 
 @query("new_cluster_messages", """
 select id as cluster_id, 'خبر جديد' as title, 'تم نشر مجموعة أخبار جديدة: ' || substr(title, 1, 50) || '...' as body,
   'new_cluster' as type from v_clusters""")
 def new_cluster_messages(spark, sf_dir):
-    return notify.new_cluster_messages(TestTables(spark, sf_dir).clusters)
+    return notify.new_cluster_messages(DriverTables(spark, sf_dir).clusters)
 
 
 @query("notification_outbox", "WITH " + _POP_SQL + """
 select m.cluster_id, t.token, t.platform, m.title, m.body, m.type
 from msg m cross join (select token, platform from v_tokens where token is not null) t""")
 def notification_outbox(spark, sf_dir):
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     return notify.outbox(_popular_msgs(t), t.tokens).select(
         "cluster_id", "token", "platform", "title", "body", "type")

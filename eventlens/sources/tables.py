@@ -119,7 +119,7 @@ def tokens_view(events: DataFrame) -> DataFrame:
     )
 
 
-class TestTables:
+class DriverTables:
     """Lazily built application tables over one driver scale directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
