@@ -206,22 +206,26 @@ def cluster_labels(points: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD
     rounds = 0
     while rounds < max_rounds:
         rounds += 1
-        upd = _round(labels, pts, pairs, active, threshold, window_us)
-        upd = materialize(upd.join(labels.select("id", F.col("label").alias("old")), "id"), "c4-round")
-        delta = upd.filter(F.col("label") != F.col("old"))
-        done = delta.isEmpty()
-        # scores can move while labels stay: always take the round's values
-        labels = materialize(labels.join(upd.select("id"), "id", "left_anti")
-                             .unionByName(upd.drop("old")), "c4-labels")
-        if done:
+        upd = _round(labels, pts, pairs, active, threshold, window_us) \
+            .select("id", F.col("label").alias("_nl"), F.col("score").alias("_ns"))
+        # one written table per round: the new labelling, with the old label kept for the delta
+        # (scores can move while labels stay, so the round's values are always taken)
+        labels = materialize(
+            labels.join(upd, "id", "left").select(
+                "id", F.coalesce("_nl", "label").alias("label"), F.coalesce("_ns", "score").alias("score"),
+                F.col("label").alias("old")), "c4-labels")
+        delta = labels.filter(F.col("label") != F.col("old"))
+        labels = labels.drop("old")
+        if delta.isEmpty():
             if stats is not None:
                 stats["rounds"] = rounds
             return labels
         touched = delta.select(F.col("old").alias("L")).unionByName(delta.select(F.col("label").alias("L"))) \
             .distinct()
         lab_m = labels.select(F.col("id").alias("m"), F.col("label").alias("L"))
-        active = materialize(pairs.select("a", "m").join(lab_m, "m").join(touched, "L", "left_semi")
-                             .select(F.col("a").alias("id")).distinct(), "c4-active")
+        # lineage of the next active set ends at the written labels and pairs
+        active = pairs.select("a", "m").join(lab_m, "m").join(touched, "L", "left_semi") \
+            .select(F.col("a").alias("id")).distinct()
     raise NotConverged(f"event clustering did not converge in {max_rounds} rounds")
 
 
