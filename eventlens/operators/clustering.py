@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fx
 from ..functions.dates import parse_ntz
 from ..session import materialize
-from .similarity import _unit_matrix, blocked_join, epoch_us, has_content, to_double
+from .similarity import blocked_join, epoch_us, has_content, to_double, unit_matrix_fn
 
 HOUR_US = 3_600_000_000
 
@@ -77,8 +77,10 @@ def candidate_pairs(points: DataFrame, threshold: float, window_hours: float, n_
     p = points.withColumn("band", F.floor(F.col("t_us") / F.lit(band_us)).cast("long"))
     cols = ["id", "src", "t_us", "vec", "band"]
 
+    unit = unit_matrix_fn()
+
     def pairs(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        s = _unit_matrix(lpdf["vec"]) @ _unit_matrix(rpdf["vec"]).T
+        s = unit(lpdf["vec"]) @ unit(rpdf["vec"]).T
         lt, rt = lpdf["t_us"].to_numpy()[:, None], rpdf["t_us"].to_numpy()[None, :]
         li, ri = lpdf["id"].to_numpy()[:, None], rpdf["id"].to_numpy()[None, :]
         earlier = (rt < lt) | ((rt == lt) & (ri < li))

@@ -144,11 +144,18 @@ def blocked_join(left: DataFrame, right: DataFrame, band: str, offsets: list[int
     return lrep.groupBy("_key").cogroup(rrep.groupBy("_key")).applyInPandas(run, schema)
 
 
-def _unit_matrix(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return m / n
+def unit_matrix_fn():
+    """Row-normalising helper for task-side code, built as a closure so that it is shipped
+    by value with the task (workers need not import this package)."""
+    import numpy as np_
+
+    def unit(vectors) -> "np_.ndarray":
+        m = np_.stack([np_.asarray(v, dtype=np_.float64) for v in vectors])
+        n = np_.linalg.norm(m, axis=1, keepdims=True)
+        with np_.errstate(invalid="ignore", divide="ignore"):
+            return m / n
+
+    return unit
 
 
 def best_cluster_for_vectors(vectors: DataFrame, cents: DataFrame, as_of: Column | None = None,
@@ -165,8 +172,10 @@ def best_cluster_for_vectors(vectors: DataFrame, cents: DataFrame, as_of: Column
     right = c.select(F.col("cluster_id").cast("long").alias("id"), F.col("centroid").alias("v"),
                      F.lit(0).alias("band"))
 
+    unit = unit_matrix_fn()
+
     def best(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        s = _unit_matrix(lpdf["v"]) @ _unit_matrix(rpdf["v"]).T
+        s = unit(lpdf["v"]) @ unit(rpdf["v"]).T
         s = np.where(np.isnan(s), -np.inf, s)
         rid = rpdf["id"].to_numpy()
         order = np.argsort(rid, kind="stable")
