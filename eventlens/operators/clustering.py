@@ -145,7 +145,8 @@ def _eval_label(window_us: int):
 
 
 def _round(labels: DataFrame, points: DataFrame, pairs: DataFrame, active: DataFrame,
-           threshold: float, window_us: int, chunk_rows: int = 4096) -> DataFrame:
+           threshold: float, window_us: int, chunk_rows: int = 4096,
+           max_cand: int | None = None) -> DataFrame:
     """One evaluation of F for the ``active`` articles (id): (id, label, score).
 
     Candidate labels of a = labels of its partners.  Queries (a, L) and the members of
@@ -155,9 +156,10 @@ def _round(labels: DataFrame, points: DataFrame, pairs: DataFrame, active: DataF
     cand = act_pairs.join(labels.select(F.col("id").alias("m"), F.col("label").alias("L")), "m") \
         .select("a", "L").distinct()
     cand = materialize(cand, "c4-cand")
-    # tasks: labels hashed into buckets sized to the candidate volume; a label with many
-    # queries is also split into chunks, its members copied to each chunk
-    n_cand = cand.count()
+    # tasks: labels hashed into buckets sized to the candidate volume (bounded by the pair
+    # count, known once); a label with many queries is also split into chunks, its members
+    # copied to each chunk
+    n_cand = cand.count() if max_cand is None else max_cand
     n_buckets = max(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                     -(-n_cand // chunk_rows))
     nchunks = cand.groupBy("L").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_c"))
@@ -201,6 +203,7 @@ def cluster_labels(points: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD
     if pairs is None:
         pairs = candidate_pairs(pts, threshold, window_hours, n_sources, block_rows)
     pairs = materialize(pairs, "c4-pairs")
+    n_pairs = pairs.count()  # bounds every round's (article, label) candidates
     window_us = int(window_hours * HOUR_US)
     labels = pts.select("id", F.col("id").alias("label"), F.lit(1.0).alias("score"))
     # Articles without partners never join anything: only the others are evaluated.
@@ -208,7 +211,7 @@ def cluster_labels(points: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD
     rounds = 0
     while rounds < max_rounds:
         rounds += 1
-        upd = _round(labels, pts, pairs, active, threshold, window_us) \
+        upd = _round(labels, pts, pairs, active, threshold, window_us, max_cand=n_pairs) \
             .select("id", F.col("label").alias("_nl"), F.col("score").alias("_ns"))
         # one written table per round: the new labelling, with the old label kept for the delta
         # (scores can move while labels stay, so the round's values are always taken)
