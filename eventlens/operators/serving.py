@@ -111,7 +111,7 @@ def top_entities(entities: DataFrame, kinds=("cities", "people", "organizations"
         u = u.unionByName(p)
     cnt = u.filter(F.col("value").isNotNull()).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("kind").orderBy(F.desc("n"), F.asc("value"))
-    return cnt.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return cnt.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def group_count(df: DataFrame, key: str, name: str = "n") -> DataFrame:
@@ -129,7 +129,7 @@ def source_recent_articles(sources: DataFrame, articles: DataFrame, k: int = 20)
     """G-4 + J-4 for all sources at once: newest k per source, plus the source's total."""
     w = Window.partitionBy("source_id").orderBy(F.desc_nulls_last("published_at"), F.desc("id"))
     top = articles.select("source_id", "id", "headline", "published_at", "category") \
-        .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        .withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     totals = articles.groupBy("source_id").agg(F.count(F.lit(1)).alias("total_articles"))
     s = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), "bias")
     return top.join(totals, "source_id").join(s, "source_id")

@@ -45,7 +45,7 @@ def cosine_topk(spark, sf_dir):
     c = similarity.centroids(m)
     j = m.join(c, "cluster_id").withColumn("cos", similarity.cosine(similarity.to_double("embedding"), "centroid"))
     w = Window.partitionBy("cluster_id").orderBy(F.desc("cos"), F.asc("article_id"))
-    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 5) \
+    return j.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= 5) \
         .select("cluster_id", "article_id", F.bround("cos", 6).alias("cosine"), "rank")
 
 
