@@ -198,3 +198,14 @@ def notification_outbox(spark, sf_dir):
     t = DriverTables(spark, sf_dir)
     return notify.outbox(_popular_msgs(t), t.tokens).select(
         "cluster_id", "token", "platform", "title", "body", "type")
+
+
+@query("token_delete", """
+select id, token from v_tokens
+where token not in (select 'tok' || (event_id % 50) from events where event_type = 'error' and value > 300)""")
+def token_delete(spark, sf_dir):
+    """H-7 delete by value: tokens reported by error events with an unusually large value."""
+    t = DriverTables(spark, sf_dir)
+    ev = t.raw("events").filter((F.col("event_type") == "error") & (F.col("value") > 300))
+    values = ev.select(F.concat(F.lit("tok"), (F.col("event_id") % 50).cast("string")).alias("token"))
+    return upserts.delete_tokens(t.tokens, values).select("id", "token")
