@@ -12,7 +12,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import feeds
 from ..sources.tables import DriverTables
 from ..streaming import jobs
-from .pipeline import tfidf_embeddings
+from .run_once import tfidf_embeddings
 from .q_text import TEST_LEXICON
 from .registry import query
 

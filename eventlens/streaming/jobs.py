@@ -35,7 +35,7 @@ def feed_file_stream(spark: SparkSession, path: str, glob: str = "*.xml") -> Dat
 
 def upsert_batch(table_path: str, registry: DataFrame, lexicon: Lexicon = Lexicon()):
     """``foreachBatch`` body of L-1: ingest one micro-batch into the article table."""
-    from ..plans.pipeline import ingest
+    from ..plans.run_once import ingest
     from ..schema import ARTICLES, SOURCES
 
     def run(batch: DataFrame, epoch_id: int) -> None:

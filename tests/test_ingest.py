@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from eventlens.operators import entities, upserts
 from eventlens.operators.relevance import Lexicon
-from eventlens.plans.pipeline import ingest
+from eventlens.plans.run_once import ingest
 from eventlens.schema import ARTICLES, SOURCES
 from eventlens.sources import feeds
 from eventlens.streaming import jobs

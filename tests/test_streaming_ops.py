@@ -3,7 +3,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from eventlens.plans import pipeline
+from eventlens.plans import run_once as pipeline
 from eventlens.sources.tables import DriverTables
 from eventlens.streaming import jobs
 
