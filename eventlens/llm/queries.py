@@ -5,8 +5,9 @@ import os
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, near_dup, piece_count, repeats
+from . import bpe, near_dup, piece_count, repeats, sharding, url_filter, vp_search
 from .common import table
 
 #: Path of the vocabulary file, a parameter of operators 1 and 6.
@@ -23,6 +24,16 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, equal texts together, shards of near equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy longest-match pieces of every document."""
     return piece_count.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
@@ -33,5 +44,10 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op6_token_counts, op9_near_dup)}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other vectors of every vector whose id is divisible by 20, exactly."""
+    return vp_search.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_url_filter, op4_sharding, op6_token_counts, op9_near_dup, op10_nearest)}
 SQL: dict[str, str] = {}
