@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventlens.session import materialize
 
-__all__ = ["table", "columns", "connected_components", "materialize"]
+__all__ = ["table", "columns", "connected_components", "hash_sample", "materialize"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,13 @@ def columns(df: DataFrame, **picked: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in picked.items()])
 
 
+def hash_sample(df: DataFrame, id_col: str, wanted: int, rows: int) -> DataFrame:
+    """About ``wanted`` of the ``rows`` rows, chosen by a hash of the id (a null id never is); all
+    of them if there are no more.  Needs no shuffle and is repeatable."""
+    kept = df.filter(F.col(id_col).isNotNull())
+    return kept if rows <= wanted else kept.filter(F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1_000_003)) < int(1_000_003 * wanted / rows))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long) -> (node, component): the smallest node reachable.
 
