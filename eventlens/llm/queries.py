@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dup, piece_count, repeats, sharding, url_filter, vp_search
+from . import bpe, decontam, near_dup, pii, piece_count, quality, repeats, sharding, url_filter, vp_search
 from .common import table
 
 #: Path of the vocabulary file, a parameter of operators 1 and 6.
@@ -34,11 +34,26 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, and which."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy longest-match pieces of every document."""
     return piece_count.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base matches by kind and all spans."""
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document and whether it is kept."""
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return near_dup.components(table(spark, sf_dir, "documents"))
@@ -49,5 +64,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_url_filter, op4_sharding, op6_token_counts, op9_near_dup, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_url_filter, op4_sharding, op5_decontamination, op6_token_counts,
+                                  op7_pii, op8_quality, op9_near_dup, op10_nearest)}
 SQL: dict[str, str] = {}
