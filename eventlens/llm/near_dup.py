@@ -16,8 +16,10 @@ Verification, without all pairs of a group:
 2. In every band bucket each member is compared with the bucket's smallest member
    only (linear in the bucket), on full sets.  Links give components.
 3. Buckets that still hold several components are searched completely, in blocks of
-   at most BLOCK members: pairs of different components whose sketches do not rule
-   out the threshold are verified on full sets, so that no link is lost.
+   bounded size: an inverted index over the full sets of one block gives the exact
+   intersections with each member of another.  Only links that join components leave
+   the task, fewer than its members, so no link is lost that matters and no list of
+   pairs is ever made.
 4. Components of all links are final.
 """
 from __future__ import annotations
@@ -36,10 +38,8 @@ from .words import U64
 BANDS, ROWS = 50, 5
 BINS = BANDS * ROWS
 PERCENT = 75
-#: Members of one block of a bucket's complete search.
-BLOCK = 2048
-#: Sketches of sets at 0.75 agree on fewer of the 250 coordinates with probability below 1e-9 (mean 187, deviation 6.9).
-AGREE = 146
+#: Shingles of one block of a bucket's complete search (8 bytes each).
+BLOCK = 500_000
 _ROUND_BITS = U64(48)
 _LOW = U64((1 << 48) - 1)
 
@@ -74,20 +74,18 @@ def band_keys(filled: np.ndarray) -> np.ndarray:
 
 def _profiles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        ids, sizes, sets, bands, sigs = batch.column(0), [], [], [], []
+        ids, sizes, sets, bands = batch.column(0), [], [], []
         for text in batch.column(1).to_pylist():
             s = words.shingle_set(text)
             sizes.append(len(s))
             if len(s):
-                filled = sketch(s)
                 sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bands.append(band_keys(filled).view(np.int64))
-                sigs.append((words.mix(filled) >> U64(56)).astype(np.uint8).tobytes())
+                bands.append(band_keys(sketch(s)).view(np.int64))
             else:
-                sets.append(None), bands.append(None), sigs.append(None)
+                sets.append(None), bands.append(None)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-            names=["id", "n", "set_key", "bands", "sig"])
+            [ids, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            names=["id", "n", "set_key", "bands"])
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,50 +105,57 @@ def _verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
             keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-        out = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-        yield out
-
-
-def _cross_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, i, j, block, id, component, n, sig), one (bucket, i, j) after the other: pairs of
-    different components, one from block i and one from block j, that the sketches do not rule out."""
-    def pairs(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        left = np.flatnonzero(rows["block"] == rows["i"][0])
-        right = np.flatnonzero(rows["block"] == rows["j"][0])
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for k in left:
-            r = right[(rows["component"][right] != rows["component"][k])
-                      & (100 * np.minimum(rows["n"][right], rows["n"][k]) >= PERCENT * np.maximum(rows["n"][right], rows["n"][k]))]
-            if rows["i"][0] == rows["j"][0]:
-                r = r[rows["id"][r] > rows["id"][k]]
-            r = r[(rows["sig"][r] == rows["sig"][k]).sum(axis=1) >= AGREE] if len(r) else r
-            a.append(np.minimum(rows["id"][k], rows["id"][r]))
-            b.append(np.maximum(rows["id"][k], rows["id"][r]))
-        return np.concatenate(a), np.concatenate(b)
-
-    def arrays(batch: pa.RecordBatch) -> dict:
-        out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "block", "id", "component", "n")}
-        out["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, BINS)
-        return out
-
-    def batch_of(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
-
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _cross_links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, i, j, block, id, component, shingles), one (bucket, i, j) after the other ->
+    links between members of block i and members of block j that lie in different components,
+    without those that earlier ones of the group imply: fewer links than members."""
+    def links(rows: dict) -> pa.RecordBatch:
+        component, ids, sets = rows["component"], rows["id"], rows["shingles"]
+        left, right = (np.flatnonzero(rows["block"] == rows[c][0]) for c in "ij")
+        sizes = np.array([len(x) // 8 for x in sets])
+        # inverted index of the right side: shingle -> members, as one sorted array
+        flat = np.frombuffer(b"".join(sets[k] for k in right), dtype=U64)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(right)), sizes[right])[order]
+        parent = {c: c for c in component.tolist()}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        a, b = [], []
+        for k in left.tolist():
+            own = np.frombuffer(sets[k], dtype=U64)
+            lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            n = hi - lo
+            at = np.arange(n.sum()) + np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n)
+            both = np.bincount(owner[at], minlength=len(right))
+            for r in right[100 * both >= PERCENT * (sizes[right] + sizes[k] - both)].tolist():
+                x, y = root(int(component[k])), root(int(component[r]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    a.append(min(ids[k], ids[r])), b.append(max(ids[k], ids[r]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    columns = ("bucket", "i", "j", "block", "id", "component")
     held: dict | None = None  # the group that the last batch may have cut
     for batch in it:
         if not batch.num_rows:
             continue
-        rows = arrays(batch)
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns} | {"shingles": batch.column("shingles").to_pylist()}
         if held is not None:
-            rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
+            rows = {c: np.concatenate([held[c], rows[c]]) for c in columns} | {"shingles": held["shingles"] + rows["shingles"]}
         new = np.flatnonzero((np.diff(rows["bucket"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
         starts = [0, *new.tolist()]
         for s, e in zip(starts, starts[1:]):
-            if e - s > 1:
-                yield batch_of(pairs({c: v[s:e] for c, v in rows.items()}))
+            yield links({c: v[s:e] for c, v in rows.items()})
         held = {c: v[starts[-1]:] for c, v in rows.items()}
-    if held is not None and len(held["id"]) > 1:
-        yield batch_of(pairs(held))
+    if held is not None:
+        yield links(held)
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -170,14 +175,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     they share its component.  A row with a null id is linked with nothing, has a null
     component and is kept.  An empty table gives an empty result."""
     src = common.columns(docs, id=id_col, text=text_col)
-    profiles = common.materialize(src.mapInArrow(_profiles, "id long, n long, set_key binary, bands array<long>, sig binary"), "near-profiles")
+    profiles = common.materialize(src.mapInArrow(_profiles, "id long, n long, set_key binary, bands array<long>"), "near-profiles")
     usable = profiles.filter("id is not null and set_key is not null")
     reps = common.materialize(usable.groupBy("set_key").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-reps")
-    members = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
-    shared = (members.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("last"), F.count("*").alias("members"))
-              .filter("center <> last").select("bucket", "center", "members"))
-    crowded = common.materialize(members.join(shared, "bucket"), "near-buckets")
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-reps")
+    members = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "n")
+    shared = (members.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("last"), F.sum("n").alias("weight"))
+              .filter("center <> last").select("bucket", "center", "weight"))
+    crowded = common.materialize(members.drop("n").join(shared, "bucket"), "near-buckets")
 
     star = crowded.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     star = common.materialize(star, "near-star")
@@ -187,20 +192,20 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = common.materialize(_links(star, sets), "near-links")
     first = common.connected_components(links)
 
-    mixed = crowded.select("bucket", "id", "members").join(first.withColumnRenamed("node", "id"), "id", "left")
+    mixed = crowded.select("bucket", "id", "weight").join(first.withColumnRenamed("node", "id"), "id", "left")
     mixed = mixed.withColumn("component", F.coalesce("component", "id"))
     open_ = (mixed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo <> hi").select("bucket"))
+    # a block holds BLOCK shingles on average, and every two blocks of a bucket meet in one group
     left = (mixed.join(open_, "bucket", "left_semi")
-            .join(reps.select(F.col("rep").alias("id"), "n", "sig"), "id")
-            .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+            .withColumn("blocks", F.ceil(F.col("weight") / BLOCK).cast("int"))
             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            .join(sets, "id")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                    "block", "id", "component", "n", "sig"))
-    more = (left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-            .mapInArrow(_cross_pairs, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
-    more = common.materialize(_links(common.materialize(more, "near-cross"), sets), "near-links")
+                    "block", "id", "component", "shingles"))
+    more = common.materialize(left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+                              .mapInArrow(_cross_links, "a long, b long"), "near-links")
     final = common.connected_components(
         more.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
