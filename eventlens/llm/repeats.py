@@ -112,7 +112,7 @@ def _anchors(buckets: int):
 def _by_owner(doc: np.ndarray, key: np.ndarray, value: np.ndarray, name: str) -> pd.DataFrame:
     """One row per (document, text) with its packed values."""
     if not len(doc):
-        return pd.DataFrame({"id": np.empty(0, np.int64), "key": np.empty(0, np.int64), name: []})
+        return pd.DataFrame({"id": np.empty(0, np.int64), "key": np.empty(0, np.int64), name: np.empty(0, object)})
     order = np.lexsort((key, doc))
     doc, key, value = doc[order], key[order], value[order]
     starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])

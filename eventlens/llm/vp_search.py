@@ -89,7 +89,7 @@ class Tree:
 def _search(largest: float, k: int, relax: float):
     def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if points.empty or queries.empty:
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "ids": [], "scores": []})
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "ids": np.empty(0, object), "scores": np.empty(0, object)})
         tree = Tree(np.stack(points["v"]).astype(np.float64), points["id"].to_numpy(), largest)
         q = queries["id"].to_numpy()
         ids, scores = tree.search(np.stack(queries["v"]).astype(np.float64), q, k, relax)
