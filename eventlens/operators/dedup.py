@@ -37,7 +37,9 @@ def insert_new(batch: DataFrame, table: DataFrame) -> DataFrame:
 def mark_duplicates(articles: DataFrame) -> DataFrame:
     """G-7: among rows without a hash, the first of each hash gets it, the others
     get ``DUPLICATE_OF_<first id>``.  Output: id, content_hash, is_duplicate."""
-    h = with_content_hash(articles.drop("content_hash") if "content_hash" in articles.columns else articles)
+    if "content_hash" in articles.columns:  # rows hashed before are neither marked again nor kept as the first
+        articles = articles.filter(F.col("content_hash").isNull()).drop("content_hash")
+    h = with_content_hash(articles)
     keep = first_per_hash(h)
     j = h.join(keep, "content_hash")
     dup = F.col("id") != F.col("keep_id")

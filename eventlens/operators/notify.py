@@ -2,9 +2,8 @@
 
 Delivery to a push service is outside the engine; the outbox table is what a
 sender consumes.  The fan-out joins every message with every active token;
-the message side is bounded (the popular sweep sends at most ``top``
-messages, plus one run-complete message), so it is broadcast explicitly and
-the token side is never shuffled.
+the messages are written first, so the planner sees their size and broadcasts
+them while they are small.
 """
 from __future__ import annotations
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from ..functions.dates import parse_iso
+from ..session import materialize
 from .serving import cluster_articles
 
 
@@ -59,14 +59,11 @@ def custom_message(spark, title: str, body: str, kind: str = "custom") -> DataFr
                                  "cluster_id long, title string, body string, type string")
 
 
-def outbox(messages: DataFrame, tokens: DataFrame, max_messages: int = 1000) -> DataFrame:
-    """K-5: every message × every active token.  ``messages`` must be a bounded set (a
-    sweep's top-k or a single announcement); its size is checked before the broadcast."""
-    n = messages.count()
-    if n > max_messages:
-        raise ValueError(f"{n} messages exceed the broadcast bound {max_messages}; send in sweeps")
-    m = messages.select("cluster_id", "title", "body", "type")
-    return active_tokens(tokens).join(F.broadcast(m), how="cross")
+def outbox(messages: DataFrame, tokens: DataFrame) -> DataFrame:
+    """K-5: every message × every active token, which is the feature.  The messages are written
+    once, so their plan runs once and the planner chooses the join from their real size."""
+    m = materialize(messages.select("cluster_id", "title", "body", "type"), "outbox-messages")
+    return active_tokens(tokens).join(m, how="cross")
 
 
 def delivery_counts(results: DataFrame) -> DataFrame:

@@ -64,8 +64,10 @@ def get_or_create_sources(sources: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def update_source_details(sources: DataFrame, details: DataFrame,
                           columns=("name", "bias", "owner", "founded_at", "hq_location")) -> DataFrame:
-    """H-3 / D-J8: on url match overwrite the listed columns, nulls included."""
-    d = details.select(F.col("url").alias("_u"), *[F.col(c).alias(f"_d_{c}") for c in columns])
+    """H-3 / D-J8: on url match overwrite the listed columns, nulls included.  Of detail rows
+    that repeat a url the last in order of the listed columns counts."""
+    d = (details.groupBy(F.col("url").alias("_u")).agg(F.max(F.struct(*columns)).alias("_d"))
+         .select("_u", *[F.col(f"_d.{c}").alias(f"_d_{c}") for c in columns]))
     j = sources.join(d, sources.url == d._u, "left")
     hit = F.col("_u").isNotNull()
     out = j
@@ -81,8 +83,10 @@ def details_not_found(sources: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def update_partial(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """H-4 / H-5: set the listed columns where the change row gives a non-null value."""
-    ch = changes.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_n_{c}") for c in columns if c in changes.columns])
+    """H-4 / H-5: set the listed columns where the change row gives a non-null value.  Of change
+    rows that repeat a key the largest non-null value of each column counts."""
+    ch = changes.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_rows"), *[
+        F.max(c).alias(f"_n_{c}") for c in columns if c in changes.columns]).drop("_rows")
     j = table.join(ch, table[key] == ch._k, "left")
     for c in columns:
         if c in changes.columns and c in table.columns:
@@ -92,7 +96,7 @@ def update_partial(table: DataFrame, changes: DataFrame, key: str, columns: list
 
 def mark_processed(articles: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
     """H-8: set updated_at for the given article ids."""
-    hit = ids.select(F.col("id").alias("_id"), F.lit(True).alias("_hit"))
+    hit = ids.select(F.col("id").alias("_id")).distinct().withColumn("_hit", F.lit(True))
     j = articles.join(hit, articles.id == hit._id, "left")
     return j.withColumn("updated_at", F.when(F.col("_hit"), at).otherwise(F.col("updated_at"))) \
         .drop("_id", "_hit")

@@ -64,7 +64,7 @@ def tfidf_embeddings(docs: DataFrame, text_col: str = "text", id_col: str = "id"
     """C-2 (re-aimed): hashed TF-IDF, L2-normalised, as ARRAY<DOUBLE> of ``dims``.
 
     IDF is fitted on the given corpus (one distributed aggregation)."""
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", minTokenLength=1)
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=1)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dims)
     t = tf.transform(tok.transform(docs.select(id_col, text_col)))
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(t)

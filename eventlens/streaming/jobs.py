@@ -41,14 +41,10 @@ def upsert_batch(table_path: str, registry: DataFrame, lexicon: Lexicon = Lexico
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         parsed = parse_items(items_from_text(batch))
-        try:
-            articles = spark.read.parquet(f"{table_path}/articles")
-        except Exception:  # first batch: empty table
-            articles = spark.createDataFrame([], ARTICLES)
-        try:
-            sources = spark.read.parquet(f"{table_path}/sources")
-        except Exception:
-            sources = spark.createDataFrame([], SOURCES)
+        for name, schema in (("articles", ARTICLES), ("sources", SOURCES)):  # a no-op but for the first batch
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{table_path}/{name}")
+        articles = spark.read.schema(ARTICLES).parquet(f"{table_path}/articles")
+        sources = spark.read.schema(SOURCES).parquet(f"{table_path}/sources")
         as_of = F.current_timestamp().cast("timestamp_ntz")
         res = ingest(parsed, registry, sources, articles, as_of, lexicon)
         new = res.new_articles.checkpoint()  # ids fixed before the two writes
