@@ -11,7 +11,7 @@ at words 0, 25, 50, ...).  So:
    overlapping repeats merge into maximal passages.
 3. The words covered by repeats are removed.
 
-Windows never travel as rows: a task packs the hashes of a slice of its documents by
+Windows never travel as rows, and finds come back packed by chunks of documents: a task packs the hashes of a slice of its documents by
 bucket, so step 1 moves about 5 bytes a word.  The number of buckets follows the
 corpus' characters, which keeps a bucket's arrays at a few MB at every size.  One hash
 held by a third of all documents is a small part of a bucket, since a document spreads
@@ -36,6 +36,8 @@ WINDOW, BLOCK = 50, 25
 #: Characters of one packed slice of documents, and of the corpus for one bucket.
 SLICE_CHARS = 4_000_000
 BUCKET_CHARS = 2_000_000
+#: Buckets' worth of characters whose documents get their finds back as one chunk.
+CHUNK_BUCKETS = 8
 _LOW32 = U64(0xFFFFFFFF)
 
 
@@ -109,25 +111,43 @@ def _anchors(buckets: int):
     return run
 
 
-def _by_owner(doc: np.ndarray, key: np.ndarray, value: np.ndarray, name: str) -> pd.DataFrame:
-    """One row per (document, text) with its packed values."""
-    if not len(doc):
-        return pd.DataFrame({"id": np.empty(0, np.int64), "key": np.empty(0, np.int64), name: np.empty(0, object)})
-    order = np.lexsort((key, doc))
-    doc, key, value = doc[order], key[order], value[order]
-    starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
-    ends = [*starts[1:].tolist(), len(doc)]
-    return pd.DataFrame({"id": doc[starts], "key": key[starts], name: [value[s:e].tobytes() for s, e in zip(starts.tolist(), ends)]})
+def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of rows that are equal in all columns."""
+    new = np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)] if len(columns[0]) else np.empty(0, bool)
+    starts = np.flatnonzero(new).tolist()
+    return list(zip(starts, [*starts[1:], len(columns[0])]))
+
+
+def _by_chunk(doc: np.ndarray, key: np.ndarray, value: np.ndarray, chunks: int) -> pd.DataFrame:
+    """One row per chunk of documents, with owners and values packed."""
+    chunk = (words.mix(doc.astype(U64)) % U64(chunks)).astype(np.int64)
+    order = np.lexsort((key, doc, chunk))
+    chunk, doc, key, value = chunk[order], doc[order], key[order], value[order]
+    runs = _runs(chunk)
+    return pd.DataFrame({"chunk": np.array([chunk[s] for s, _ in runs], np.int64),
+                         **{c: np.array([v[s:e].tobytes() for s, e in runs] + [b""], object)[:-1] for c, v in (("docs", doc), ("keys", key), ("packed", value))}})
+
+
+def _by_text(dtype: str):
+    """A chunk's rows -> one row per (document, text) with its packed values."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        doc, key, value = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("docs", "<i8"), ("keys", "<i8"), ("packed", dtype)))
+        order = np.lexsort((key, doc))
+        doc, key, value = doc[order], key[order], value[order]
+        runs = _runs(doc, key)
+        at = np.array([s for s, _ in runs], np.int64)
+        return pd.DataFrame({"id": doc[at], "key": key[at], "packed": np.array([value[s:e].tobytes() for s, e in runs] + [b""], object)[:-1]})
+    return run
 
 
-def _hits(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's windows -> per text the hashes (bucket << 32 | lower half) of its hits and of its blocks that were hit."""
+def _hits(rows: pd.DataFrame, chunks: int) -> pd.DataFrame:
+    """A bucket's windows -> by text the hashes (bucket << 32 | lower half) of its hits and of its blocks that were hit."""
     bucket = int(rows["bucket"].iloc[0])
     doc, key, h = _unpack(rows, {"h": "<u4"})
     grid, h = (h & 1).astype(bool), h & np.uint32(0xFFFFFFFE)
     entries, where = np.unique(h[grid], return_inverse=True)
     if not len(entries):
-        return _by_owner(doc[:0], key[:0], h[:0], "hits")
+        return _by_chunk(doc[:0], key[:0], h[:0], chunks)
     low = np.full(len(entries), np.iinfo(np.int64).max)
     np.minimum.at(low, where, doc[grid])  # smallest document that holds the block
     at = np.searchsorted(entries, h)
@@ -137,7 +157,7 @@ def _hits(rows: pd.DataFrame) -> pd.DataFrame:
     high = np.full(len(entries), np.iinfo(np.int64).min)
     np.maximum.at(high, at, doc)  # largest document that probes the block
     keep = (low[at] < doc) | (grid & (high[at] > doc))
-    return _by_owner(doc[keep], key[keep], (np.uint64(bucket) << U64(32)) | h[keep].astype(U64), "hits")
+    return _by_chunk(doc[keep], key[keep], (np.uint64(bucket) << U64(32)) | h[keep].astype(U64), chunks)
 
 
 def _candidates(buckets: int):
@@ -167,14 +187,14 @@ def _candidates(buckets: int):
     return run
 
 
-def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's candidates -> per text the starts of those that also start in a smaller document."""
+def _repeats(rows: pd.DataFrame, chunks: int) -> pd.DataFrame:
+    """A bucket's candidates -> by text the starts of those that also start in a smaller document."""
     doc, key, h, g, p = _unpack(rows, {"h": "<u8", "g": "<u4", "p": "<u4"})
     order = np.lexsort((doc, g, h))
     d, same = doc[order], np.r_[False, (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])]
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(d))))
     keep = order[d > d[first]]
-    return _by_owner(doc[keep], key[keep], p[keep], "starts")
+    return _by_chunk(doc[keep], key[keep], p[keep], chunks)
 
 
 def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,13 +243,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     src = common.columns(docs, id=id_col, text=text_col).filter("id is not null and text is not null")
     src = src.select(F.col("id").cast("long").alias("id"), "text")
     n = buckets_for(src)
+    chunks = 1 + n // CHUNK_BUCKETS
+    returned = "chunk long, docs binary, keys binary, packed binary"
     packed = "bucket long, docs binary, keys binary, counts binary"
     hits = (src.mapInArrow(_anchors(n), f"{packed}, h binary").groupBy("bucket")
-            .applyInPandas(_hits, "id long, key long, hits binary"))
+            .applyInPandas(lambda rows: _hits(rows, chunks), returned))
+    hits = hits.groupBy("chunk").applyInPandas(_by_text("<u8"), "id long, key long, packed binary").withColumnRenamed("packed", "hits")
     hits = common.materialize(hits, "repeat-hits").groupBy("id").agg(F.collect_list("hits").alias("hits"))
     texts = common.materialize(src.join(hits, "id"), "repeat-texts")
     starts = (texts.mapInArrow(_candidates(n), f"{packed}, h binary, g binary, p binary").groupBy("bucket")
-              .applyInPandas(_repeats, "id long, key long, starts binary"))
+              .applyInPandas(lambda rows: _repeats(rows, chunks), returned))
+    starts = starts.groupBy("chunk").applyInPandas(_by_text("<u4"), "id long, key long, packed binary").withColumnRenamed("packed", "starts")
     starts = common.materialize(starts, "repeat-starts").groupBy("id", "key").agg(F.collect_list("starts").alias("starts"))
     keyed = texts.select("id", "text").mapInArrow(_keyed, "id long, key long, text string")
     return (keyed.join(starts, ["id", "key"]).select("id", "key", "text", "starts")
