@@ -18,6 +18,7 @@ and the tasks carry has a fixed bound; documents are read once per block.
 """
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,6 +150,7 @@ def _search(items: list[tuple[int, str]], shared):
         row_of[vocabulary] = np.arange(len(vocabulary))
         weighted = basis * idf[vocabulary][:, None]
         words_of = [tokens(t) for _, t in items]
+        counts_of = [Counter(w) for w in words_of]
         q = np.zeros((len(items), basis.shape[1]), dtype=np.float32)
         for k, (_, text) in enumerate(items):
             d, x = _tfidf(text, idf)
@@ -187,16 +189,21 @@ def _search(items: list[tuple[int, str]], shared):
                 cosine = ((sums[rank[some]] + sums[following]) @ q.T) / norm[some][:, None]
                 for k, j in np.argwhere(cosine >= COSINE).tolist():
                     doc = int(owner[some[k]])
-                    _verify(out, ids, tokened, words_of, items, doc, j, int(start[some[k]] - ends[doc] + lengths[doc]), float(cosine[k, j]))
+                    _verify(out, ids, tokened, words_of[j], counts_of[j], items, doc, j, int(start[some[k]] - ends[doc] + lengths[doc]), float(cosine[k, j]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()),
                  *(pa.array([v[c] for v in out.values()], pa.float64()) for c in range(3))],
                 names=["id", "item", "cosine", "lcs", "answer"])
 
-    def _verify(out, ids, tokened, words_of, items, doc, j, start, cosine):
-        item, text = words_of[j], tokened[doc]
-        answer = item[-max(3, len(item) // 4):]
+    def _verify(out, ids, tokened, item, counts, items, doc, j, start, cosine):
+        text = tokened[doc]
         around = text[max(0, start - len(item)) : start + WINDOW + len(item)]
+        # a common subsequence of any passage has no more words than item and surroundings share,
+        # and is no longer than that of all the surroundings
+        both = counts.keys() & set(around)
+        if sum(map(counts.__getitem__, both)) < LIKELY * len(item) or lcs(item, around) < LIKELY * len(item):
+            return
+        answer = item[-max(3, len(item) // 4):]
         # the passage with the best common subsequence, not longer than half as long again as the item
         span = max(len(item) + 8, len(item) * 3 // 2)
         best = (0, 0)
