@@ -30,6 +30,8 @@ from . import common
 
 #: Bound on the labelled sample that the scorer is fitted on, and its hashed dimensions.
 SAMPLE_ROWS, DIMENSIONS = 20_000, 1 << 12
+#: Texts of the sample that a task turns into features at once.
+SLICE_ROWS = 200
 #: Words below which the labellers abstain.
 FEW = 10
 #: Frequent short words of the languages served; their share tells prose from lists.
@@ -192,17 +194,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in it:
-            out = []
-            for text in part["text"]:
-                stats, shapes = statistics(text)
-                good = posterior.get(",".join(map(str, votes(stats))), 0.5)
-                at, values = features(stats, shapes)
-                out += [(at, values, 1.0, good), (at, values, 0.0, 1 - good)]
-            yield pd.DataFrame(out, columns=["at", "vals", "label", "weight"])
+            for first in range(0, len(part), SLICE_ROWS):
+                out = []
+                for text in part["text"].iloc[first : first + SLICE_ROWS]:
+                    stats, shapes = statistics(text)
+                    good = posterior.get(",".join(map(str, votes(stats))), 0.5)
+                    at, values = features(stats, shapes)
+                    at, values = np.array(at, np.int32), np.array(values)
+                    out += [(at, values, label, w) for label, w in ((1.0, good), (0.0, 1 - good)) if w > 0.001]
+                yield pd.DataFrame(out, columns=["at", "vals", "label", "weight"])
 
     vector = F.udf(lambda at, values: SparseVector(DIMENSIONS, at, values), VectorUDT())
-    train = common.materialize(sample.select("text").mapInPandas(rows, "at array<int>, vals array<double>, label double, weight double")
-                               .filter("weight > 0.001"), "quality-sample")
+    train = common.materialize(sample.select("text").mapInPandas(rows, "at array<int>, vals array<double>, label double, weight double"), "quality-sample")
     classes = train.groupBy("label").agg(F.sum("weight").alias("w")).collect()
     mass = {r["label"]: r["w"] for r in classes}
     if min(mass.get(0.0, 0), mass.get(1.0, 0)) < 1:
