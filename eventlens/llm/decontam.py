@@ -35,7 +35,7 @@ DIMENSIONS, PACK, ITEM_BLOCK, RANK, EXTRA, POWER_ROUNDS = 1 << 18, 4096, 1024, 2
 WINDOW, STRIDE = 32, 16
 COSINE, SURE, LIKELY, ANSWER = 0.4, 0.8, 0.6, 0.6
 #: Characters of the documents that a task works on at once.
-SLICE_CHARS = 600_000
+SLICE_CHARS = 60_000
 #: Letters, digits and bytes over 127 make words; the rest separates them.
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -148,13 +148,14 @@ def _search(items: list[tuple[int, str]], shared):
         idf2 = idf.astype(np.float64) ** 2
         row_of = np.full(DIMENSIONS, -1, dtype=np.int32)
         row_of[vocabulary] = np.arange(len(vocabulary))
-        weighted = basis * idf[vocabulary][:, None]
         words_of = [tokens(t) for _, t in items]
         counts_of = [Counter(w) for w in words_of]
         q = np.zeros((len(items), basis.shape[1]), dtype=np.float32)
         for k, (_, text) in enumerate(items):
             d, x = _tfidf(text, idf)
             q[k] = x.astype(np.float32) @ basis[np.searchsorted(vocabulary, d)]
+        # a window's latent product with an item is the sum of its words' products
+        product = (basis * idf[vocabulary][:, None]) @ q.T
         for batch in it:
             out: dict[tuple[int, int], tuple[float, float, float]] = {}
             for ids, texts in _slices(batch):
@@ -183,10 +184,10 @@ def _search(items: list[tuple[int, str]], shared):
                 block_of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(d)]))
                 words = np.flatnonzero((row_of[d] >= 0) & (rank[block_of] >= 0))
                 own, count = np.unique(rank[block_of[words]], return_counts=True)
-                sums = np.zeros((len(needed) + 1, basis.shape[1]), dtype=np.float32)
-                sums[own] = np.add.reduceat(weighted[row_of[d[words]]], np.r_[0, np.cumsum(count)[:-1]], axis=0) if len(own) else 0
+                sums = np.zeros((len(needed) + 1, len(items)), dtype=np.float32)
+                sums[own] = np.add.reduceat(product[row_of[d[words]]], np.r_[0, np.cumsum(count)[:-1]], axis=0) if len(own) else 0
                 following = np.where(paired[some], rank[np.minimum(some + 1, len(start) - 1)], len(needed))
-                cosine = ((sums[rank[some]] + sums[following]) @ q.T) / norm[some][:, None]
+                cosine = (sums[rank[some]] + sums[following]) / norm[some][:, None]
                 for k, j in np.argwhere(cosine >= COSINE).tolist():
                     doc = int(owner[some[k]])
                     _verify(out, ids, tokened, words_of[j], counts_of[j], items, doc, j, int(start[some[k]] - ends[doc] + lengths[doc]), float(cosine[k, j]))
