@@ -1,7 +1,7 @@
 """Operator 5: benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed words are counted over all documents (packed blocks of
-   a fixed-width vector, summed by block).
+1. Document frequencies of hashed words are counted over all documents: a fixed-width vector
+   in each task, its entries summed by word after the shuffle.
 2. The benchmark's passages, as TF-IDF rows, are reduced by a randomised SVD: a random
    projection, power rounds and the final Gram matrix are products A'(A X) over the
    distributed passages; the driver only orthogonalises narrow matrices.
@@ -22,7 +22,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +29,8 @@ from xxhash import xxh3_64_intdigest
 
 from . import common
 
-#: Hashed vocabulary, its packed blocks, items of one block, latent dimensions and the extra ones of the projection.
-DIMENSIONS, PACK, ITEM_BLOCK, RANK, EXTRA, POWER_ROUNDS = 1 << 18, 4096, 1024, 256, 16, 2
+#: Hashed vocabulary, items of one block, latent dimensions and the extra ones of the projection.
+DIMENSIONS, ITEM_BLOCK, RANK, EXTRA, POWER_ROUNDS = 1 << 18, 1024, 256, 16, 2
 WINDOW, STRIDE = 32, 16
 COSINE, SURE, LIKELY, ANSWER = 0.4, 0.8, 0.6, 0.6
 #: Characters of the documents that a task works on at once.
@@ -68,25 +67,15 @@ def inverse_document_frequencies(docs: DataFrame, text_col: str = "text") -> np.
             for text in batch.column(0).to_pylist():
                 total[np.unique(dims(tokens(text)))] += 1
                 n += 1
-        if n:
-            parts = total.reshape(-1, PACK)
-            yield pa.RecordBatch.from_arrays([pa.array([*range(len(parts)), -1], pa.int64()), pa.array([*(p.tobytes() for p in parts), np.int64(n).tobytes()], pa.binary())],
-                                             names=["block", "packed"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(p, np.int64) for p in rows["packed"])
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "packed": [total.tobytes()]})
-
-    summed = (common.columns(docs, text=text_col).mapInArrow(counts, "block long, packed binary").groupBy("block")
-              .applyInPandas(add, "block long, packed binary").collect())  # DIMENSIONS counts, whatever the corpus
-    df, n = np.zeros(DIMENSIONS, dtype=np.int64), 0
-    for r in summed:
-        values = np.frombuffer(r["packed"], np.int64)
-        if r["block"] < 0:
-            n = int(values[0])
-        else:
-            df[r["block"] * PACK : (r["block"] + 1) * PACK] = values
-    return np.log1p(n / (1.0 + df)).astype(np.float32)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*total[at].tolist(), n], pa.int64())], names=["dim", "n"])
+
+    summed = (common.columns(docs, text=text_col).mapInArrow(counts, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n"))
+              .toArrow())  # DIMENSIONS rows at most, whatever the corpus
+    dim, count = summed["dim"].to_numpy(), summed["n"].to_numpy()
+    df = np.zeros(DIMENSIONS, dtype=np.int64)
+    df[dim[dim >= 0]] = count[dim >= 0]
+    return np.log1p(count[dim < 0].sum() / (1.0 + df)).astype(np.float32)
 
 
 def _tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
