@@ -22,38 +22,48 @@ def parse_ntz(c, fmt: str = STORE_FMT) -> Column:
     return F.try_to_timestamp(_c(c), F.lit(fmt)).cast("timestamp_ntz")
 
 
-def parse_iso(c) -> Column:
-    """E-10: ISO-8601 text ('T' or ' ' separator, optional fraction and zone); null on failure.
-    Zoned input is converted to the session zone's wall clock, naive input is kept."""
-    return F.try_to_timestamp(F.regexp_replace(_c(c), "Z$", "+00:00")).cast("timestamp_ntz")
-
-
-# Formats tried, in order, after a leading weekday name is removed.
-FEED_DATE_FORMATS = [
-    "d MMM yyyy HH:mm:ss Z",
-    "d MMM yyyy HH:mm:ss z",
-    "d MMM yyyy HH:mm Z",
-    "d MMM yyyy HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss",
+def _wall(instant: Column, app_tz: str = fx.APP_TIMEZONE) -> Column:
+    """An instant (TIMESTAMP) as wall clock of ``app_tz``, whatever the session's zone."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    zero = F.lit(0)
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
+    return F.convert_timezone(F.lit("UTC"), F.lit(app_tz), utc)
+
+
+def parse_iso(c, app_tz: str = fx.APP_TIMEZONE) -> Column:
+    """E-10: ISO-8601 text ('T' or ' ' separator, optional fraction and zone) as wall clock of
+    ``app_tz``; null on failure.  Zoned input is converted, input without a zone is that clock."""
+    x = F.regexp_replace(_c(c), r"(?<=[T ])([0-9]{2}:[0-9]{2})(?=$|[ Z+-])", "$1:00")
+    x = F.regexp_replace(x, r"(:[0-9]{2}(?:\.[0-9]+)?) ?(?:Z|UTC|GMT)$", "$1+00:00")
+    x = F.regexp_replace(x, r"(:[0-9]{2}(?:\.[0-9]+)?) ?([+-][0-9]{2})(?::?([0-9]{2}))$", "$1$2:$3")
+    zoned = x.rlike(r":[0-9]{2}(?:\.[0-9]+)?[+-][0-9]{2}(?::[0-9]{2})?$")
+    return F.when(zoned, _wall(x.try_cast("timestamp"), app_tz)).otherwise(x.try_cast("timestamp_ntz"))
+
+
+# Formats tried, in order, after a leading weekday name is removed; ISO-8601 forms go by ``parse_iso``.
+ZONED_FORMATS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm z"]
+NAIVE_FORMATS = [
+    "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy", "d MMMM yyyy HH:mm:ss", "d MMMM yyyy HH:mm", "d MMMM yyyy",
+    "MMM d, yyyy h:mm:ss a", "MMM d, yyyy h:mm a", "MMM d, yyyy HH:mm:ss", "MMM d, yyyy HH:mm", "MMM d, yyyy",
+    "MMMM d, yyyy h:mm:ss a", "MMMM d, yyyy h:mm a", "MMMM d, yyyy HH:mm:ss", "MMMM d, yyyy HH:mm", "MMMM d, yyyy",
 ]
 
 
-def standardize_feed_date(c, app_tz: str = fx.APP_TIMEZONE) -> Column:
-    """E-7: free-form feed date -> 'yyyy-MM-dd HH:mm:ss' in the application zone, else 'N/A'.
+def parse_feed_date(c, app_tz: str = fx.APP_TIMEZONE) -> Column:
+    """E-8 parse-or-null: a feed date as wall clock of ``app_tz`` (NTZ).
 
-    Zoned inputs are instants and are shown in ``app_tz``; inputs without a
-    zone are taken as application wall clock, as the reference does."""
+    Zoned inputs are instants and are converted; inputs without a zone are taken as
+    application wall clock, as the reference does."""
     raw = F.regexp_replace(F.trim(_c(c)), r"^[A-Za-z]{3,9},\s*", "")
-    zoned = F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)) for f in FEED_DATE_FORMATS if
-                         any(z in f for z in ("Z", "z", "X"))])
-    naive = F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)).cast("timestamp_ntz") for f in FEED_DATE_FORMATS
-                         if not any(z in f for z in ("Z", "z", "X"))])
-    zoned_local = F.convert_timezone(None, F.lit(app_tz), zoned.cast("timestamp_ntz"))
-    ts = F.coalesce(zoned_local, naive)
-    return F.coalesce(F.date_format(ts, STORE_FMT), F.lit("N/A"))
+    zoned = F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)) for f in ZONED_FORMATS])
+    naive = F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)) for f in NAIVE_FORMATS]).cast("timestamp_ntz")
+    return F.when(raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), parse_iso(raw, app_tz)) \
+        .otherwise(F.coalesce(_wall(zoned, app_tz), naive))
+
+
+def standardize_feed_date(c, app_tz: str = fx.APP_TIMEZONE) -> Column:
+    """E-7: free-form feed date -> 'yyyy-MM-dd HH:mm:ss' in the application zone, else 'N/A'."""
+    return F.coalesce(F.date_format(parse_feed_date(c, app_tz), STORE_FMT), F.lit("N/A"))
 
 
 def seconds_between(start, end) -> Column:
@@ -121,9 +131,12 @@ def page_numbers(page, total, per_page) -> Column:
 # ---------------------------------------------------------------------------
 def to_app_zone(ts, app_tz: str = fx.APP_TIMEZONE, naive_is_app: bool = True) -> Column:
     """E-8 to_app_timezone: an instant (TIMESTAMP) → app wall clock; an NTZ value is
-    already app wall clock and is returned unchanged."""
+    already app wall clock and is returned unchanged (``naive_is_app=False``: it is UTC)."""
     c = _c(ts)
-    return F.convert_timezone(None, F.lit(app_tz), c.cast("timestamp_ntz"))
+    naive = c.cast("timestamp_ntz")
+    if not naive_is_app:
+        naive = F.convert_timezone(F.lit("UTC"), F.lit(app_tz), naive)
+    return F.when(F.typeof(c) == "timestamp_ntz", naive).otherwise(_wall(c.cast("timestamp"), app_tz))
 
 
 def app_to_utc(ntz, app_tz: str = fx.APP_TIMEZONE) -> Column:
@@ -138,4 +151,4 @@ def format_ts(ts, fmt: str = STORE_FMT) -> Column:
 
 def app_now(app_tz: str = fx.APP_TIMEZONE) -> Column:
     """E-8 now(): the current instant as app wall clock (use a fixed ``as_of`` in jobs)."""
-    return F.convert_timezone(None, F.lit(app_tz), F.current_timestamp().cast("timestamp_ntz"))
+    return _wall(F.current_timestamp(), app_tz)

@@ -6,6 +6,8 @@ whole-stage code generation with no Python in the hot path.
 """
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,28 +64,54 @@ def content_hash(headline, description) -> Column:
     return F.sha2(F.concat(h, F.lit("|"), d), 256)
 
 
+# What an HTML reader makes of the code points 128-159: windows-1252, where that has a character.
+_C1 = {n: bytes([n]).decode("cp1252", "ignore") for n in range(0x80, 0xA0)}
+_C1_FROM = "".join(chr(n) for n, c in _C1.items() if c)
+_C1_TO = "".join(c for c in _C1.values() if c)
+
+
+def decode_entities(c) -> Column:
+    """Character references of a text, numeric and named (HTML 4 names), each decoded once;
+    anything else after an ampersand stays as it is."""
+    names = F.create_map(*[F.lit(x) for name, n in name2codepoint.items() for x in (name, chr(n))])
+
+    def piece(s: Column, i: Column) -> Column:
+        name = F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9]{1,9});", 1)
+        code = F.coalesce(F.nullif(F.regexp_extract(s, r"^#([0-9]{1,7});?", 1), F.lit("")).cast("int"),
+                          F.conv(F.nullif(F.regexp_extract(s, r"^#[xX]([0-9A-Fa-f]{1,6});?", 1), F.lit("")), 16, 10).cast("int"))
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.translate(F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"), _C1_FROM, _C1_TO)
+        rest = F.regexp_replace(s, r"^#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", "")
+        kept = F.concat(F.lit("&"), s)
+        return (F.when(i == 0, s)
+                .when(s.startswith("#"), F.when(valid, F.concat(char, rest)).otherwise(kept))
+                .otherwise(F.coalesce(F.concat(F.try_element_at(names, name), F.substr(s, F.length(name) + 2)), kept)))
+
+    return F.array_join(F.transform(F.split(_c(c), "&"), piece), "")
+
+
 def html_to_text(c) -> Column:
-    """E-5: visible text of an HTML fragment, each text node stripped, joined with no separator."""
-    x = F.regexp_replace(_c(c), r"(?s)<!--.*?-->", "")
+    """E-5: visible text of an HTML fragment, each text node stripped, joined with no separator.
+    Tags, comments, scripts and style sheets separate text nodes."""
+    x = F.regexp_replace(_c(c), r"(?s)<!--.*?-->", SEP)
     x = F.regexp_replace(x, r"(?is)<script\b[^>]*>.*?</script\s*>", SEP)
     x = F.regexp_replace(x, r"(?is)<style\b[^>]*>.*?</style\s*>", SEP)
     x = F.regexp_replace(x, r"<[^>]*>", SEP)
-    for ent, ch in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"),
-                    ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    parts = F.transform(F.split(x, SEP), lambda p: strip(p))
+    parts = F.transform(F.split(x, SEP), lambda p: strip(decode_entities(p)))
     return F.array_join(F.filter(parts, lambda p: p != ""), "")
 
 
-IMG_SRC_RE = r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["']"""
+IMG_RE = r"""(?i)<img\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+IMG_SRC_RE = r"""(?i)\ssrc\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def image_url(media_url, encoded, description) -> Column:
-    """E-6: media:content url, else first <img src> of content:encoded (if non-empty)
+    """E-6: media:content url, else the src of the first <img> of content:encoded (if non-empty)
     or of the description, else 'N/A'."""
     html = F.when(F.coalesce(_c(encoded), F.lit("")) != "", _c(encoded)).otherwise(_c(description))
-    img = F.nullif(F.regexp_extract(F.coalesce(html, F.lit("")), IMG_SRC_RE, 1), F.lit(""))
-    return F.coalesce(F.nullif(_c(media_url), F.lit("")), img, F.lit("N/A"))
+    tag = F.regexp_extract(F.coalesce(html, F.lit("")), IMG_RE, 0)
+    src = F.element_at(F.transform(F.array(tag), lambda t: F.concat(*[F.regexp_extract(t, IMG_SRC_RE, k) for k in (1, 2, 3)])), 1)
+    return F.coalesce(F.nullif(_c(media_url), F.lit("")), F.nullif(decode_entities(src), F.lit("")), F.lit("N/A"))
 
 
 def truncate(c, n: int = fx.TRUNCATE_TITLE, ellipsis: str = "") -> Column:

@@ -46,10 +46,6 @@ from .similarity import blocked_join, epoch_us, has_content, to_double, unit_mat
 HOUR_US = 3_600_000_000
 
 
-class NotConverged(RuntimeError):
-    pass
-
-
 def prepare(articles: DataFrame, time_col: str = "published_at", source_col: str = "source_id",
             vec_col: str = "embedding", fmt: str = "yyyy-MM-dd HH:mm:ss") -> tuple[DataFrame, DataFrame]:
     """B-12 + C-5: clusterable rows (id, src, t_us, vec) and the rejects (id, reason).
@@ -188,7 +184,7 @@ def _round(labels: DataFrame, points: DataFrame, pairs: DataFrame, active: DataF
 
 
 def cluster_labels(points: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD,
-                   window_hours: float = fx.TIME_WINDOW_HOURS, max_rounds: int = 500,
+                   window_hours: float = fx.TIME_WINDOW_HOURS,
                    block_rows: int = 2048, pairs: DataFrame | None = None,
                    stats: dict | None = None) -> DataFrame:
     """C-4 over prepared points (id, src, t_us, vec): (id, label, score), label = first member id.
@@ -209,7 +205,7 @@ def cluster_labels(points: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD
     # Articles without partners never join anything: only the others are evaluated.
     active = pairs.select(F.col("a").alias("id")).distinct()
     rounds = 0
-    while rounds < max_rounds:
+    while True:  # ends: every round fixes at least the next article in order
         rounds += 1
         upd = _round(labels, pts, pairs, active, threshold, window_us, max_cand=n_pairs) \
             .select("id", F.col("label").alias("_nl"), F.col("score").alias("_ns"))
@@ -231,15 +227,14 @@ def cluster_labels(points: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD
         # lineage of the next active set ends at the written labels and pairs
         active = pairs.select("a", "m").join(lab_m, "m").join(touched, "L", "left_semi") \
             .select(F.col("a").alias("id")).distinct()
-    raise NotConverged(f"event clustering did not converge in {max_rounds} rounds")
 
 
 def event_clusters(articles: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD,
-                   window_hours: float = fx.TIME_WINDOW_HOURS, max_rounds: int = 200,
+                   window_hours: float = fx.TIME_WINDOW_HOURS,
                    block_rows: int = 2048, **prep) -> DataFrame:
     """C-4 + link rows: (cluster_id, article_id, similarity_score)."""
     pts, _ = prepare(articles, **prep)
-    lab = cluster_labels(pts, threshold, window_hours, max_rounds, block_rows)
+    lab = cluster_labels(pts, threshold, window_hours, block_rows)
     return lab.select(F.col("label").alias("cluster_id"), F.col("id").alias("article_id"),
                       F.col("score").alias("similarity_score"))
 
@@ -256,31 +251,3 @@ def materialize_clusters(links: DataFrame, articles: DataFrame, created_at: Colu
     if created_at is not None:
         out = out.withColumn("created_at", created_at)
     return out
-
-
-def sequential_reference(rows: list[tuple], threshold: float, window_hours: float) -> dict[int, tuple[int, float]]:
-    """Plain sequential pass (test oracle, small inputs only): rows = (id, src, t_us, vec)."""
-    rows = sorted(rows, key=lambda r: (r[2], r[0]))
-    clusters: list[dict] = []
-    out = {}
-    for aid, src, t, v in rows:
-        v = np.asarray(v, dtype=np.float64)
-        best, best_sim = None, -1.0
-        for c in clusters:
-            if t - c["last"] > window_hours * HOUR_US or src in c["srcs"]:
-                continue
-            cen = c["sum"] / c["n"]
-            d = np.linalg.norm(v) * np.linalg.norm(cen)
-            sim = float(v @ cen / d) if d > 0 else float("nan")
-            if sim > best_sim:
-                best, best_sim = c, sim
-        if best is not None and best_sim > threshold:
-            best["sum"] = best["sum"] + v
-            best["n"] += 1
-            best["srcs"].add(src)
-            best["last"] = t
-            out[aid] = (best["root"], best_sim)
-        else:
-            clusters.append({"root": aid, "sum": v.copy(), "n": 1, "srcs": {src}, "last": t})
-            out[aid] = (aid, 1.0)
-    return out

@@ -49,8 +49,9 @@ def _any(col: Column, needles: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [col.contains(F.lit(n)) for n in needles])
 
 
-def zones(headline, description, parity: bool = True) -> tuple[Column, Column, Column]:
-    """(title, body, full) text zones.  ``parity=False`` also normalises the text's Arabic."""
+def zones(headline, description, parity: bool = False) -> tuple[Column, Column, Column]:
+    """(title, body, full) text zones, Arabic normalised like the keywords (Q-11).
+    ``parity=True`` leaves the text's Arabic as it is, as the reference does."""
     h = F.col(headline) if isinstance(headline, str) else headline
     d = F.col(description) if isinstance(description, str) else description
     title, body = normalize_text(h), normalize_text(d)
@@ -59,11 +60,12 @@ def zones(headline, description, parity: bool = True) -> tuple[Column, Column, C
     return title, body, F.concat(title, F.lit(" "), body)
 
 
-def _parts(title: Column, body: Column, lex: Lexicon) -> dict[str, Column]:
+def _parts(title: Column, body: Column, lex: Lexicon, parity: bool) -> dict[str, Column]:
     full = F.concat(title, F.lit(" "), body)
     a_any = [v for kw in lex.definitive + lex.strong for v in _variants(kw, True)]
     a_def = [v for kw in lex.definitive for v in _variants(kw, True)]
-    excl = [kw.lower() for kw in lex.exclusion]
+    # exclusions are spelt as the text is: raw in parity mode, normalised where the text is
+    excl = [kw.lower() if parity else _py_norm_ar(kw.lower()) for kw in lex.exclusion]
     ctx = [_py_norm_ar(kw.lower()) for kw in lex.context]
     score = reduce(lambda a, b: a + b, [
         F.when(title.contains(F.lit(k)), F.lit(lex.title_weight))
@@ -89,7 +91,7 @@ def _parts(title: Column, body: Column, lex: Lexicon) -> dict[str, Column]:
 
 
 def relevance_struct(headline="headline", description="description", lex: Lexicon = Lexicon(),
-                     parity: bool = True) -> Column:
+                     parity: bool = False) -> Column:
     """All relevance parts as one struct.  The normalised zones are bound once as a lambda
     variable (``transform`` over a one-element array), so each text is normalised once
     however many keyword tests read it — common-subexpression elimination does not reach
@@ -97,18 +99,18 @@ def relevance_struct(headline="headline", description="description", lex: Lexico
     title, body, _ = zones(headline, description, parity)
     z = F.array(F.struct(title.alias("t"), body.alias("b")))
     return F.element_at(F.transform(z, lambda r: F.struct(*[
-        c.alias(k) for k, c in _parts(r["t"], r["b"], lex).items()])), 1)
+        c.alias(k) for k, c in _parts(r["t"], r["b"], lex, parity).items()])), 1)
 
 
 def relevance_parts(headline="headline", description="description", lex: Lexicon = Lexicon(),
-                    parity: bool = True) -> dict[str, Column]:
+                    parity: bool = False) -> dict[str, Column]:
     st = relevance_struct(headline, description, lex, parity)
     return {k: st[k] for k in ("local_tier_a", "local_context_hits", "has_exclusion", "tier_a_title",
                                "tier_a_body", "context_score", "rel_local", "rel_international")}
 
 
 def is_relevant(source_type: Column | str, headline="headline", description="description",
-                lex: Lexicon = Lexicon(), parity: bool = True) -> Column:
+                lex: Lexicon = Lexicon(), parity: bool = False) -> Column:
     """B-10 as one boolean expression; ``source_type`` is 'local' or 'international'."""
     st = F.col(source_type) if isinstance(source_type, str) and source_type not in ("local", "international") \
         else (F.lit(source_type) if isinstance(source_type, str) else source_type)
@@ -117,7 +119,7 @@ def is_relevant(source_type: Column | str, headline="headline", description="des
 
 
 def relevance_gate(articles: DataFrame, lex: Lexicon = Lexicon(), filter_local: bool = False,
-                   parity: bool = True) -> DataFrame:
+                   parity: bool = False) -> DataFrame:
     """B-11: local rows pass unless ``filter_local``; international rows must pass B-10."""
     rel = is_relevant(F.col("category"), "headline", "description", lex, parity)
     keep = rel if filter_local else ((F.col("category") == "local") | rel)

@@ -251,7 +251,8 @@ def popular_clusters(clusters: DataFrame, links: DataFrame, as_of: Column,
     newest = clusters.orderBy(F.desc_nulls_last("published_at"), F.desc("id")).limit(scan) \
         .withColumn("recent_rank", F.row_number().over(w))
     fresh = newest.filter(F.col("created_at") >= as_of - F.expr(f"INTERVAL {int(hours * 3600)} SECONDS"))
-    cnt = links.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("article_count"))
+    cnt = links.join(fresh.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi") \
+        .groupBy("cluster_id").agg(F.count(F.lit(1)).alias("article_count"))
     j = fresh.join(cnt, fresh.id == cnt.cluster_id).drop("cluster_id") \
         .filter(F.col("article_count") >= min_articles)
     return j.orderBy(F.desc("article_count"), F.asc("recent_rank")).limit(top) \

@@ -20,13 +20,14 @@ def _hours(h: float) -> Column:
 def coverage_counts(links: DataFrame, articles: DataFrame, as_of: Column,
                     recent_hours: float = fx.RECENT_HOURS,
                     previous_hours: float = fx.PREVIOUS_HOURS) -> DataFrame:
-    """(cluster_id, recent_count, previous_count) over linked articles' created_at."""
-    a = articles.select(F.col("id").alias("article_id"), "created_at")
+    """(cluster_id, recent_count, previous_count) over linked articles' created_at, for the
+    clusters with an article in either span.  Older articles are filtered before the join."""
     six, twelve = as_of - _hours(recent_hours), as_of - _hours(previous_hours)
+    a = articles.select(F.col("id").alias("article_id"), "created_at").filter(F.col("created_at") > twelve)
     c = F.col("created_at")
     return links.select("cluster_id", "article_id").join(a, "article_id").groupBy("cluster_id").agg(
         F.count_if(c > six).alias("recent_count"),
-        F.count_if((c <= six) & (c > twelve)).alias("previous_count"),
+        F.count_if(c <= six).alias("previous_count"),
     )
 
 

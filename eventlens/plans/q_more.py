@@ -104,7 +104,9 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{root}/tables/articles").select("id", "source_id", "content_hash", "category")
 
 
-@query("stream_windowed_coverage")
+@query("stream_windowed_coverage", """
+select l.cluster_id, time_bucket(INTERVAL 6 HOUR, a.created_at) as window_start, count(*) as n
+from v_links l join v_articles a on a.id = l.article_id group by 1, 2""")
 def stream_windowed_coverage(spark, sf_dir):
     """Link events (cluster, created_at) streamed through L-3 in update mode; the last
     update per (cluster, window) is the count."""
@@ -122,5 +124,5 @@ def stream_windowed_coverage(spark, sf_dir):
         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/out")
-    return out.groupBy("cluster_id", "window_start").agg(F.max("n").alias("n"))
+    return out.groupBy("cluster_id", F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(F.max("n").alias("n"))
 

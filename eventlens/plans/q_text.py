@@ -89,11 +89,13 @@ TEST_LEXICON = Lexicon(
 )
 
 
-def _sql_parts(lex: Lexicon) -> str:
+def _sql_parts(lex: Lexicon, parity: bool = False) -> str:
     title, body = S.normalize_text("headline"), S.normalize_text("description")
+    if not parity:
+        title, body = S.norm_v1(title), S.norm_v1(body)
     a_any = [v for kw in lex.definitive + lex.strong for v in _variants(kw, True)]
     a_def = [v for kw in lex.definitive for v in _variants(kw, True)]
-    excl = [kw.lower() for kw in lex.exclusion]
+    excl = [kw.lower() if parity else _py_norm_ar(kw.lower()) for kw in lex.exclusion]
     ctx = [_py_norm_ar(kw.lower()) for kw in lex.context]
     score = " + ".join(
         f"(case when contains(title, {S.lit(k)}) then {lex.title_weight} "
@@ -131,6 +133,14 @@ def relevance_international(spark, sf_dir):
     return a.select("id", is_relevant("international", lex=TEST_LEXICON).alias("is_relevant"))
 
 
+@query("relevance_raw_text", "WITH " + _sql_parts(TEST_LEXICON, parity=True) + " select id, rel_local, rel_intl from rel")
+def relevance_raw_text(spark, sf_dir):
+    """B-10 in the mode that leaves the text's Arabic as it is (Q-11)."""
+    p = relevance_parts(lex=TEST_LEXICON, parity=True)
+    return DriverTables(spark, sf_dir).articles.select(
+        "id", p["rel_local"].alias("rel_local"), p["rel_international"].alias("rel_intl"))
+
+
 @query("relevance_score", "WITH " + _sql_parts(TEST_LEXICON) + """
 select id, context_score, has_exclusion, tier_a_title, tier_a_body from rel""")
 def relevance_score(spark, sf_dir):

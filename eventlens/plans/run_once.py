@@ -36,7 +36,7 @@ class IngestResult:
 
 def ingest(parsed: DataFrame, registry: DataFrame, sources: DataFrame, articles: DataFrame,
            as_of: Column, lexicon: Lexicon = Lexicon(), filter_local: bool = False,
-           parity: bool = True) -> IngestResult:
+           parity: bool = False) -> IngestResult:
     """Parsed items → (sources table, new article rows, per-source counters F-19)."""
     x = parsed.withColumn("feed_key", feed_key(F.col("path"))).join(registry, "feed_key")
     reg_src = registry.select(F.col("source").alias("url"), F.col("source").alias("name"),

@@ -28,20 +28,27 @@ def content_hash(h: str, d: str) -> str:
     return f"sha256(lower({strip(norm_v1(h))}) || '|' || lower({strip(norm_v1(d))}))"
 
 
+def entities(s: str) -> str:
+    """The named references that the test pages hold, and the common ones; the ampersand last."""
+    for name, code in (("nbsp", 160), ("lt", 60), ("gt", 62), ("quot", 34), ("copy", 169), ("middot", 183),
+                       ("laquo", 171), ("raquo", 187), ("ndash", 8211), ("mdash", 8212), ("hellip", 8230), ("amp", 38)):
+        s = f"replace({s}, '&{name};', chr({code}))"
+    return s
+
+
 def html_to_text(x: str) -> str:
-    s = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
+    s = f"regexp_replace({x}, '(?s)<!--.*?-->', chr(1), 'g')"
     s = f"regexp_replace({s}, {lit(r'(?is)<script\b[^>]*>.*?</script\s*>')}, chr(1), 'g')"
     s = f"regexp_replace({s}, {lit(r'(?is)<style\b[^>]*>.*?</style\s*>')}, chr(1), 'g')"
-    s = f"regexp_replace({s}, '<[^>]*>', chr(1), 'g')"
-    for ent, ch in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"),
-                    ("&quot;", "'\"'"), ("&#39;", "''''"), ("&amp;", "'&'")):
-        s = f"replace({s}, '{ent}', {ch})"
+    s = entities(f"regexp_replace({s}, '<[^>]*>', chr(1), 'g')")
     parts = f"list_transform(string_split({s}, chr(1)), lambda p: {strip('p')})"
     return f"array_to_string(list_filter({parts}, lambda p: p <> ''), '')"
 
 
 def image_url_from_html(x: str) -> str:
-    return f"coalesce(nullif(regexp_extract(coalesce({x}, ''), {lit(T.IMG_SRC_RE)}, 1), ''), 'N/A')"
+    tag = f"regexp_extract(coalesce({x}, ''), '(?i)<img\\b[^>]*>')"
+    src = entities(f"trim(regexp_extract({tag}, {lit(r'(?i)\s+src=("[^"]*|[^ >]+)')}, 1), '\"')")
+    return f"coalesce(nullif({src}, ''), 'N/A')"
 
 
 def any_contains(col: str, needles: list[str]) -> str:

@@ -1,7 +1,9 @@
 """Hard cases of single operators: hashed rows, repeated change keys, Arabic text, many messages."""
 from pyspark.sql import functions as F
 
+from eventlens.functions import dates, text
 from eventlens.operators import dedup, notify, upserts
+from eventlens.operators.relevance import is_relevant
 from eventlens.plans.run_once import tfidf_embeddings
 
 
@@ -32,3 +34,49 @@ def test_outbox_has_no_message_bound(spark):
     messages = spark.range(1500).select(F.col("id").alias("cluster_id"), F.lit("t").alias("title"), F.lit("b").alias("body"), F.lit("new").alias("type"))
     tokens = spark.createDataFrame([("a", "ios"), ("b", "web"), (None, "web")], "token string, platform string")
     assert notify.outbox(messages, tokens).count() == 3000
+
+
+def _map(spark, values, fn):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string")
+    return [r.out for r in df.select("k", fn(F.col("v")).alias("out")).orderBy("k").collect()]
+
+
+def test_exclusions_hold_in_both_modes(spark):
+    df = spark.createDataFrame([("أخبار غزة", "السودان")], "headline string, description string")
+    for parity in (True, False):
+        assert df.select(is_relevant("international", parity=parity).alias("r")).first().r is False
+
+
+def test_dates_do_not_depend_on_the_session_zone(spark):
+    values = ["2025-12-02 11:00:00+00:00", "2025-12-02T11:00Z", "2025-12-02T11:00:00.123456Z", "2025-12-02T14:00:00+0300",
+              "2025-12-02 13:00:00", "2025-12-02", "Dec 2, 2025 11:00 AM", "December 2, 2025", "Tue, 02 Dec 2025 11:00:00 GMT",
+              "02 Dec 2025 11:00:00 +0000", "nonsense", "", None]
+    want = ["2025-12-02 13:00:00"] * 5 + ["2025-12-02 00:00:00", "2025-12-02 11:00:00", "2025-12-02 00:00:00"] \
+        + ["2025-12-02 13:00:00"] * 2 + ["N/A"] * 3
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert _map(spark, values, dates.standardize_feed_date) == want
+            iso = _map(spark, values[:5], lambda c: F.date_format(dates.parse_iso(c), dates.STORE_FMT))
+            assert iso == want[:5]
+            naive = F.lit("2025-12-02 10:00:00").cast("timestamp_ntz")
+            instant = F.timestamp_seconds(F.lit(1764669600))  # 10:00 UTC
+            row = spark.range(1).select(*[F.date_format(c, dates.STORE_FMT).alias(n) for n, c in (
+                ("a", dates.to_app_zone(naive)), ("b", dates.to_app_zone(naive, naive_is_app=False)), ("c", dates.to_app_zone(instant)))]).first()
+            assert (row.a, row.b, row.c) == ("2025-12-02 10:00:00", "2025-12-02 12:00:00", "2025-12-02 12:00:00")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_html_text_decodes_references_once(spark):
+    values = ["a &mdash; b&#8217;s &hellip;", "&amp;lt; &amp;#39; AT&T &unknown; &#0; &#x1F600;", "one <!-- c --> two", "&#146;&nbsp;x&nbsp;", None]
+    want = ["a \u2014 b\u2019s \u2026", "&lt; &#39; AT&T &unknown; &#0; \U0001F600", "onetwo", "\u2019\u00a0x", None]
+    assert _map(spark, values, text.html_to_text) == want
+
+
+def test_first_image_is_the_one(spark):
+    values = ['<p><img data-src="lazy" src="a.png">', "<IMG alt='>' src=b.png width=1>", "<img alt=x><img src='c.png'>",
+              "<img src='d.png?a=1&amp;b=2'/>", "no image", None]
+    got = _map(spark, values, lambda c: text.image_url(F.lit(None), F.lit(None), c))
+    assert got == ["a.png", "b.png", "N/A", "d.png?a=1&b=2", "N/A", "N/A"]
