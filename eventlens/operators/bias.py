@@ -34,13 +34,20 @@ def article_sides(links: DataFrame, articles: DataFrame, sources: DataFrame) ->
     )
 
 
+def side_aggregates() -> list[Column]:
+    """Counts per ``side`` and in all, for any grouping."""
+    return [*[F.count_if(F.col("side") == k).alias(f"{k}_count") for k in ("pro", "neutral", "oppose")],
+            F.count(F.lit(1)).alias("total_articles")]
+
+
+def side_share(k: str) -> Column:
+    """Percentage of one side among all articles counted by ``side_aggregates``."""
+    n = F.col("total_articles")
+    return F.when(n > 0, F.bround(F.col(f"{k}_count") / n * 100, 1)).otherwise(F.lit(0.0)).alias(f"{k}_pct")
+
+
 def side_counts(sides: DataFrame) -> DataFrame:
-    return sides.groupBy("cluster_id").agg(
-        F.count_if(F.col("side") == "pro").alias("pro_count"),
-        F.count_if(F.col("side") == "neutral").alias("neutral_count"),
-        F.count_if(F.col("side") == "oppose").alias("oppose_count"),
-        F.count(F.lit(1)).alias("total_articles"),
-    )
+    return sides.groupBy("cluster_id").agg(*side_aggregates())
 
 
 def blindspot_metrics(
@@ -95,17 +102,8 @@ def apply_blindspot(clusters: DataFrame, metrics: DataFrame) -> DataFrame:
 def bias_distribution(links: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:
     """F-3: count and share per side; the share's denominator is *all* linked articles."""
     c = side_counts(article_sides(links, articles, sources))
-    n = F.col("total_articles")
-
-    def pct(k: str) -> Column:
-        return F.when(n > 0, F.bround(F.col(f"{k}_count") / n * 100, 1)).otherwise(F.lit(0.0))
-
-    return c.select(
-        "cluster_id", "total_articles",
-        "pro_count", pct("pro").alias("pro_pct"),
-        "neutral_count", pct("neutral").alias("neutral_pct"),
-        "oppose_count", pct("oppose").alias("oppose_pct"),
-    )
+    return c.select("cluster_id", "total_articles",
+                    *[x for k in ("pro", "neutral", "oppose") for x in (f"{k}_count", side_share(k))])
 
 
 def dominant_side(distribution: DataFrame) -> DataFrame:

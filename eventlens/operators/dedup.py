@@ -6,7 +6,7 @@ map task before the shuffle, never one giant sorted group.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
@@ -24,8 +24,14 @@ def first_per_hash(hashed: DataFrame, order_col: str = "id") -> DataFrame:
 def dedup_batch(articles: DataFrame) -> DataFrame:
     """H-1 within a batch: one row per content hash, the lowest id wins."""
     h = with_content_hash(articles)
-    keep = first_per_hash(h).select(F.col("keep_id").alias("id"))
-    return h.join(keep, "id", "left_semi")
+    return first_rows(h, F.col("id")).select(*h.columns)
+
+
+def first_rows(hashed: DataFrame, order: Column) -> DataFrame:
+    """The whole first row of each content hash, as one partial aggregation: a hash that a third
+    of the rows hold sends one row per map task."""
+    rest = [c for c in hashed.columns if c != "content_hash"]
+    return hashed.groupBy("content_hash").agg(F.min_by(F.struct(*rest), order).alias("_r")).select("content_hash", "_r.*")
 
 
 def insert_new(batch: DataFrame, table: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fx
 from ..fixed_values import ENTITY_LIST_KEYS
 from ..functions.dates import iso_text, parse_iso, parse_ntz
+from ..session import materialize
+from .bias import bias_side, side_aggregates, side_share
 
 
 def text_match(col: Column, q: str, mode: str = "contains") -> Column:
@@ -91,8 +93,8 @@ def page_with_total(df: DataFrame, limit: int = 50, offset: int = 0) -> DataFram
 # Statistics
 # ---------------------------------------------------------------------------
 def distinct_values(entities: DataFrame, kind: str = "cities", name: str = "city") -> DataFrame:
-    """F-9: union of all lists of one kind (explode → distinct)."""
-    return entities.filter(F.col(kind).isNotNull()).select(F.explode(kind).alias(name)).distinct()
+    """F-9: union of all lists of one kind (explode → distinct), sorted."""
+    return entities.filter(F.col(kind).isNotNull()).select(F.explode(kind).alias(name)).distinct().orderBy(name)
 
 
 def entity_stats(entities: DataFrame) -> DataFrame:
@@ -169,6 +171,11 @@ def first_publication(links: DataFrame, articles: DataFrame) -> DataFrame:
     return m.select("cluster_id", F.coalesce(iso_text("_m"), F.lit("")).alias("first_date_of_publication"))
 
 
+def _place(country: str, city: str) -> Column:
+    """E-20: 'country/city', or the one there is, or ''."""
+    return F.concat_ws("/", country, city)
+
+
 def location_sets(links: DataFrame, entities: DataFrame) -> DataFrame:
     """F-15 + E-20: distinct cities/countries per cluster and the 'country/city' label.
     Q-13: the smallest value by code point is taken (deterministic)."""
@@ -182,12 +189,10 @@ def location_sets(links: DataFrame, entities: DataFrame) -> DataFrame:
     country = x.select("cluster_id", F.explode("countries").alias("v"), F.lit("country").alias("k"))
     g = city.unionByName(country).groupBy("cluster_id").agg(
         F.min(F.when(F.col("k") == "city", F.col("v"))).alias("city"),
-        F.min(F.when(F.col("k") == "country", F.col("v"))).alias("country"))
-    label = (F.when(F.col("country").isNotNull() & F.col("city").isNotNull(),
-                    F.concat("country", F.lit("/"), "city"))
-             .when(F.col("country").isNotNull(), F.col("country"))
-             .when(F.col("city").isNotNull(), F.col("city")).otherwise(F.lit("")))
-    return g.select("cluster_id", label.alias("country_city"))
+        F.min(F.when(F.col("k") == "country", F.col("v"))).alias("country"),
+        F.array_sort(F.collect_set(F.when(F.col("k") == "city", F.col("v")))).alias("cities"),
+        F.array_sort(F.collect_set(F.when(F.col("k") == "country", F.col("v")))).alias("countries"))
+    return g.select("cluster_id", _place("country", "city").alias("country_city"), "cities", "countries")
 
 
 def category_label(links: DataFrame, articles: DataFrame, entities: DataFrame) -> DataFrame:
@@ -266,24 +271,32 @@ def cluster_summaries(page_clusters: DataFrame, links: DataFrame, articles: Data
                       sources: DataFrame, entities: DataFrame, trending: DataFrame | None = None) -> DataFrame:
     """J-1: one flat row per listed cluster that has articles.
 
+    The page and its links are written once, so the planner knows that they are small; one
+    join of them with article, source and entities and one aggregation give all the columns.
     ``trending`` (id, is_trending) overrides the stored flag when given."""
-    from .bias import bias_distribution
-
-    ids = page_clusters.select(F.col("id").alias("cluster_id"))
-    lk = links.join(ids, "cluster_id", "left_semi")
-    first = first_article(lk, articles).select("cluster_id", F.col("first.description").alias("description"))
-    dist = bias_distribution(lk, articles, sources).select("cluster_id", "pro_pct", "neutral_pct", "oppose_pct")
-    loc = location_sets(lk, entities)
-    fp = first_publication(lk, articles)
-    c = page_clusters.select(F.col("id").alias("cluster_id"), F.col("title").alias("headline"),
-                             "number_of_sources", *(["is_trending"] if "is_trending" in page_clusters.columns
-                                                    and trending is None else []))
+    pg = materialize(page_clusters.withColumnRenamed("id", "cluster_id"), "summary-page")
+    lk = materialize(links.select("cluster_id", "article_id").join(pg.select("cluster_id"), "cluster_id", "left_semi"), "summary-links")
+    ids = lk.select("article_id").distinct()
+    none = F.lit(None).cast("string")
+    ent = entities.join(ids, "article_id", "left_semi").groupBy("article_id").agg(
+        *[F.min(F.array_min(kind) if kind in entities.columns else none).alias(name)
+          for kind, name in (("cities", "city"), ("countries", "country"))])
+    image = F.col("image_url") if "image_url" in articles.columns else none
+    art = articles.select(F.col("id").alias("article_id"), "source_id", "description", "published_at", image.alias("image_url"))
+    src = sources.select(F.col("id").alias("source_id"), bias_side(F.col("bias")).alias("side"))
+    key = F.struct(parse_ntz("published_at").alias("t"), F.col("article_id"))
+    g = lk.join(art, "article_id").join(src, "source_id", "left").join(ent, "article_id", "left").groupBy("cluster_id").agg(
+        F.min_by(F.struct("description", "image_url"), key).alias("first"), F.min(parse_iso("published_at")).alias("_m"),
+        F.min("city").alias("city"), F.min("country").alias("country"), *side_aggregates())
+    c = pg.withColumnRenamed("title", "headline")
     if trending is not None:
-        c = c.join(trending.select(F.col("id").alias("cluster_id"), "is_trending"), "cluster_id", "left")
-    out = c.join(first, "cluster_id").join(fp, "cluster_id").join(dist, "cluster_id") \
-        .join(loc, "cluster_id", "left")
-    return out.withColumn("country_city", F.coalesce("country_city", F.lit(""))) \
-        .withColumnRenamed("cluster_id", "id")
+        c = c.drop("is_trending").join(trending.select(F.col("id").alias("cluster_id"), "is_trending"), "cluster_id", "left")
+    flag = ["is_trending"] if "is_trending" in c.columns else []
+    return c.join(g, "cluster_id").select(
+        F.col("cluster_id").alias("id"), "headline", "number_of_sources", *flag, "first.description", "first.image_url",
+        F.coalesce(iso_text("_m"), F.lit("")).alias("first_date_of_publication"),
+        *[x for k in ("pro", "neutral", "oppose") for x in (f"{k}_count", side_share(k))],
+        _place("country", "city").alias("country_city"))
 
 
 # ---------------------------------------------------------------------------

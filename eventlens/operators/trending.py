@@ -42,7 +42,7 @@ def coverage_velocity(clusters: DataFrame, links: DataFrame, articles: DataFrame
                       min_sources: int = fx.TRENDING_MIN_SOURCES) -> DataFrame:
     """F-4 for every cluster row: counts, rounded velocity, trending flag, check time.
     Trending compares the *unrounded* velocity."""
-    cnt = coverage_counts(links, articles, as_of)
+    cnt = coverage_counts(links.join(clusters.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi"), articles, as_of)
     j = clusters.join(cnt, clusters.id == cnt.cluster_id, "left").drop("cluster_id")
     r = F.coalesce(F.col("recent_count"), F.lit(0)).cast("long")
     p = F.coalesce(F.col("previous_count"), F.lit(0)).cast("long")

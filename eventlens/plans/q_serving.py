@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fx
 from ..functions import dates as D
 from ..operators import bias, serving, trending
+from ..session import materialize
 from ..sources.tables import DriverTables
 from .q_bias import _SIDES_SQL
 from .registry import query
@@ -229,6 +230,8 @@ sides AS (
          when contains(lower(s.bias), 'oppose') then 'oppose' else 'neutral' end as side
   from x left join v_sources s on s.id = x.source_id),
 dist AS (select cluster_id,
+    count(*) filter (where side = 'pro') as pro_count, count(*) filter (where side = 'neutral') as neutral_count,
+    count(*) filter (where side = 'oppose') as oppose_count,
     round_even(count(*) filter (where side = 'pro') / count(*) * 100, 1) as pro_pct,
     round_even(count(*) filter (where side = 'neutral') / count(*) * 100, 1) as neutral_pct,
     round_even(count(*) filter (where side = 'oppose') / count(*) * 100, 1) as oppose_pct
@@ -247,16 +250,17 @@ select pg.id, pg.title as headline, pg.number_of_sources,
   first.description,
   coalesce(case when microsecond(first.m) % 1000000 = 0 then strftime(first.m, '%Y-%m-%dT%H:%M:%S')
                 else strftime(first.m, '%Y-%m-%dT%H:%M:%S.%f') end, '') as first_date_of_publication,
+  dist.pro_count, dist.neutral_count, dist.oppose_count,
   dist.pro_pct, dist.neutral_pct, dist.oppose_pct, coalesce(loc.city, '') as country_city
 from pg join first on first.cluster_id = pg.id join dist on dist.cluster_id = pg.id
 left join loc on loc.cluster_id = pg.id left join cnt on cnt.cluster_id = pg.id""")
 def cluster_summary(spark, sf_dir):
     t = DriverTables(spark, sf_dir)
-    pg = serving.page(t.clusters, 50, 0)
-    tr = trending.coverage_velocity(t.clusters, t.links, t.articles, t.as_of()).select("id", "is_trending")
+    pg = materialize(serving.page(t.clusters, 50, 0), "page")
+    tr = trending.coverage_velocity(pg, t.links, t.articles, t.as_of()).select("id", "is_trending")
     return serving.cluster_summaries(pg, t.links, t.articles, t.sources, t.entities, trending=tr).select(
         "id", "headline", "number_of_sources", "is_trending", "description", "first_date_of_publication",
-        "pro_pct", "neutral_pct", "oppose_pct", "country_city")
+        "pro_count", "neutral_count", "oppose_count", "pro_pct", "neutral_pct", "oppose_pct", "country_city")
 
 
 @query("unclustered_articles", "select id from v_articles where id not in (select article_id from v_links)")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fx
 from ..functions.text import content_hash
 from ..operators import bias, clustering, trending, upserts
+from ..operators.dedup import first_rows
 from ..operators.relevance import Lexicon, relevance_gate
 from ..sources.feeds import feed_key
 
@@ -32,31 +33,40 @@ class IngestResult:
     sources: DataFrame
     new_articles: DataFrame
     counts: DataFrame
+    rejects: DataFrame
 
 
 def ingest(parsed: DataFrame, registry: DataFrame, sources: DataFrame, articles: DataFrame,
            as_of: Column, lexicon: Lexicon = Lexicon(), filter_local: bool = False,
            parity: bool = False) -> IngestResult:
-    """Parsed items → (sources table, new article rows, per-source counters F-19)."""
-    x = parsed.withColumn("feed_key", feed_key(F.col("path"))).join(registry, "feed_key")
+    """Parsed items → (sources table, new article rows, per-source counters F-19, rejects).
+
+    The counters are the items read, those found relevant and those inserted; items of a
+    folder that is not registered are rejects."""
+    keyed = parsed.withColumn("feed_key", feed_key(F.col("path")))
+    rejects = keyed.join(registry.select("feed_key"), "feed_key", "left_anti") \
+        .select("path", "item_no", F.lit("unregistered feed").alias("reason"))
+    x = keyed.join(registry, "feed_key")
     reg_src = registry.select(F.col("source").alias("url"), F.col("source").alias("name"),
                               F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("bias"))
     src = upserts.get_or_create_sources(sources, reg_src)
     x = x.join(src.select(F.col("id").alias("source_id"), F.col("url").alias("source")), "source")
+    read = x.groupBy("source_id").agg(F.count(F.lit(1)).alias("processed"))
     x = relevance_gate(x, lexicon, filter_local, parity)
+    relevant = x.groupBy("source_id").agg(F.count(F.lit(1)).alias("relevant"))
     x = x.withColumn("published_at", F.nullif(F.col("published_at"), F.lit("N/A")))
     x = x.withColumn("content_hash", content_hash(F.col("headline"), F.col("description")))
     # first occurrence per hash inside the batch: feed order (path, item number)
-    first = x.groupBy("content_hash").agg(F.min(F.struct("path", "item_no")).alias("_k"))
-    x = x.join(first, "content_hash").filter(F.struct("path", "item_no") == F.col("_k")).drop("_k")
+    x = first_rows(x, F.struct("path", "item_no"))
     existing = articles.select("content_hash").where(F.col("content_hash").isNotNull())
     new = x.join(existing, "content_hash", "left_anti")
     new = upserts.next_ids(new, articles, ["content_hash"])  # ids in hash order (deterministic)
     new = new.select("id", "source_id", "headline", "description", "published_at",
                      as_of.alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"),
                      "article_url", "image_url", "category", "content_hash")
-    counts = new.groupBy("source_id").agg(F.count(F.lit(1)).alias("inserted"))
-    return IngestResult(src, new, counts)
+    inserted = new.groupBy("source_id").agg(F.count(F.lit(1)).alias("inserted"))
+    counts = read.join(relevant, "source_id", "left").join(inserted, "source_id", "left").fillna(0, ["relevant", "inserted"])
+    return IngestResult(src, new, counts, rejects)
 
 
 def tfidf_embeddings(docs: DataFrame, text_col: str = "text", id_col: str = "id",
@@ -72,18 +82,23 @@ def tfidf_embeddings(docs: DataFrame, text_col: str = "text", id_col: str = "id"
     return n.select(id_col, vector_to_array("_v").alias("embedding"))
 
 
-def unclustered(articles: DataFrame, links: DataFrame) -> DataFrame:
-    """D-J2: articles without a link row (Q-6: the ``hours`` argument is not applied)."""
+def unclustered(articles: DataFrame, links: DataFrame, as_of: Column | None = None,
+                hours: float | None = None) -> DataFrame:
+    """D-J2: articles without a link row, of all times or of the ``hours`` before ``as_of`` (Q-6)."""
+    if hours is not None:
+        articles = articles.filter(F.col("created_at") >= as_of - F.expr(f"INTERVAL {int(hours * 3600)} SECONDS"))
     return articles.join(links.select(F.col("article_id").alias("id")), "id", "left_anti")
 
 
 def cluster_new(articles: DataFrame, links: DataFrame, embeddings: DataFrame, sources: DataFrame,
                 as_of: Column, threshold: float = fx.SIMILARITY_THRESHOLD,
-                window_hours: float = fx.TIME_WINDOW_HOURS) -> tuple[DataFrame, DataFrame, DataFrame]:
+                window_hours: float = fx.TIME_WINDOW_HOURS,
+                hours: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """C-10: unclustered articles → (new clusters with blindspot metrics, new links, rejects).
 
-    Q-8: every result is a new cluster (existing clusters do not grow in this batch op)."""
-    todo = unclustered(articles, links).join(embeddings.select("id", "embedding"), "id")
+    Q-8: every result is a new cluster (existing clusters do not grow in this batch op).
+    An article without a vector is among the rejects."""
+    todo = unclustered(articles, links, as_of, hours).join(embeddings.select("id", "embedding"), "id", "left")
     pts, rejects = clustering.prepare(todo)
     lab = clustering.cluster_labels(pts, threshold, window_hours)
     new_links = lab.select(F.col("label").alias("cluster_id"), F.col("id").alias("article_id"),
