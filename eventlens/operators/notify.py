@@ -21,14 +21,20 @@ def active_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.filter(F.col("token").isNotNull()).select("token", "platform")
 
 
+def message_data(kind: str, **more: Column) -> Column:
+    """The data map that goes with a message; all values are text."""
+    pairs = {"clusterId": F.col("cluster_id"), "type": F.lit(kind)} | more
+    return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v.cast("string"))])
+
+
 def new_cluster_messages(clusters: DataFrame) -> DataFrame:
     """K-2: one message per cluster."""
-    return clusters.select(
-        F.col("id").alias("cluster_id"),
+    return clusters.withColumnRenamed("id", "cluster_id").select(
+        "cluster_id",
         F.lit(fx.NEW_CLUSTER_TITLE).alias("title"),
         F.concat(F.lit(fx.NEW_CLUSTER_BODY_PREFIX), F.substring("title", 1, fx.TRUNCATE_TITLE),
                  F.lit("...")).alias("body"),
-        F.lit("new_cluster").alias("type"))
+        F.lit("new_cluster").alias("type"), message_data("new_cluster").alias("data"))
 
 
 def popular_messages(popular: DataFrame, links: DataFrame, articles: DataFrame) -> DataFrame:
@@ -50,7 +56,8 @@ def popular_messages(popular: DataFrame, links: DataFrame, articles: DataFrame)
         .otherwise(F.concat(F.lit(fx.POPULAR_FALLBACK_PREFIX), F.col("article_count").cast("string"),
                             F.lit(fx.POPULAR_FALLBACK_SUFFIX)))
     return j.select("cluster_id", title.alias("title"), body.alias("body"), "article_count",
-                    F.lit("popular_cluster").alias("type"))
+                    F.lit("popular_cluster").alias("type"),
+                    message_data("popular_cluster", articleCount=F.col("article_count")).alias("data"))
 
 
 def custom_message(spark, title: str, body: str, kind: str = "custom") -> DataFrame:
@@ -62,7 +69,8 @@ def custom_message(spark, title: str, body: str, kind: str = "custom") -> DataFr
 def outbox(messages: DataFrame, tokens: DataFrame) -> DataFrame:
     """K-5: every message × every active token, which is the feature.  The messages are written
     once, so their plan runs once and the planner chooses the join from their real size."""
-    m = materialize(messages.select("cluster_id", "title", "body", "type"), "outbox-messages")
+    data = F.col("data") if "data" in messages.columns else F.lit(None).cast("map<string,string>")
+    m = materialize(messages.select("cluster_id", "title", "body", "type", data.alias("data")), "outbox-messages")
     return active_tokens(tokens).join(m, how="cross")
 
 

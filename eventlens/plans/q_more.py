@@ -12,6 +12,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import feeds
 from ..sources.tables import DriverTables
 from ..streaming import jobs
+from . import sqlgen as S
 from .run_once import tfidf_embeddings
 from .q_text import TEST_LEXICON
 from .registry import query
@@ -80,7 +81,12 @@ def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/eventlens-{name}-{uuid.uuid4().hex}"
 
 
-@query("stream_ingest")
+@query("stream_ingest", f"""
+WITH h AS (select {S.content_hash('headline', 'description')} as content_hash, 'src' || source_id as feed from v_articles),
+s AS (select feed, row_number() over (order by feed) as source_id from (select distinct feed from h)),
+k AS (select content_hash, min(feed) as feed from h group by content_hash)
+select row_number() over (order by content_hash) as id, source_id, content_hash, 'local' as category
+from k join s on s.feed = k.feed""")
 def stream_ingest(spark, sf_dir):
     """Every article of the test binding landed as a one-item RSS document (one per line,
     files per source), streamed through L-1 into a scratch table, read back."""

@@ -179,16 +179,17 @@ def _popular_msgs(t: DriverTables):
     return notify.popular_messages(pop, t.links, t.articles)
 
 
-@query("popular_messages", "WITH " + _POP_SQL + " select * from msg")
+@query("popular_messages", "WITH " + _POP_SQL + """
+select *, '{"clusterId":"' || cluster_id || '","type":"popular_cluster","articleCount":"' || article_count || '"}' as data from msg""")
 def popular_messages(spark, sf_dir):
-    return _popular_msgs(DriverTables(spark, sf_dir))
+    return _popular_msgs(DriverTables(spark, sf_dir)).withColumn("data", F.to_json("data"))
 
 
 @query("new_cluster_messages", """
 select id as cluster_id, 'خبر جديد' as title, 'تم نشر مجموعة أخبار جديدة: ' || substr(title, 1, 50) || '...' as body,
-  'new_cluster' as type from v_clusters""")
+  'new_cluster' as type, '{"clusterId":"' || id || '","type":"new_cluster"}' as data from v_clusters""")
 def new_cluster_messages(spark, sf_dir):
-    return notify.new_cluster_messages(DriverTables(spark, sf_dir).clusters)
+    return notify.new_cluster_messages(DriverTables(spark, sf_dir).clusters).withColumn("data", F.to_json("data"))
 
 
 @query("notification_outbox", "WITH " + _POP_SQL + """

@@ -2,9 +2,9 @@
 from pyspark.sql import functions as F
 
 from eventlens.functions import dates, text
-from eventlens.operators import dedup, notify, upserts
+from eventlens.operators import dedup, notify, serving, upserts
 from eventlens.operators.relevance import is_relevant
-from eventlens.plans.run_once import tfidf_embeddings
+from eventlens.plans.run_once import cluster_new, tfidf_embeddings
 
 
 def test_rows_with_a_hash_are_left_alone(spark):
@@ -80,3 +80,33 @@ def test_first_image_is_the_one(spark):
               "<img src='d.png?a=1&amp;b=2'/>", "no image", None]
     got = _map(spark, values, lambda c: text.image_url(F.lit(None), F.lit(None), c))
     assert got == ["a.png", "b.png", "N/A", "d.png?a=1&b=2", "N/A", "N/A"]
+
+
+def test_messages_carry_their_data(spark):
+    clusters = spark.createDataFrame([(7, "t" * 60)], "id long, title string")
+    links = spark.createDataFrame([(7, 1), (7, 2)], "cluster_id long, article_id long")
+    articles = spark.createDataFrame([(1, "h", "2025-12-02 11:00:00"), (2, "g", "bad")], "id long, headline string, published_at string")
+    assert notify.new_cluster_messages(clusters).first().data == {"clusterId": "7", "type": "new_cluster"}
+    popular = notify.popular_messages(clusters, links, articles)
+    assert popular.first().data == {"clusterId": "7", "type": "popular_cluster", "articleCount": "2"}
+    tokens = spark.createDataFrame([("a", "ios")], "token string, platform string")
+    assert notify.outbox(popular, tokens).first().data["articleCount"] == "2"
+
+
+def test_articles_without_a_vector_are_rejects(spark):
+    articles = spark.createDataFrame(
+        [(1, 1, "h", "d", "2025-12-02 11:00:00"), (2, 2, "h", "d", "2025-12-02 12:00:00")],
+        "id long, source_id long, headline string, description string, published_at string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>")
+    sources = spark.createDataFrame([(1, None)], "id long, bias string")
+    links = spark.createDataFrame([], "cluster_id long, article_id long")
+    _, new_links, rejects = cluster_new(articles, links, vectors, sources, F.current_timestamp().cast("timestamp_ntz"))
+    assert [r.article_id for r in new_links.collect()] == [1]
+    assert [(r.id, r.reason) for r in rejects.collect()] == [(2, "no vector")]
+
+
+def test_location_sets_are_whole(spark):
+    links = spark.createDataFrame([(7, 1), (7, 2)], "cluster_id long, article_id long")
+    ent = spark.createDataFrame([(1, ["b", "a"], ["S"]), (2, ["c"], None)], "article_id long, cities array<string>, countries array<string>")
+    r = serving.location_sets(links, ent).first()
+    assert (r.country_city, r.cities, r.countries) == ("S/a", ["a", "b", "c"], ["S"])
