@@ -13,8 +13,10 @@
    item, and the same for the item's answer, its last words.  A paraphrase that keeps most
    of the item in order passes although words were changed, dropped or put in.
 
-Benchmark items are worked off in blocks of at most ITEM_BLOCK, so what the driver holds
-and the tasks carry has a fixed bound; documents are read once per block.
+Benchmark items are worked off in blocks of about ITEM_BLOCK.  Each block has a latent space of
+its own with as many dimensions as the block has items, so the space spans every item and
+keeps its whole energy, however large the benchmark is.  Documents are read once per
+PASS_BLOCKS blocks, so what the driver holds and the tasks carry has a fixed bound.
 """
 from __future__ import annotations
 
@@ -29,8 +31,8 @@ from xxhash import xxh3_64_intdigest
 
 from . import common
 
-#: Hashed vocabulary, items of one block, latent dimensions and the extra ones of the projection.
-DIMENSIONS, ITEM_BLOCK, RANK, EXTRA, POWER_ROUNDS = 1 << 18, 1024, 256, 16, 2
+#: Hashed vocabulary, items of one block on average, blocks of one pass over the documents, extra dimensions of the projection.
+DIMENSIONS, ITEM_BLOCK, PASS_BLOCKS, EXTRA, POWER_ROUNDS = 1 << 18, 128, 8, 16, 2
 WINDOW, STRIDE = 32, 16
 COSINE, SURE, LIKELY, ANSWER = 0.4, 0.8, 0.6, 0.6
 #: Characters of the documents that a task works on at once.
@@ -85,8 +87,10 @@ def _tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d, x / max(1e-12, np.sqrt((x * x).sum()))
 
 
-def latent_space(items: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (vocabulary x rank) of the TF-IDF passages ``items`` (text), by randomised SVD."""
+def latent_space(items: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, rank: int) -> np.ndarray:
+    """Right singular vectors (vocabulary x rank) of the TF-IDF passages ``items`` (text), by randomised SVD.
+
+    With a rank of at least the number of passages the vectors span them all."""
     weight = idf[vocabulary].astype(np.float64)
 
     def product(x: np.ndarray) -> np.ndarray:
@@ -130,21 +134,29 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
-def _search(items: list[tuple[int, str]], shared):
-    """Documents -> verified (doc, item, cosine, lcs share, answer share)."""
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, vocabulary, basis = shared.value
-        idf2 = idf.astype(np.float64) ** 2
-        row_of = np.full(DIMENSIONS, -1, dtype=np.int32)
-        row_of[vocabulary] = np.arange(len(vocabulary))
-        words_of = [tokens(t) for _, t in items]
-        counts_of = [Counter(w) for w in words_of]
+class _Block:
+    """A block's items with their words, and the latent product of every word of the vocabulary with every item."""
+
+    def __init__(self, items: list[tuple[int, str]], vocabulary: np.ndarray, basis: np.ndarray, idf: np.ndarray):
+        self.items = [i for i, _ in items]
+        self.words_of = [tokens(t) for _, t in items]
+        self.counts_of = [Counter(w) for w in self.words_of]
+        self.row_of = np.full(DIMENSIONS, -1, dtype=np.int32)
+        self.row_of[vocabulary] = np.arange(len(vocabulary))
         q = np.zeros((len(items), basis.shape[1]), dtype=np.float32)
         for k, (_, text) in enumerate(items):
             d, x = _tfidf(text, idf)
             q[k] = x.astype(np.float32) @ basis[np.searchsorted(vocabulary, d)]
         # a window's latent product with an item is the sum of its words' products
-        product = (basis * idf[vocabulary][:, None]) @ q.T
+        self.product = (basis * idf[vocabulary][:, None]) @ q.T
+
+
+def _search(shared):
+    """Documents -> verified (doc, item, cosine, lcs share, answer share)."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, packed = shared.value
+        idf2 = idf.astype(np.float64) ** 2
+        blocks = [_Block(*b, idf) for b in packed]
         for batch in it:
             out: dict[tuple[int, int], tuple[float, float, float]] = {}
             for ids, texts in _slices(batch):
@@ -160,33 +172,37 @@ def _search(items: list[tuple[int, str]], shared):
                 owner = np.repeat(np.flatnonzero(lengths), [len(x) for x in at])
                 paired = np.r_[owner[1:] == owner[:-1], False]
                 w2 = idf2[d]
-                whole, inside = (np.add.reduceat(x, start) for x in (w2, np.where(row_of[d] >= 0, w2, 0.0)))
-                norm, bound = (np.sqrt(x + np.where(paired, np.r_[x[1:], 0.0], 0.0)) for x in (whole, inside))
+                whole = np.add.reduceat(w2, start)
+                norm = np.sqrt(whole + np.where(paired, np.r_[whole[1:], 0.0], 0.0))
                 first = np.r_[True, owner[1:] != owner[:-1]]
-                # a window that a longer one of its document contains is left out
-                some = np.flatnonzero((bound >= COSINE * norm) & (norm > 0) & (paired | first))
-                if not len(some):
-                    continue
-                needed = np.unique(np.r_[some, some[paired[some]] + 1])
-                rank = np.full(len(start), -1)
-                rank[needed] = np.arange(len(needed))
                 block_of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(d)]))
-                words = np.flatnonzero((row_of[d] >= 0) & (rank[block_of] >= 0))
-                own, count = np.unique(rank[block_of[words]], return_counts=True)
-                sums = np.zeros((len(needed) + 1, len(items)), dtype=np.float32)
-                sums[own] = np.add.reduceat(product[row_of[d[words]]], np.r_[0, np.cumsum(count)[:-1]], axis=0) if len(own) else 0
-                following = np.where(paired[some], rank[np.minimum(some + 1, len(start) - 1)], len(needed))
-                cosine = (sums[rank[some]] + sums[following]) / norm[some][:, None]
-                for k, j in np.argwhere(cosine >= COSINE).tolist():
-                    doc = int(owner[some[k]])
-                    _verify(out, ids, tokened, words_of[j], counts_of[j], items, doc, j, int(start[some[k]] - ends[doc] + lengths[doc]), float(cosine[k, j]))
+                for b in blocks:
+                    row = b.row_of[d]
+                    inside = np.add.reduceat(np.where(row >= 0, w2, 0.0), start)
+                    bound = np.sqrt(inside + np.where(paired, np.r_[inside[1:], 0.0], 0.0))
+                    # a window that a longer one of its document contains is left out
+                    some = np.flatnonzero((bound >= COSINE * norm) & (norm > 0) & (paired | first))
+                    if not len(some):
+                        continue
+                    needed = np.unique(np.r_[some, some[paired[some]] + 1])
+                    rank = np.full(len(start), -1)
+                    rank[needed] = np.arange(len(needed))
+                    words = np.flatnonzero((row >= 0) & (rank[block_of] >= 0))
+                    own, count = np.unique(rank[block_of[words]], return_counts=True)
+                    sums = np.zeros((len(needed) + 1, len(b.items)), dtype=np.float32)
+                    sums[own] = np.add.reduceat(b.product[row[words]], np.r_[0, np.cumsum(count)[:-1]], axis=0) if len(own) else 0
+                    following = np.where(paired[some], rank[np.minimum(some + 1, len(start) - 1)], len(needed))
+                    cosine = (sums[rank[some]] + sums[following]) / norm[some][:, None]
+                    for k, j in np.argwhere(cosine >= COSINE).tolist():
+                        doc = int(owner[some[k]])
+                        _verify(out, ids[doc], tokened[doc], b, j, int(start[some[k]] - ends[doc] + lengths[doc]), float(cosine[k, j]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()),
                  *(pa.array([v[c] for v in out.values()], pa.float64()) for c in range(3))],
                 names=["id", "item", "cosine", "lcs", "answer"])
 
-    def _verify(out, ids, tokened, item, counts, items, doc, j, start, cosine):
-        text = tokened[doc]
+    def _verify(out, doc, text, block, j, start, cosine):
+        item, counts = block.words_of[j], block.counts_of[j]
         around = text[max(0, start - len(item)) : start + WINDOW + len(item)]
         # a common subsequence of any passage has no more words than item and surroundings share,
         # and is no longer than that of all the surroundings
@@ -204,7 +220,7 @@ def _search(items: list[tuple[int, str]], shared):
                 best = (found, lcs(answer, part))
         same, told = best[0] / len(item), best[1] / len(answer)
         if same >= SURE or (same >= LIKELY and told >= ANSWER):
-            key = ids[doc], items[j][0]
+            key = doc, block.items[j]
             out[key] = max(out.get(key, (0.0, 0.0, 0.0)), (cosine, same, told))
 
     return run
@@ -220,19 +236,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     the result is empty."""
     spark = docs.sparkSession
     src = common.columns(docs, id=id_col, text=text_col).filter("id is not null").select(F.col("id").cast("long").alias("id"), "text")
-    all_items = common.columns(benchmark, item=item_col, text=item_text_col).filter("item is not null and text is not null")
+    all_items = common.columns(benchmark, item=item_col, text=item_text_col).filter("item is not null and text is not null").distinct()
     idf = inverse_document_frequencies(docs, text_col)
     blocks = 1 + all_items.count() // ITEM_BLOCK
-    found = None
+    found, held = None, []
     for b in range(blocks):
-        part = all_items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).select("item", "text")
+        part = all_items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).select("item", "text")
         items = sorted((r["item"], r["text"]) for r in part.collect() if tokens(r["text"]))  # about ITEM_BLOCK items
-        if not items:
-            continue
-        vocabulary = np.unique(np.concatenate([dims(tokens(t)) for _, t in items]))
-        shared = spark.sparkContext.broadcast((idf, vocabulary, latent_space(part, idf, vocabulary)))
-        hits = src.mapInArrow(_search(items, shared), "id long, item long, cosine double, lcs double, answer double")
-        found = hits if found is None else found.unionByName(hits)
+        if items:
+            vocabulary = np.unique(np.concatenate([dims(tokens(t)) for _, t in items]))
+            held.append((items, vocabulary, latent_space(part, idf, vocabulary, len(items))))
+        if held and (len(held) == PASS_BLOCKS or b == blocks - 1):
+            shared, held = spark.sparkContext.broadcast((idf, held)), []
+            hits = src.mapInArrow(_search(shared), "id long, item long, cosine double, lcs double, answer double")
+            found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = spark.createDataFrame([], "id long, item long, cosine double, lcs double, answer double")
     best = found.groupBy("id", "item").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("b"))

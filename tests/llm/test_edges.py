@@ -319,6 +319,17 @@ def test_leaks_verbatim_and_paraphrased(spark, docs, empty):
     assert kept.columns == df.columns and kept.count() == len(rows) - len({g[0] for g in got})
 
 
+def test_leaks_do_not_depend_on_the_size_of_the_benchmark(spark):
+    """More mutually distinct items than any fixed number of latent dimensions: every verbatim copy is found."""
+    rng = random.Random(12)
+    passage = lambda n: " ".join(f"w{rng.randrange(30_000)}" for _ in range(n))
+    items = [(k, passage(38)) for k in range(1000)]
+    docs = [(5000 + k, f"{passage(60)} {text} {passage(60)}") for k, text in items]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(8),
+                                                         spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(5000 + k, k) for k, _ in items}
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(200):
