@@ -2,19 +2,22 @@
 
 1. Document frequencies of hashed words are counted over all documents: a fixed-width vector
    in each task, its entries summed by word after the shuffle.
-2. The benchmark's passages, as TF-IDF rows, are reduced by a randomised SVD: a random
+2. Items of more than LONGEST words are cut into passages of equal length; a shorter item is
+   one passage.  The passages, as TF-IDF rows, are reduced by a randomised SVD: a random
    projection, power rounds and the final Gram matrix are products A'(A X) over the
    distributed passages; the driver only orthogonalises narrow matrices.
-3. Every window of every document is a query.  Its cosine with an item is taken in the latent
-   space against the window's whole TF-IDF norm.  Words outside the benchmark's vocabulary
+3. Every window of every document is a query.  Windows have about the length of the passages
+   they are held against: their stride is the power of two next below a passage's length, and
+   a window is two strides long.  Its cosine with a passage is taken in the latent space
+   against the window's whole TF-IDF norm.  Words outside the benchmark's vocabulary
    have no latent coordinates, so the norm share of the benchmark's words bounds the cosine;
    windows below the bound are settled without a projection.
 4. Candidates are checked on the words around the window: longest common subsequence with the
-   item, and the same for the item's answer, its last words.  A paraphrase that keeps most
+   whole item, however long, and the same for the item's answer, its last words.  A paraphrase that keeps most
    of the item in order passes although words were changed, dropped or put in.
 
-Benchmark items are worked off in blocks of about ITEM_BLOCK.  Each block has a latent space of
-its own with as many dimensions as the block has items, so the space spans every item and
+Passages are worked off in blocks of about ITEM_BLOCK.  Each block has a latent space of
+its own with as many dimensions as the block has passages, so the space spans every passage and
 keeps its whole energy, however large the benchmark is.  Documents are read once per
 PASS_BLOCKS blocks, so what the driver holds and the tasks carry has a fixed bound.
 """
@@ -31,10 +34,11 @@ from xxhash import xxh3_64_intdigest
 
 from . import common
 
-#: Hashed vocabulary, items of one block on average, blocks of one pass over the documents, extra dimensions of the projection.
+#: Hashed vocabulary, passages of one block on average, blocks of one pass over the documents, extra dimensions of the projection.
 DIMENSIONS, ITEM_BLOCK, PASS_BLOCKS, EXTRA, POWER_ROUNDS = 1 << 18, 128, 8, 16, 2
-WINDOW, STRIDE = 32, 16
-COSINE, SURE, LIKELY, ANSWER = 0.4, 0.8, 0.6, 0.6
+#: Words of the longest passage.
+LONGEST = 32
+COSINE, SURE, LIKELY, ANSWER = 0.3, 0.8, 0.6, 0.6
 #: Characters of the documents that a task works on at once.
 SLICE_CHARS = 60_000
 #: Letters, digits and bytes over 127 make words; the rest separates them.
@@ -80,6 +84,28 @@ def inverse_document_frequencies(docs: DataFrame, text_col: str = "text") -> np.
     return np.log1p(count[dim < 0].sum() / (1.0 + df)).astype(np.float32)
 
 
+def passages(words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(offset, words) of an item's passages: consecutive, near equal, LONGEST words at most."""
+    n = -(-len(words) // LONGEST)
+    for k in range(n):
+        first, end = len(words) * k // n, len(words) * (k + 1) // n
+        yield first, words[first:end]
+
+
+def stride_of(length: int) -> int:
+    """Half the window that a passage of ``length`` words is held against."""
+    return 1 << max(1, length * 10 // 11).bit_length() - 1
+
+
+def _passages(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        rows = [(item, whole, first, stride_of(len(words)), b" ".join(words).decode())
+                for item, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for first, words in passages(tokens(whole))]
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)],
+                                         names=["item", "whole", "first", "stride", "text"])
+
+
 def _tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct dimensions of a passage and its unit TF-IDF weights."""
     d, n = np.unique(dims(tokens(text)), return_counts=True)
@@ -135,28 +161,47 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
 
 
 class _Block:
-    """A block's items with their words, and the latent product of every word of the vocabulary with every item."""
+    """A block's passages, each as (its item's place among the items, first word), and the latent product
+    of every word of the vocabulary with every passage."""
 
-    def __init__(self, items: list[tuple[int, str]], vocabulary: np.ndarray, basis: np.ndarray, idf: np.ndarray):
-        self.items = [i for i, _ in items]
-        self.words_of = [tokens(t) for _, t in items]
-        self.counts_of = [Counter(w) for w in self.words_of]
+    def __init__(self, stride: int, parts: list[tuple[int, int, str]], vocabulary: np.ndarray, basis: np.ndarray, idf: np.ndarray):
+        self.stride, self.parts = stride, [(source, first) for source, first, _ in parts]
         self.row_of = np.full(DIMENSIONS, -1, dtype=np.int32)
         self.row_of[vocabulary] = np.arange(len(vocabulary))
-        q = np.zeros((len(items), basis.shape[1]), dtype=np.float32)
-        for k, (_, text) in enumerate(items):
+        q = np.zeros((len(parts), basis.shape[1]), dtype=np.float32)
+        for k, (*_, text) in enumerate(parts):
             d, x = _tfidf(text, idf)
             q[k] = x.astype(np.float32) @ basis[np.searchsorted(vocabulary, d)]
-        # a window's latent product with an item is the sum of its words' products
+        # a window's latent product with a passage is the sum of its words' products
         self.product = (basis * idf[vocabulary][:, None]) @ q.T
 
 
+class _Strides:
+    """Strides of the documents of a slice: first word, document, whether the next one belongs to the same
+    document, TF-IDF norm of the window of the two, and the stride of every word."""
+
+    def __init__(self, stride: int, lengths: np.ndarray, ends: np.ndarray, w2: np.ndarray):
+        at = [np.arange(e - n, e, stride) for n, e in zip(lengths, ends) if n]
+        self.start = np.concatenate(at)
+        self.owner = np.repeat(np.flatnonzero(lengths), [len(x) for x in at])
+        same = self.owner[1:] == self.owner[:-1]
+        self.paired, self.first = np.r_[same, False], np.r_[True, ~same]
+        self.norm = self.window_norm(w2)
+        self.of_word = np.repeat(np.arange(len(self.start)), np.diff(np.r_[self.start, len(w2)]))
+
+    def window_norm(self, w2: np.ndarray) -> np.ndarray:
+        x = np.add.reduceat(w2, self.start)
+        return np.sqrt(x + np.where(self.paired, np.r_[x[1:], 0.0], 0.0))
+
+
 def _search(shared):
     """Documents -> verified (doc, item, cosine, lcs share, answer share)."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, packed = shared.value
+        idf, items, packed = shared.value
         idf2 = idf.astype(np.float64) ** 2
         blocks = [_Block(*b, idf) for b in packed]
+        words_of = [tokens(t) for _, t in items]
+        counts_of = [Counter(w) for w in words_of]
         for batch in it:
             out: dict[tuple[int, int], tuple[float, float, float]] = {}
             for ids, texts in _slices(batch):
@@ -164,46 +209,53 @@ def _search(shared):
                 lengths = np.array([len(w) for w in tokened])
                 d = dims([w for ws in tokened for w in ws])
                 ends = np.cumsum(lengths)
-                # blocks of STRIDE words; a window is a block and the next one of the same document
-                at = [np.arange(e - n, e, STRIDE) for n, e in zip(lengths, ends) if n]
-                if not at:
+                if not len(d):
                     continue
-                start = np.concatenate(at)
-                owner = np.repeat(np.flatnonzero(lengths), [len(x) for x in at])
-                paired = np.r_[owner[1:] == owner[:-1], False]
                 w2 = idf2[d]
-                whole = np.add.reduceat(w2, start)
-                norm = np.sqrt(whole + np.where(paired, np.r_[whole[1:], 0.0], 0.0))
-                first = np.r_[True, owner[1:] != owner[:-1]]
-                block_of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(d)]))
+                strides = {n: _Strides(n, lengths, ends, w2) for n in {b.stride for b in blocks}}
+                seen: dict[tuple[int, int], list[int]] = {}
                 for b in blocks:
+                    at = strides[b.stride]
                     row = b.row_of[d]
-                    inside = np.add.reduceat(np.where(row >= 0, w2, 0.0), start)
-                    bound = np.sqrt(inside + np.where(paired, np.r_[inside[1:], 0.0], 0.0))
+                    bound = at.window_norm(np.where(row >= 0, w2, 0.0))
                     # a window that a longer one of its document contains is left out
-                    some = np.flatnonzero((bound >= COSINE * norm) & (norm > 0) & (paired | first))
+                    some = np.flatnonzero((bound >= COSINE * at.norm) & (at.norm > 0) & (at.paired | at.first))
                     if not len(some):
                         continue
-                    needed = np.unique(np.r_[some, some[paired[some]] + 1])
-                    rank = np.full(len(start), -1)
+                    paired = at.paired[some]
+                    needed = np.unique(np.r_[some, some[paired] + 1])
+                    rank = np.full(len(at.start), -1)
                     rank[needed] = np.arange(len(needed))
-                    words = np.flatnonzero((row >= 0) & (rank[block_of] >= 0))
-                    own, count = np.unique(rank[block_of[words]], return_counts=True)
-                    sums = np.zeros((len(needed) + 1, len(b.items)), dtype=np.float32)
+                    words = np.flatnonzero((row >= 0) & (rank[at.of_word] >= 0))
+                    own, count = np.unique(rank[at.of_word[words]], return_counts=True)
+                    sums = np.zeros((len(needed) + 1, len(b.parts)), dtype=np.float32)
                     sums[own] = np.add.reduceat(b.product[row[words]], np.r_[0, np.cumsum(count)[:-1]], axis=0) if len(own) else 0
-                    following = np.where(paired[some], rank[np.minimum(some + 1, len(start) - 1)], len(needed))
-                    cosine = (sums[rank[some]] + sums[following]) / norm[some][:, None]
+                    following = np.where(paired, rank[np.minimum(some + 1, len(at.start) - 1)], len(needed))
+                    cosine = (sums[rank[some]] + sums[following]) / at.norm[some][:, None]
                     for k, j in np.argwhere(cosine >= COSINE).tolist():
-                        doc = int(owner[some[k]])
-                        _verify(out, ids[doc], tokened[doc], b, j, int(start[some[k]] - ends[doc] + lengths[doc]), float(cosine[k, j]))
+                        doc, (source, offset) = int(at.owner[some[k]]), b.parts[j]
+                        start, found = int(at.start[some[k]] - ends[doc] + lengths[doc]), float(cosine[k, j])
+                        key, item = (ids[doc], items[source][0]), words_of[source]
+                        best = out.get(key)
+                        if best and best[0] >= found and best[1] == best[2] == 1:
+                            continue
+                        begin, margin = start - offset, len(item)
+                        if len(item) > LONGEST:
+                            # other windows on the same stretch of the document, also by other passages, need no check of their own
+                            near = seen.setdefault((doc, source), [])
+                            if any(4 * abs(begin - x) <= len(item) for x in near):
+                                if best:
+                                    out[key] = max(best, (found, *best[1:]))
+                                continue
+                            near.append(begin)
+                            margin = len(item) + len(item) // 2
+                        _verify(out, key, tokened[doc][max(0, begin - margin) : max(0, begin + 2 * b.stride + margin)], item, counts_of[source], found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()),
                  *(pa.array([v[c] for v in out.values()], pa.float64()) for c in range(3))],
                 names=["id", "item", "cosine", "lcs", "answer"])
 
-    def _verify(out, doc, text, block, j, start, cosine):
-        item, counts = block.words_of[j], block.counts_of[j]
-        around = text[max(0, start - len(item)) : start + WINDOW + len(item)]
+    def _verify(out, key, around, item, counts, cosine):
         # a common subsequence of any passage has no more words than item and surroundings share,
         # and is no longer than that of all the surroundings
         both = counts.keys() & set(around)
@@ -220,7 +272,6 @@ def _search(shared):
                 best = (found, lcs(answer, part))
         same, told = best[0] / len(item), best[1] / len(answer)
         if same >= SURE or (same >= LIKELY and told >= ANSWER):
-            key = doc, block.items[j]
             out[key] = max(out.get(key, (0.0, 0.0, 0.0)), (cosine, same, told))
 
     return run
@@ -238,16 +289,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     src = common.columns(docs, id=id_col, text=text_col).filter("id is not null").select(F.col("id").cast("long").alias("id"), "text")
     all_items = common.columns(benchmark, item=item_col, text=item_text_col).filter("item is not null and text is not null").distinct()
     idf = inverse_document_frequencies(docs, text_col)
-    blocks = 1 + all_items.count() // ITEM_BLOCK
-    found, held = None, []
-    for b in range(blocks):
-        part = all_items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).select("item", "text")
-        items = sorted((r["item"], r["text"]) for r in part.collect() if tokens(r["text"]))  # about ITEM_BLOCK items
-        if items:
-            vocabulary = np.unique(np.concatenate([dims(tokens(t)) for _, t in items]))
-            held.append((items, vocabulary, latent_space(part, idf, vocabulary, len(items))))
-        if held and (len(held) == PASS_BLOCKS or b == blocks - 1):
-            shared, held = spark.sparkContext.broadcast((idf, held)), []
+    cut = common.materialize(all_items.select(F.col("item").cast("long").alias("item"), "text").mapInArrow(
+        _passages, "item long, whole string, first int, stride int, text string"), "leak-passages")
+    sizes = sorted((r["stride"], r["count"]) for r in cut.groupBy("stride").count().collect())  # a few strides
+    todo = [(stride, n, b) for stride, count in sizes for n in [1 + count // ITEM_BLOCK] for b in range(n)]
+    found = None
+    for at in range(0, len(todo), PASS_BLOCKS):
+        items, blocks = {}, []
+        for stride, n, b in todo[at : at + PASS_BLOCKS]:
+            part = cut.filter((F.col("stride") == stride) & (F.pmod(F.xxhash64("item", "whole", "first"), F.lit(n)) == b))
+            rows = sorted((r["item"], r["whole"], r["first"], r["text"]) for r in part.collect())  # about ITEM_BLOCK passages
+            if rows:
+                vocabulary = np.unique(np.concatenate([dims(tokens(t)) for *_, t in rows]))
+                parts = [(items.setdefault((item, whole), len(items)), first, t) for item, whole, first, t in rows]
+                blocks.append((stride, parts, vocabulary, latent_space(part, idf, vocabulary, len(rows))))
+        if blocks:
+            shared = spark.sparkContext.broadcast((idf, list(items), blocks))
             hits = src.mapInArrow(_search(shared), "id long, item long, cosine double, lcs double, answer double")
             found = hits if found is None else found.unionByName(hits)
     if found is None:

@@ -330,6 +330,20 @@ def test_leaks_do_not_depend_on_the_size_of_the_benchmark(spark):
     assert got == {(5000 + k, k) for k, _ in items}
 
 
+def test_leaks_of_items_of_any_length(spark):
+    rng = random.Random(13)
+    passage = lambda n: [f"w{rng.randrange(30_000)}" for _ in range(n)]
+    items = [(k, passage(n)) for k, n in enumerate(n for n in (5, 15, 100, 400) for _ in range(10))]
+    docs = []
+    for k, w in items:
+        changed = [x if at % 5 else f"v{rng.randrange(30_000)}" for at, x in enumerate(w)]
+        docs += [(1000 + k, passage(60) + w + passage(60)), (2000 + k, passage(47) + changed + passage(60))]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(
+        spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    assert got == {(i + k, k) for k, _ in items for i in (1000, 2000)}
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(200):
