@@ -280,6 +280,15 @@ def test_personal_data_trees_add_only_what_is_like_the_base():
     assert pii.Detector([], [], {}).spans("call (017) 555-7713") == []
 
 
+def test_personal_data_kinds_are_calibrated_from_all_documents(spark):
+    """A kind that few documents hold: 400 addresses in 24,000 documents."""
+    rng = random.Random(14)
+    rows = [(k, f"mail me at {prose(rng, 1)[:4].strip(',.')}{k}@host{k % 7}.example.org now" if k % 60 == 0 else
+             f"card {rng.randrange(10 ** 15, 10 ** 16)} paid" if k % 8 == 1 else "nothing here") for k in range(24_000)]
+    detector = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert detector.thresholds["email"] <= 1 and detector.thresholds["ip"] == 2
+
+
 def test_quality(docs, rows, empty):
     got = quality.classify(docs).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.keep == (r.score >= 0.5) for r in got)
