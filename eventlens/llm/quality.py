@@ -32,8 +32,8 @@ from . import common
 SAMPLE_ROWS, DIMENSIONS = 20_000, 1 << 12
 #: Texts of the sample that a task turns into features at once.
 SLICE_ROWS = 200
-#: Words below which the labellers abstain.
-FEW = 10
+#: Words below which the labellers abstain, and characters from which those of characters vote whatever the words.
+FEW, FEW_CHARS = 10, 50
 #: Frequent short words of the languages served; their share tells prose from lists.
 FUNCTION_WORDS = frozenset(
     b"the of and to in is that it for on was with as be by are der die das und ist nicht ein eine zu den von mit auf "
@@ -64,6 +64,7 @@ def statistics(text: str | None) -> tuple[dict[str, float], Counter]:
         "doubled": sum(map(eq, words, words[1:])) / some, "tailed": tailed / some, "bars": bars / some,
         "distinct": len(set(words)) / some, "length": dense / some,
         "function": sum(map(FUNCTION_WORDS.__contains__, raw.lower().split())) / some,
+        "dense": dense, "letters": upper + lower,
     }, shapes
 
 
@@ -74,11 +75,15 @@ BELOW = [("function", 0.01, 0.1), ("distinct", 0.2, 0.4)]
 LABELLERS = len(ABOVE) + len(BELOW)
 
 
+#: What statistics of characters are taken over; the others need words.
+CHARACTERS = {"symbols": "dense", "upper": "letters", "length": "dense"}
+
+
 def votes(stats: dict[str, float]) -> list[int]:
-    if stats["n"] < FEW:
-        return [-1] * LABELLERS
-    return ([0 if stats[s] >= r else 1 if stats[s] < a else -1 for s, r, a in ABOVE]
-            + [0 if stats[s] < r else 1 if stats[s] >= a else -1 for s, r, a in BELOW])
+    """A labeller abstains if its statistic has too little evidence: of words, or of characters."""
+    known = lambda s: stats["n"] >= FEW or s in CHARACTERS and stats[CHARACTERS[s]] >= FEW_CHARS
+    return ([-1 if not known(s) else 0 if stats[s] >= r else 1 if stats[s] < a else -1 for s, r, a in ABOVE]
+            + [-1 if not known(s) else 0 if stats[s] < r else 1 if stats[s] >= a else -1 for s, r, a in BELOW])
 
 
 def shape_parts(shape: bytes) -> tuple[int, int]:
@@ -93,8 +98,8 @@ _STEPS = {name: [xxh3_64_intdigest(f"{name}:{k}".encode()) % DIMENSIONS for k in
 
 def buckets(stats: dict[str, float]) -> list[int]:
     """Hashed features of the statistics: every step of a scale that a statistic has reached."""
-    return [i for name, v in stats.items()
-            for i in _STEPS[name][: 1 + min(20, int(np.log2(v + 1)) if name in ("n", "length") else int(v * 20))]]
+    return [i for name, steps in _STEPS.items() for v in [stats[name]]
+            for i in steps[: 1 + min(20, int(np.log2(v + 1)) if name in ("n", "length") else int(v * 20))]]
 
 
 def features(stats: dict[str, float], shapes: Counter) -> tuple[list[int], list[float]]:
@@ -175,7 +180,7 @@ class Scorer:
 
     def score(self, text: str | None) -> float:
         stats, shapes = statistics(text)
-        if stats["n"] < FEW:
+        if not stats["n"]:
             return self.prior
         total = self.bias + sum(k * self.weight_of(s) for s, k in shapes.items()) / stats["n"]
         total += sum(self.weights[i] for i in buckets(stats))
@@ -226,8 +231,8 @@ def score_column(scorer: Scorer, text):
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, keep), one row per input row.
 
-    A text of fewer than FEW words, null and empty ones included, has no votes and gets
-    the posterior of that pattern.  Repeated rows stay repeated; an empty table gives none."""
+    A null, empty or blank text has no votes and gets the posterior of that pattern; every
+    other text is scored, however short.  Repeated rows stay repeated; an empty table gives none."""
     scorer = fit(docs, id_col, text_col)
     src = common.columns(docs, id=id_col, text=text_col)
     out = src.select(F.col("id").alias(id_col), score_column(scorer, F.col("text")).alias("score"))

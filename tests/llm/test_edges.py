@@ -295,6 +295,15 @@ def test_quality(docs, rows, empty):
     assert quality.classify(empty).count() == 0
 
 
+def test_quality_of_texts_of_few_words():
+    blob = quality.votes(quality.statistics("#$%&" * 5000)[0])
+    assert blob[0] == 0 and blob[5] == 0 and blob[6] == -1
+    assert quality.votes(quality.statistics("too short")[0]) == [-1] * quality.LABELLERS
+    scorer = quality.Scorer(np.zeros(quality.DIMENSIONS), -1.0, 1.0)
+    assert [scorer.score(t) for t in (None, "", " \n")] == [1.0] * 3
+    assert scorer.score("#$%&" * 5000) < 0.5 and scorer.score("two words") < 0.5
+
+
 def test_labeller_accuracies_are_recovered():
     rng = np.random.default_rng(0)
     good = rng.random(4000) < 0.85
