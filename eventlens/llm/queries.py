@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, near_dup, pii, piece_count, quality, repeats, sharding, url_filter, vp_search
+from . import bpe, decontam, lloyd, near_dup, pii, piece_count, quality, repeats, sharding, url_filter, vp_search
 from .common import table
 
 #: Path of the vocabulary file, a parameter of operators 1 and 6.
@@ -64,6 +64,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of eight parts of sixteen entries of every vector, after six rounds, with their errors."""
+    return lloyd.codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_url_filter, op4_sharding, op5_decontamination, op6_token_counts,
-                                  op7_pii, op8_quality, op9_near_dup, op10_nearest)}
-SQL: dict[str, str] = {}
+                                  op7_pii, op8_quality, op9_near_dup, op10_nearest, op11_codes)}
+SQL: dict[str, str] = {"op11_codes": lloyd.sql()}
