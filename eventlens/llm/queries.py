@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lloyd, near_dup, pii, piece_count, quality, repeats, sharding, url_filter, vp_search
+from . import angular, bpe, caps, decontam, lloyd, near_dup, pii, piece_count, quality, repeats, sharding, url_filter, vp_search
 from .common import table
 
 #: Path of the vocabulary file, a parameter of operators 1 and 6.
@@ -69,6 +69,18 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100; every seventh label is taken as the next one."""
+    x = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, ((F.col("label").cast("long") + 1) % 10).cast("int")).otherwise(F.col("label"))
+    return angular.mine(x.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate component of every vector."""
+    return caps.components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_url_filter, op4_sharding, op5_decontamination, op6_token_counts,
-                                  op7_pii, op8_quality, op9_near_dup, op10_nearest, op11_codes)}
-SQL: dict[str, str] = {"op11_codes": lloyd.sql()}
+                                  op7_pii, op8_quality, op9_near_dup, op10_nearest, op11_codes, op12_hard_negatives, op13_near_vectors)}
+SQL: dict[str, str] = {"op11_codes": lloyd.sql(), "op12_hard_negatives": angular.sql(), "op13_near_vectors": caps.sql()}
