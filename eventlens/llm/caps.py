@@ -2,11 +2,13 @@
 
 Filters.  A vector is turned by a random rotation (random signs and Walsh-Hadamard transforms, twice) and cut in two
 halves.  Each half has its own random unit directions; every pair of them is a filter direction, so W + W directions make W * W
-filters.  A vector belongs to every filter whose direction it exceeds by the cap: list-decoding keeps the directions of each
-half that can still reach the cap with the best of the other half, and tries only their pairs.
+filters.  A vector belongs to every filter whose direction exceeds its cap, and its cap is the highest that k
+directions exceed.  (One cap for all gives a vector between none and some hundreds of filters; to lose as few pairs,
+four times as many are then needed on average.)  List-decoding finds them without trying all: the k best pairs of the two
+halves' sorted products lie where (rank + 1) * (rank + 1) <= k.
 
-The cap follows from the recall: since the rotation is random, two vectors at the threshold are as good as a random pair at this
-angle, so the cap is what all but ``MISS`` of ``TRIALS`` random pairs at the threshold pass together in some filter.
+k follows from the recall: since the rotation is random, two vectors at the threshold are as good as a random pair at this
+angle, and k is what all but ``MISS`` of ``TRIALS`` random pairs at the threshold need to share a filter.
 Pairs that are closer are missed less often.  W grows with the root of the number of vectors, so that a filter has about
 ``BUCKET`` members at every size.
 
@@ -31,9 +33,9 @@ from pyspark.sql import functions as F
 from . import common, vectors as vec
 
 COSINE = 0.9
-MISS, TRIALS = 0.0025, 4000
-#: Members of an average filter; directions of a half at least and at most (the code has to fit a task).
-BUCKET, WORDS_LEAST, WORDS_MOST = 256, 8, 8192
+MISS, TRIALS = 0.002, 6000
+#: Filters that a calibration tries at most; members of an average filter; directions of a half at least and at most (the code has to fit a task).
+DEPTH, BUCKET, WORDS_LEAST, WORDS_MOST = 256, 128, 8, 8192
 #: Members of one block of a filter on average, and a filter half's leaders.
 BLOCK, LEADERS = 1024, 4
 SEED = 20_131
@@ -49,14 +51,15 @@ class Code:
 
     def __init__(self, dim: int, words: int, cosine: float = COSINE):
         rng = np.random.default_rng(SEED)
-        self.width = 2
+        self.width = 16  # halves of a few components at least
         while self.width < dim:
             self.width *= 2
         self.words = words
         self.signs = rng.choice([-1.0, 1.0], size=(2, self.width))
         half = rng.standard_normal((2, words, self.width // 2))
         self.half = half / np.linalg.norm(half, axis=2, keepdims=True) / np.sqrt(2.0)
-        self.cap = self.calibrated(rng, dim, cosine)
+        self.k = min(DEPTH, words * words)
+        self.k = self.calibrated(rng, dim, cosine)
 
     def products(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inner products of unit vectors, turned, with the directions of either half."""
@@ -72,67 +75,67 @@ class Code:
             x = x / np.sqrt(self.width)
         return x[:, : self.width // 2] @ self.half[0].T, x[:, self.width // 2:] @ self.half[1].T
 
-    def calibrated(self, rng, dim: int, cosine: float) -> float:
-        """The largest cap at which all but ``MISS`` of random pairs at the threshold share a filter."""
+    def calibrated(self, rng, dim: int, cosine: float) -> int:
+        """The least number of filters with which all but ``MISS`` of random pairs at the threshold share one."""
         x = unit(rng.standard_normal((TRIALS, dim)))
-        y = rng.standard_normal((TRIALS, dim))
-        y = y - np.einsum("nd,nd->n", x, y)[:, None] * x
+        y = x
         if dim > 1:
-            y = cosine * x + np.sqrt(1.0 - cosine ** 2) * unit(y)
-        else:
-            y = x
-        (a, b), (c, d) = self.products(x), self.products(y)
-        few = min(48, self.words)
-        i, j = (np.argpartition(-(p + q), few - 1, axis=1)[:, :few] for p, q in ((a, c), (b, d)))
-        one = np.take_along_axis(a, i, 1)[:, :, None] + np.take_along_axis(b, j, 1)[:, None, :]
-        two = np.take_along_axis(c, i, 1)[:, :, None] + np.take_along_axis(d, j, 1)[:, None, :]
-        shared = np.minimum(one, two).max(axis=(1, 2))
-        return float(np.sort(shared)[int(MISS * TRIALS)]) - 1e-9
-
-    def decode(self, u: np.ndarray) -> list[np.ndarray]:
-        """Of every unit vector the filters (first * words + second, ascending) that it exceeds by the cap."""
-        a, b = self.products(u)
-        top_a, top_b = a.max(axis=1), b.max(axis=1)
-        out = []
-        for k in range(len(u)):
-            i, j = np.flatnonzero(a[k] >= self.cap - top_b[k]), np.flatnonzero(b[k] >= self.cap - top_a[k])
-            p, q = np.nonzero(a[k][i][:, None] + b[k][j][None, :] >= self.cap)
-            out.append((i[p] * self.words + j[q]).astype(np.int64))
-        return out
+            y = rng.standard_normal((TRIALS, dim))
+            y = cosine * x + np.sqrt(1.0 - cosine ** 2) * unit(y - np.einsum("nd,nd->n", x, y)[:, None] * x)
+        need = []
+        for p, q in zip(self.decode(x).tolist(), self.decode(y).tolist()):
+            rank = {f: r for r, f in enumerate(p)}
+            need.append(min((max(rank[f], r) + 1 for r, f in enumerate(q) if f in rank), default=self.k))
+        return sorted(need)[-1 - int(MISS * TRIALS)]
+
+    def decode(self, u: np.ndarray) -> np.ndarray:
+        """Of every unit vector its k filters (first * words + second), the best first."""
+        few = min(self.k, self.words)
+        places, sorted_ = [], []
+        for x in self.products(u):
+            best = np.argpartition(-x, few - 1, axis=1)[:, :few]
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(x, best, 1), axis=1, kind="stable"), 1)
+            places.append(best), sorted_.append(np.take_along_axis(x, best, 1))
+        p, q = np.nonzero(np.outer(np.arange(1, few + 1), np.arange(1, few + 1)) <= self.k)
+        total = sorted_[0][:, p] + sorted_[1][:, q]
+        top = np.argsort(-total, axis=1, kind="stable")[:, : self.k]
+        return places[0][np.arange(len(u))[:, None], p[top]] * self.words + places[1][np.arange(len(u))[:, None], q[top]]
 
 
 def directions_for(n: int) -> int:
-    """Directions of a half for n vectors; a vector has some 16 filters."""
+    """Directions of a half for n vectors, of which each has some 16 filters."""
     return int(min(WORDS_MOST, max(WORDS_LEAST, np.ceil(np.sqrt(16.0 * n / BUCKET)))))
 
 
-def _keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, id, v) -> the same with a key of the vector (0.0 and -0.0 alike)."""
-    for batch in it:
-        v = vec.matrix(batch.column("v")) + 0.0
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in v], pa.binary()),
-                                          pa.array([x.tobytes() for x in v], pa.binary())], names=["row", "id", "key", "v"])
+def _keyed(kind: str):
+    """Rows (row, id, v) -> the same with the vector packed (0.0 and -0.0 alike) and a key of it."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            packed = [x.tobytes() for x in (vec.matrix(batch.column("v")) + 0.0).astype(kind)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in packed], pa.binary()),
+                                              pa.array(packed, pa.binary())], names=["row", "id", "key", "v"])
+    return run
 
 
-def unpack(column) -> np.ndarray:
+def unpack(column, kind: str) -> np.ndarray:
+    """Packed vectors as unit vectors in double precision."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype=np.float64).reshape(len(rows), -1)
+    return unit(np.frombuffer(b"".join(rows), dtype=kind).reshape(len(rows), -1).astype(np.float64))
 
 
-def _decoded(code: Code):
+def _decoded(code: Code, kind: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if not batch.num_rows:
                 continue
-            u = unit(unpack(batch.column("v")))
-            filters = code.decode(u)
+            filters = np.sort(code.decode(unpack(batch.column("v"), kind)), axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("weight"), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(filters, pa.list_(pa.int64())),
-                 pa.array([np.unique(f // code.words) for f in filters], pa.list_(pa.int64()))], names=["rep", "weight", "u", "filters", "firsts"])
+                [*(batch.column(c) for c in ("rep", "weight", "v")), pa.array(list(filters), pa.list_(pa.int32())),
+                 pa.array([np.unique(f) for f in filters // code.words], pa.list_(pa.int32()))], names=["rep", "weight", "v", "filters", "firsts"])
     return run
 
 
-def _balled(leaders: dict[int, list[int]], reps: np.ndarray, u: np.ndarray, cosine: float):
+def _balled(leaders: dict[int, list[int]], reps: np.ndarray, u: np.ndarray, cosine: float, kind: str):
     """Adds the ball: the first of the proposed leaders within half the angle, or the vector itself.
 
     ``leaders``: a filter half's leaders as places in ``reps`` and ``u``, which are sorted by their hash."""
@@ -142,7 +145,7 @@ def _balled(leaders: dict[int, list[int]], reps: np.ndarray, u: np.ndarray, cosi
         for batch in it:
             if not batch.num_rows:
                 continue
-            own, mine = unpack(batch.column("u")), batch.column("rep").to_numpy()
+            own, mine = unpack(batch.column("v"), kind), batch.column("rep").to_numpy()
             ball = mine.copy()
             for k, firsts in enumerate(batch.column("firsts").to_pylist()):
                 tried = sorted({at for i in firsts for at in leaders.get(i, ())})
@@ -150,24 +153,24 @@ def _balled(leaders: dict[int, list[int]], reps: np.ndarray, u: np.ndarray, cosi
                     close = np.flatnonzero(u[tried] @ own[k] >= near)
                     if len(close):
                         ball[k] = reps[tried[close[0]]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "weight", "u", "filters")), pa.array(ball)],
-                                             names=["rep", "weight", "u", "filters", "ball"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "weight", "v", "filters")), pa.array(ball)],
+                                             names=["rep", "weight", "v", "filters", "ball"])
     return run
 
 
-def _compared(cosine: float):
-    """Groups (filter, p, q) of rows (block, rep, weight, ball, u, filters) -> of members of block p and of block q in different
+def _compared(cosine: float, kind: str):
+    """Groups (filter, p, q) of rows (block, rep, weight, ball, v, smaller: its filters below this one) -> of members of block p and of block q in different
     balls, the links that belong to this filter: (rep, null, weight of its partners) and a forest (ball, ball, null)."""
     def group(rows: pa.Table) -> pa.RecordBatch:
         block, rep, weight, ball = (rows[c].to_numpy() for c in ("block", "rep", "weight", "ball"))
-        here, p, q = (rows[c][0].as_py() for c in ("filter", "p", "q"))
-        u = unpack(rows["u"])
+        p, q = (rows[c][0].as_py() for c in ("p", "q"))
+        u = unpack(rows["v"], kind)
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
         linked = (u[left] @ u[right].T >= cosine) & (ball[left][:, None] != ball[right][None, :])
         a, b = np.nonzero(np.triu(linked, 1) if p == q else linked)
         a, b = left[a], right[b]
-        filters = rows["filters"].to_pylist()
-        smaller = {int(k): frozenset(f for f in filters[k] if f < here) for k in np.union1d(a, b)}
+        some = np.union1d(a, b)
+        smaller = dict(zip(some.tolist(), map(frozenset, rows["smaller"].take(pa.array(some)).to_pylist())))
         first = np.fromiter((smaller[x].isdisjoint(smaller[y]) for x, y in zip(a.tolist(), b.tolist())), dtype=bool, count=len(a))
         links = np.zeros(len(rep), dtype=np.int64)
         np.add.at(links, a[first], weight[b[first]])
@@ -214,23 +217,24 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     A filter's blocks are those of its ordinary members, then those of each large ball in it.  All blocks meet each other
     but those of one large ball; an ordinary block also meets itself."""
     large = members.groupBy("ball").agg(F.count("*").alias("n")).filter(F.col("n") > block // 2).select("ball", F.lit(True).alias("large"))
-    one = members.join(large, "ball", "left").withColumn("filter", F.explode("filters")).withColumn("of", F.when(F.col("large"), F.col("ball")))
-    sizes = one.groupBy("filter", "of").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    marked = members.join(large, "ball", "left").withColumn("of", F.when(F.col("large"), F.col("ball"))).withColumn("filter", F.explode("filters"))
+    sizes = marked.groupBy("filter", "of").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
     plan = sizes.groupBy("filter").agg(
         F.coalesce(F.sum(F.when(F.col("of").isNull(), F.col("n"))), F.lit(0)).cast("int").alias("light"),
         F.sum("n").cast("int").alias("all"),
         F.array_sort(F.collect_list(F.when(F.col("of").isNotNull(), F.struct("of", "n")))).alias("balls"))
-    x = one.join(plan, "filter")
-    # place of the member's ball among the large ones: where its blocks begin, and how many there are
-    before = F.filter("balls", lambda b: b["of"] < F.col("of"))
-    begin = F.when(F.col("of").isNull(), 0).otherwise(F.col("light") + F.aggregate(before, F.lit(0), lambda s, b: s + b["n"]))
-    own = F.when(F.col("of").isNull(), F.col("light")).otherwise(F.element_at(F.filter("balls", lambda b: b["of"] == F.col("of")), 1)["n"])
-    x = x.withColumn("begin", begin).withColumn("own", own)
+    # only filters of more than one block need a plan: at most one in ``block`` memberships
+    x = marked.join(plan.filter("all > 1"), "filter", "left")
+    one = F.col("all").isNull() | F.col("of").isNull()
+    x = x.withColumn("begin", F.when(one, 0).otherwise(F.col("light") + F.aggregate(
+        F.filter("balls", lambda b: b["of"] < F.col("of")), F.lit(0), lambda s, b: s + b["n"])))
+    x = x.withColumn("own", F.when(one, F.coalesce("light", F.lit(1))).otherwise(F.element_at(F.filter("balls", lambda b: b["of"] == F.col("of")), 1)["n"]))
     x = x.withColumn("block", (F.col("begin") + F.pmod(F.xxhash64("rep"), F.col("own"))).cast("int"))
-    every = F.sequence(F.lit(0), F.col("all") - 1)
-    others = F.filter(every, lambda b: F.col("of").isNull() | (b < F.col("begin")) | (b >= F.col("begin") + F.col("own")))
+    every = F.sequence(F.lit(0), F.coalesce("all", F.lit(1)) - 1)
+    others = F.filter(every, lambda b: one | (b < F.col("begin")) | (b >= F.col("begin") + F.col("own")))
     return (x.withColumn("other", F.explode(others))
-            .select("filter", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "weight", "ball", "u", "filters"))
+            .select("filter", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "weight", "ball", "v",
+                    F.filter("filters", lambda f: f < F.col("filter")).alias("smaller")))
 
 
 def components(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -243,21 +247,23 @@ def components(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id
     links and component.  A row with a null id takes part in links; its component is the smallest id reachable, or null,
     and it is kept if that is null.  An empty table gives an empty result."""
     fit = vec.finite(F.col("v")) & F.exists("v", lambda e: e != 0)
-    raw = common.columns(vectors, id=id_col, v=vector_col).withColumn("v", F.col("v").cast("array<double>"))
+    raw = common.columns(vectors, id=id_col, v=vector_col)
+    kind = "f4" if raw.schema["v"].dataType.simpleString() == "array<float>" else "f8"  # packed as they came
+    raw = raw.withColumn("v", F.col("v").cast("array<double>"))
     x, n, dim = vec.usable(raw.filter(fit), "caps-vectors", id="id", v="v")
     rest = raw.filter(~F.coalesce(fit, F.lit(False)) | (F.size("v") != dim)).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    found = rest if n == 0 else _linked(x, n, dim, cosine, block).unionByName(rest)
+    found = rest if n == 0 else _linked(x, n, dim, cosine, block, kind).unionByName(rest)
     return found.select(F.col("id").alias(id_col), "n_links", "component_id",
                         F.when(F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))).alias("kept"))
 
 
-def _linked(x: DataFrame, n: int, dim: int, cosine: float, block: int) -> DataFrame:
+def _linked(x: DataFrame, n: int, dim: int, cosine: float, block: int, kind: str) -> DataFrame:
     code = Code(dim, directions_for(n), cosine)
-    rows = common.materialize(x.mapInArrow(_keyed, "row long, id long, key binary, v binary"), "caps-rows")
+    rows = common.materialize(x.mapInArrow(_keyed(kind), "row long, id long, key binary, v binary"), "caps-rows")
     reps = rows.groupBy("key").agg(F.min("row").alias("rep"), F.min("id").alias("least_id"), F.count("*").alias("weight"), F.min("v").alias("v"))
     reps = common.materialize(reps, "caps-reps")
     decoded = common.materialize(reps.select("rep", "weight", "v").mapInArrow(
-        _decoded(code), "rep long, weight long, u binary, filters array<long>, firsts array<long>"), "caps-decoded")
+        _decoded(code, kind), "rep long, weight long, v binary, filters array<int>, firsts array<int>"), "caps-decoded")
 
     drawn = F.xxhash64("rep", F.lit(SEED))
     proposed = (decoded.select(F.explode("firsts").alias("first"), F.struct(drawn.alias("drawn"), "rep").alias("by"))
@@ -267,18 +273,18 @@ def _linked(x: DataFrame, n: int, dim: int, cosine: float, block: int) -> DataFr
                 .filter(F.col("by") > F.col(f"by{k - 1}")).groupBy("first").agg(F.min("by").alias(f"by{k}")))
         proposed = proposed.join(more, "first", "left")
     leaders = (proposed.select("first", F.explode(F.array(*[f"by{k}" for k in range(LEADERS)])).alias("by")).filter("by is not null")
-               .join(decoded.select(F.col("rep").alias("leader"), "u"), F.col("by.rep") == F.col("leader")).select("first", "by.drawn", "leader", "u").collect())
-    order = sorted({(r["drawn"], r["leader"]): r["u"] for r in leaders}.items())  # at most LEADERS * WORDS_MOST vectors
+               .join(decoded.select(F.col("rep").alias("leader"), "v"), F.col("by.rep") == F.col("leader")).select("first", "by.drawn", "leader", "v").collect())
+    order = sorted({(r["drawn"], r["leader"]): r["v"] for r in leaders}.items())  # at most LEADERS * WORDS_MOST vectors
     place = {leader: k for k, ((_, leader), _) in enumerate(order)}
     by_first: dict[int, list[int]] = {}
     for r in leaders:
         by_first.setdefault(r["first"], []).append(place[r["leader"]])
-    directions = np.frombuffer(b"".join(bytes(u) for _, u in order), dtype=np.float64).reshape(len(order), dim)
-    members = common.materialize(decoded.mapInArrow(_balled(by_first, np.array([k[1] for k, _ in order], dtype=np.int64), directions, cosine),
-                                                    "rep long, weight long, u binary, filters array<long>, ball long"), "caps-members")
+    directions = unpack(pa.array([bytes(v) for _, v in order], pa.binary()), kind)
+    members = common.materialize(decoded.mapInArrow(_balled(by_first, np.array([k[1] for k, _ in order], dtype=np.int64), directions, cosine, kind),
+                                                    "rep long, weight long, v binary, filters array<int>, ball long"), "caps-members")
 
     found = common.materialize(_blocks(members, block).repartition("filter", "p", "q").sortWithinPartitions("filter", "p", "q")
-                               .mapInArrow(_compared(cosine), "a long, b long, links long"), "caps-links")
+                               .mapInArrow(_compared(cosine, kind), "a long, b long, links long"), "caps-links")
     joined = common.connected_components(found.filter("b is not null").select("a", "b"))
     sums = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     balls = members.groupBy("ball").agg(F.sum("weight").alias("in_ball"))
