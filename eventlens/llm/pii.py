@@ -1,21 +1,23 @@
 """Operator 7: personal data by candidate generation and gradient boosting.
 
 1. Generators propose spans of four kinds with high recall: everything that the kinds'
-   patterns match, whether or not it passes the kind's check, and looser forms
-   (addresses spelt out or without a top-level domain, telephone numbers without a
-   plus).  Proposals may overlap.
-2. Boosted trees score a proposal by its format and its context.  They learn from a
-   bounded sample of each kind's proposals that the checks label: passed (personal data)
-   or failed.  The sample is drawn from all documents, so a rare kind has its share too.
-3. On held-out proposals each kind's threshold is set to the lowest score that keeps the
-   wanted precision; a kind with too few examples adds nothing.
+   patterns match, whether or not it passes the kind's check, and looser forms (addresses spelt
+   out or without a top-level domain, telephone numbers without a plus, defanged IP
+   addresses, card numbers with unusual marks).  Proposals may overlap.
+2. Boosted trees score a proposal by its format and its context.  They learn from ``EXAMPLES``
+   labelled texts of each kind and label (``pii_examples``), personal data in such forms and
+   look-alikes.  Neither labels nor features hold a check's verdict, and no text of the corpus
+   takes part: a text has the same spans whatever table it is in.
+3. On held-out examples each kind's threshold is set to the lowest score that keeps the
+   wanted precision.
 
 Matches that pass their check (the base) are always spans; proposals at or above their
 kind's threshold that touch no chosen span are added, best first.
 """
 from __future__ import annotations
 
-import heapq
+import bisect
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -25,13 +27,12 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
-from . import common
+from . import common, pii_examples
 
 KINDS = ("email", "ip", "card", "phone")
-#: Labelled proposals of a kind in the sample; trees and their depth; wanted precision; examples a kind needs.
-SAMPLE, TREES, DEPTH, PRECISION, ENOUGH = 10_000, 15, 3, 0.98, 50
+#: Labelled texts of each kind and label; every so many is held out; trees and their depth; wanted precision.
+EXAMPLES, HELD, TREES, DEPTH, PRECISION = 600, 4, 25, 4, 0.99
 #: The kinds' patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -40,9 +41,11 @@ DOTTED = re.compile(r"[0-9][0-9.]*")
 ADDRESS_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 BARE_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+")
 SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}")
+DEFANGED = re.compile(r"[0-9]{1,3}(?:(?:\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])")
+MARKED_CARD = re.compile(r"[0-9]{4}(?:(?:[./_]|\x20\x20)[0-9]{4}){3}(?![0-9])")
 LOCAL_PHONE = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
-CUES = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "addr", "server"), "card": ("card", "visa", "pay", "credit"),
-        "phone": ("phone", "tel", "call", "fax", "mobile")}
+CUES = {"email": re.compile(r"mail|contact|write"), "ip": re.compile(r"\b(?:ip|host|addr|server)"), "card": re.compile(r"card|visa|\bpay|credit"),
+        "phone": re.compile(r"phone|\btel|\bcall|\bfax|mobile")}
 
 
 def luhn(digits: str) -> bool:
@@ -72,7 +75,7 @@ def matches(text: str) -> Iterator[tuple[str, int, int, bool]]:
             four = parts[k : k + 4]
             step = 4 if len(four) == 4 and all(four) else 1
             if step == 4:
-                yield "ip", start, start + len(".".join(four)), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four)
+                yield "ip", start, start + len(".".join(four)), all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four)
             start += sum(len(p) + 1 for p in parts[k : k + step])
             k += step
     if not digits:
@@ -102,23 +105,25 @@ def looser(text: str) -> Iterator[tuple[str, int, int]]:
                 lo -= 1
             if (found := SPELT.match(text, lo)):
                 yield "email", *found.span()
-    for m in LOCAL_PHONE.finditer(text):
-        yield "phone", *m.span()
+    for kind, pattern in (("phone", LOCAL_PHONE), ("ip", DEFANGED), ("card", MARKED_CARD)):
+        for m in pattern.finditer(text):
+            yield kind, *m.span()
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
-    """Format and context of a proposal."""
+    """Format and context of a proposal; nothing that a kind's check computes."""
     span, before, after = text[start:end], text[max(0, start - 24) : start].lower(), text[end : end + 1]
-    number = "".join(c for c in span if "0" <= c <= "9")
-    groups = re.findall(r"[0-9]+", span)
+    digits = sum("0" <= c <= "9" for c in span)
+    groups = [len(g) for g in re.findall(r"[0-9]+", span)]
+    last = re.split(r"[^A-Za-z]+", span.rstrip(")]"))[-1]
     edge = lambda c: 0.0 if not c else 1.0 if c.isspace() else 2.0 if c.isalnum() else 3.0
-    return [
-        *(float(kind == k) for k in KINDS), min(len(span), 99), min(len(number), 40), len(span) - len(number) - sum(c.isalpha() for c in span),
-        min(len(groups), 20), max(map(len, groups), default=0) if len(number) < 99 else 99.0, len(set(number)),
-        max((min(int(g[:6]), 99999) for g in groups), default=-1) if kind == "ip" else -1.0,
-        float(bool(number) and len(number) < 40 and luhn(number)), float(span[:1] == "+"), float("(" in span), float("@" in span),
-        span.count("."), float(span[:1] == "0"), edge(before[-1:]), edge(after), float(any(c in before for c in CUES[kind])),
-    ]
+    return [float(x) for x in (
+        *(float(kind == k) for k in KINDS), min(len(span), 99), min(digits, 40), len(span) - digits - sum(c.isalpha() for c in span),
+        min(len(groups), 20), min(max(groups, default=0), 99), min(min(groups, default=0), 99), float(span[:1] == "+"), float("(" in span), float("[" in span),
+        float("@" in span), span.count("."), span.count("-"), span.count(" "), edge(before[-1:]), edge(after),
+        float(last.islower()), min(len(last), 30), float(last in pii_examples.TOPS), float(bool(CUES[kind].search(before))),
+        float(any(c in before for c in pii_examples.THINGS)),
+    )]
 
 
 def tree_of(node) -> tuple:
@@ -148,64 +153,53 @@ class Detector:
             return []
         found = list(matches(text))
         chosen = [(k, s, e, True) for k, s, e, passed in found if passed]
-        rest = {(k, s, e) for k, s, e, passed in found if not passed}
-        if self.trees:
-            rest = {p for p in rest | set(looser(text)) if self.thresholds[p[0]] <= 1}
-            scored = sorted(((self.score(features(text, *p)), p) for p in rest), key=lambda x: (-x[0], x[1]))
-            for score, (k, s, e) in scored:
-                if score >= self.thresholds[k] and all(e <= a or b <= s for _, a, b, _ in chosen):
-                    chosen.append((k, s, e, False))
+        rest = {p for p in {(k, s, e) for k, s, e, passed in found if not passed} | set(looser(text)) if self.thresholds.get(p[0], 2.0) <= 1}
+        scored = sorted(((self.score(features(text, *p)), p) for p in rest), key=lambda x: (-x[0], x[1]))
+        begins, ends = _union(chosen)  # what is taken, as separate stretches in order
+        for score, (k, s, e) in scored:
+            at = bisect.bisect_right(begins, s)
+            if score >= self.thresholds[k] and (at == 0 or ends[at - 1] <= s) and (at == len(begins) or e <= begins[at]):
+                chosen.append((k, s, e, False))
+                begins.insert(at, s), ends.insert(at, e)
         return sorted(chosen, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Detector:
-    """Boosted trees on about ``sample`` labelled proposals of each kind (all, if there are no more), chosen
-    by a hash from all documents' proposals.
-
-    Without examples of both labels the detector keeps to the base."""
-    def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a task keeps the proposals of each kind with the smallest hashes: the smallest of all are among them
-        kept: dict[str, list] = {k: [] for k in KINDS}
-        n = 0
-        for part in it:
-            for i, t in zip(part["id"], part["text"]):
-                for kind, s, e, passed in matches(t) if t else ():
-                    order, heap = xxh3_64_intdigest(f"{i}:{kind}:{s}:{t[s:e]}") >> 1, kept[kind]
-                    n += 1
-                    if len(heap) < sample:
-                        heapq.heappush(heap, (-order, n, passed, features(t, kind, s, e)))
-                    elif -order > heap[0][0]:
-                        heapq.heapreplace(heap, (-order, n, passed, features(t, kind, s, e)))
-        out = [(kind, float(passed), -order % 5 == 0, int(64 * math.log2(1 - order)), x)
-               for kind, heap in kept.items() for order, _, passed, x in heap]
-        yield pd.DataFrame(out, columns=["kind", "label", "held", "step", "x"])
-
-    src = common.columns(docs, id=id_col, text=text_col).select(F.col("id").cast("string").alias("id"), "text")
-    seen = common.materialize(src.mapInPandas(rows, "kind string, label double, held boolean, step int, x array<double>"), "pii-sample")
-    # steps of the hash's logarithm, about 1 % apart: 4032 a kind at most
-    sizes, last = dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, -1)
-    for r in sorted(seen.groupBy("kind", "step").count().collect(), key=lambda r: r["step"]):
-        sizes[r["kind"]] += r["count"]
-        if sizes[r["kind"]] <= sample:
-            last[r["kind"]] = r["step"]
-    seen = seen.filter(" or ".join(f"(kind = '{k}' and step <= {last[k]})" for k in KINDS))
-    held = {(r["held"], r["label"]): r["count"] for r in seen.groupBy("held", "label").count().collect()}
-    none = Detector([], [], dict.fromkeys(KINDS, 2.0))
-    if min(held.get((False, y), 0) for y in (0.0, 1.0)) < ENOUGH:
-        return none
-    train = seen.filter("not held").select(array_to_vector("x").alias("features"), "label")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32).fit(train)
+def _union(spans: list[tuple]) -> tuple[list[int], list[int]]:
+    begins, ends = [], []
+    for s, e in sorted((s, e) for _, s, e, _ in spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            begins.append(s), ends.append(e)
+    return begins, ends
+
+
+def proposals(rows: list[tuple]) -> list[tuple[str, float, bool, list[float]]]:
+    """(kind, label, held out, features) of every proposal in the labelled texts that is not base: personal if it
+    is of the text's kind, covers most of what is marked there and the text is marked as personal."""
+    out = []
+    for n, (text, kind, start, end, personal) in enumerate(rows):
+        found = {(k, s, e) for k, s, e, passed in matches(text) if not passed} | set(looser(text))
+        for k, s, e in sorted(found):
+            shared = min(e, end) - max(s, start)
+            out.append((k, float(personal and k == kind and 5 * shared >= 4 * (max(e, end) - min(s, start))), n % HELD == 0, features(text, k, s, e)))
+    return out
+
+
+@functools.lru_cache(maxsize=4)
+def fit(spark: SparkSession, each: int = EXAMPLES) -> Detector:
+    """Boosted trees and thresholds from ``each`` labelled texts of each kind and label; always the same."""
+    rows = proposals(pii_examples.examples(KINDS, each))
+    train = spark.createDataFrame([(x, y) for _, y, held, x in rows if not held], "x array<double>, label double").coalesce(1)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32).fit(train.select(array_to_vector("x").alias("features"), "label"))
     detector = Detector([tree_of(t._java_obj.rootNode()) for t in model.trees], list(model.treeWeights), {})
-    score = F.udf(lambda x: float(detector.score(x)), "double")
-    steps = (seen.filter("held").groupBy("kind", F.floor(score("x") * 1000).alias("step"))
-             .agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect())  # 1001 rows a kind at most
     for kind in KINDS:
-        good = total = 0.0
-        best = 2.0
-        for r in sorted((r for r in steps if r["kind"] == kind), key=lambda r: -r["step"]):
-            good, total = good + r["good"], total + r["n"]
-            if total >= ENOUGH and good / total >= PRECISION:
-                best = r["step"] / 1000
+        good, total, best = 0.0, 0, 2.0
+        scored = sorted(((detector.score(x), y) for k, y, held, x in rows if held and k == kind), reverse=True)
+        for at, (score, label) in enumerate(scored):
+            good, total = good + label, total + 1
+            if good / total >= PRECISION and (at + 1 == len(scored) or scored[at + 1][0] < score):
+                best = score
         detector.thresholds[kind] = best
     return detector
 
@@ -220,7 +214,7 @@ def span_column(detector: Detector, text: Column) -> Column:
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans), one row per input row; a null or empty text has no spans."""
-    detector = fit(docs, id_col, text_col)
+    detector = fit(docs.sparkSession)
     src = common.columns(docs, id=id_col, text=text_col)
     return src.select(F.col("id").alias(id_col), span_column(detector, F.col("text")).alias("spans"))
 
@@ -237,7 +231,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets; overlapping spans become one."""
-    detector = fit(docs, text_col=text_col)
+    detector = fit(docs.sparkSession)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
