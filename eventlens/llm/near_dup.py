@@ -12,7 +12,7 @@ band with probability (1 - 0.75**5)**50 = 1.3e-6.
 
 Verification, without all pairs of a group:
 
-1. Documents with equal shingle sets collapse to the one with the smallest id.
+1. Rows with equal shingle sets collapse to one node, which remembers their smallest id.
 2. In every band bucket each member is compared with the bucket's smallest member
    only (linear in the bucket), on full sets.  Links give components.
 3. Buckets that still hold several components are searched completely, in blocks of
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, words
@@ -79,19 +79,23 @@ def _profiles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = words.shingle_set(text)
             sizes.append(len(s))
             if len(s):
-                sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sets.append(set_key(s.tobytes()))
                 bands.append(band_keys(sketch(s)).view(np.int64))
             else:
                 sets.append(None), bands.append(None)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["id", "n", "set_key", "bands"])
+            [ids, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column(2)],
+            names=["id", "n", "set_key", "bands", "text_key"])
+
+
+def set_key(packed: bytes) -> bytes:
+    return hashlib.blake2b(packed, digest_size=16).digest()
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        sets = [words.shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+        sets = [words.shingle_set(t).tobytes() for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.binary()), pa.array(sets, pa.binary())], names=["set_key", "shingles"])
 
 
 def _verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,14 +175,33 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     ``component_id`` is the smallest id reachable over links (100 |A n B| >= 75 |A u B| on
     5-word shingle sets), ``kept`` says id = component_id.  A null or empty text has no
-    shingles and is linked with nothing.  Rows that repeat an id are texts of one document:
-    they share its component.  A row with a null id is linked with nothing, has a null
-    component and is kept.  An empty table gives an empty result."""
-    src = common.columns(docs, id=id_col, text=text_col)
-    profiles = common.materialize(src.mapInArrow(_profiles, "id long, n long, set_key binary, bands array<long>"), "near-profiles")
+    shingles and is linked with nothing.  Rows that repeat an id are rows of their own: each has
+    the component of its own text, so no text is lost with another one's.  A row with a null id
+    is linked with nothing, has a null component and is kept.  An empty table gives an empty result."""
+    placed = _placed(common.columns(docs, id=id_col, text=text_col))
+    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``components`` keeps.
+
+    Rows that repeat an id are judged each by its own text; rows of the same id and text stay or go together."""
+    text_key = f"text_key_{id(docs)}"
+    keyed = docs.withColumn(text_key, F.sha2(F.col(f"`{text_col}`"), 256))
+    placed = _placed(keyed.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), F.sha2("text", 256))
+    dropped = placed.filter("not kept").select(F.col("id").alias(id_col), F.col("text_key").alias(text_key)).distinct()
+    return keyed.join(dropped, [id_col, text_key], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _placed(src: DataFrame, text_key: Column | None = None) -> DataFrame:
+    """(id, n, text_key, component_id, kept) for rows (id, text)."""
+    read = src.withColumn("text_key", F.lit(None).cast("string") if text_key is None else text_key)
+    profiles = read.select("id", "text", "text_key").mapInArrow(_profiles, "id long, n long, set_key binary, bands array<long>, text_key string")
+    profiles = common.materialize(profiles.withColumn("row", F.monotonically_increasing_id()), "near-profiles")
     usable = profiles.filter("id is not null and set_key is not null")
+    # a set is one node, whatever rows have it; its number is that of a row
     reps = common.materialize(usable.groupBy("set_key").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-reps")
+        F.min("row").alias("rep"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-reps")
     members = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "n")
     shared = (members.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("last"), F.sum("n").alias("weight"))
               .filter("center <> last").select("bucket", "center", "weight"))
@@ -186,9 +209,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     star = crowded.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     star = common.materialize(star, "near-star")
-    involved = crowded.select("id").distinct()
-    sets = common.materialize(src.join(involved, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary")
-                              .groupBy("id").agg(F.first("shingles").alias("shingles")), "near-sets")
+    involved = common.materialize(reps.join(crowded.select(F.col("id").alias("rep")).distinct(), "rep").select("set_key", "rep", "least"), "near-involved")
+    texts = src.filter("id is not null").join(involved.select(F.col("least").alias("id")).distinct(), "id", "left_semi").select("text")
+    sets = common.materialize(texts.mapInArrow(_sets, "set_key binary, shingles binary").groupBy("set_key").agg(F.first("shingles").alias("shingles"))
+                              .join(involved, "set_key").select(F.col("rep").alias("id"), "shingles"), "near-sets")
     links = common.materialize(_links(star, sets), "near-links")
     first = common.connected_components(links)
 
@@ -209,9 +233,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     final = common.connected_components(
         more.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
-    by_set = (reps.select("set_key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-              .select("set_key", F.coalesce("component", "rep").alias("component_id")))
-    out = profiles.select("id", "n", "set_key").join(by_set, "set_key", "left")
+    by_set = (reps.select("set_key", "rep", "least").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+              .select("set_key", "least", F.coalesce("component", "rep").alias("component")))
+    smallest = by_set.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_set = by_set.join(smallest, "component").select("set_key", "component_id")
+    out = profiles.select("id", "n", "text_key", "set_key").join(by_set, "set_key", "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", "n", "text_key", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
