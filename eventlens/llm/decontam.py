@@ -213,7 +213,7 @@ def _search(shared):
                     continue
                 w2 = idf2[d]
                 strides = {n: _Strides(n, lengths, ends, w2) for n in {b.stride for b in blocks}}
-                seen: dict[tuple[int, int], list[int]] = {}
+                seen: dict[tuple[int, int], tuple[list, list]] = {}
                 for b in blocks:
                     at = strides[b.stride]
                     row = b.row_of[d]
@@ -239,28 +239,38 @@ def _search(shared):
                         best = out.get(key)
                         if best and best[0] >= found and best[1] == best[2] == 1:
                             continue
-                        begin, margin = start - offset, len(item)
-                        if len(item) > LONGEST:
-                            # other windows on the same stretch of the document, also by other passages, need no check of their own
-                            near = seen.setdefault((doc, source), [])
-                            if any(4 * abs(begin - x) <= len(item) for x in near):
-                                if best:
-                                    out[key] = max(best, (found, *best[1:]))
-                                continue
-                            near.append(begin)
-                            margin = len(item) + len(item) // 2
-                        _verify(out, key, tokened[doc][max(0, begin - margin) : max(0, begin + 2 * b.stride + margin)], item, counts_of[source], found)
+                        begin, words_here = start - offset, tokened[doc]
+                        if len(item) <= LONGEST:
+                            _verify(out, key, words_here[max(0, begin - len(item)) : max(0, begin + 2 * b.stride + len(item))], item, counts_of[source], found)
+                            continue
+                        margin, quarter = len(item) + len(item) // 2, len(item) // 4
+                        hits, blank = seen.setdefault((doc, source), ([], []))
+                        # on a stretch where the item was found, other windows, also by other passages, need no check of their own
+                        if any(abs(begin - x) <= quarter for x in hits):
+                            out[key] = max(out[key], (found, *out[key][1:]))
+                            continue
+                        # nor do those within a stretch with too short a common subsequence: any part of it has no longer one
+                        lo, hi = begin - margin, begin + 2 * b.stride + margin
+                        if any(x <= lo and hi <= y for x, y in blank):
+                            continue
+                        if _hopeless(words_here[max(0, lo - quarter) : max(0, hi + quarter)], item, counts_of[source]):
+                            blank.append((lo - quarter, hi + quarter))
+                        elif _verify(out, key, words_here[max(0, lo) : max(0, hi)], item, counts_of[source], found):
+                            hits.append(begin)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()),
+                [pa.array([k[0] for k in out], batch.schema.field(0).type), pa.array([k[1] for k in out], pa.int64()),
                  *(pa.array([v[c] for v in out.values()], pa.float64()) for c in range(3))],
                 names=["id", "item", "cosine", "lcs", "answer"])
 
-    def _verify(out, key, around, item, counts, cosine):
+    def _hopeless(around, item, counts):
         # a common subsequence of any passage has no more words than item and surroundings share,
         # and is no longer than that of all the surroundings
         both = counts.keys() & set(around)
-        if sum(map(counts.__getitem__, both)) < LIKELY * len(item) or lcs(item, around) < LIKELY * len(item):
-            return
+        return sum(map(counts.__getitem__, both)) < LIKELY * len(item) or lcs(item, around) < LIKELY * len(item)
+
+    def _verify(out, key, around, item, counts, cosine):
+        if _hopeless(around, item, counts):
+            return False
         answer = item[-max(3, len(item) // 4):]
         # the passage with the best common subsequence, not longer than half as long again as the item
         span = max(len(item) + 8, len(item) * 3 // 2)
@@ -273,6 +283,8 @@ def _search(shared):
         same, told = best[0] / len(item), best[1] / len(answer)
         if same >= SURE or (same >= LIKELY and told >= ANSWER):
             out[key] = max(out.get(key, (0.0, 0.0, 0.0)), (cosine, same, told))
+            return True
+        return False
 
     return run
 
@@ -286,7 +298,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     repeat an item id texts of one item: the best find counts.  Without documents or items
     the result is empty."""
     spark = docs.sparkSession
-    src = common.columns(docs, id=id_col, text=text_col).filter("id is not null").select(F.col("id").cast("long").alias("id"), "text")
+    src = common.columns(docs, id=id_col, text=text_col).filter("id is not null")
+    kind = src.schema["id"].dataType.simpleString()
     all_items = common.columns(benchmark, item=item_col, text=item_text_col).filter("item is not null and text is not null").distinct()
     idf = inverse_document_frequencies(docs, text_col)
     cut = common.materialize(all_items.select(F.col("item").cast("long").alias("item"), "text").mapInArrow(
@@ -305,14 +318,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 blocks.append((stride, parts, vocabulary, latent_space(part, idf, vocabulary, len(rows))))
         if blocks:
             shared = spark.sparkContext.broadcast((idf, list(items), blocks))
-            hits = src.mapInArrow(_search(shared), "id long, item long, cosine double, lcs double, answer double")
+            hits = src.mapInArrow(_search(shared), f"id {kind}, item long, cosine double, lcs double, answer double")
             found = hits if found is None else found.unionByName(hits)
     if found is None:
-        found = spark.createDataFrame([], "id long, item long, cosine double, lcs double, answer double")
+        found = spark.createDataFrame([], f"id {kind}, item long, cosine double, lcs double, answer double")
     best = found.groupBy("id", "item").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.cosine", "b.lcs", "b.answer")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no benchmark item was found."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in whose text no benchmark item was found.
+
+    Every row is judged by its own text, whatever its id: a null id, or one that other rows repeat, decides nothing."""
+    key = f"text_key_{id(docs)}"
+    keyed = docs.withColumn(key, F.sha2(F.col(f"`{text_col}`"), 256))
+    return keyed.join(leaks(keyed, benchmark, id_col=key, text_col=text_col).select(key).distinct(), key, "left_anti").select(
+        *[F.col(f"`{c}`") for c in docs.columns])

@@ -131,6 +131,31 @@ def test_near_duplicates_equal_brute_force(docs, rows):
     same_rows(near_dup.components(docs).collect(), expected)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that repeat an id and link: each has its own component, and no text is lost."""
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, b), (3, a), (7, b), (9, c), (9, c), (2, b.replace("alpha", "beta", 1)), (8, None), (8, ""), (None, a)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, other int")
+    sets = [set(words.shingle_set(t).tolist()) for _, t in rows]
+    parent = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if rows[x][0] is not None and rows[y][0] is not None and sets[x] and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                p, q = parent[x], parent[y]
+                parent = [min(p, q) if z in (p, q) else z for z in parent]
+    expected = []
+    for k, (i, _) in enumerate(rows):
+        least = min((rows[z][0] for z in range(len(rows)) if parent[z] == parent[k] and rows[z][0] is not None), default=None)
+        expected.append((i, len(sets[k]), least if i is not None else None, i is None or i == least))
+    same_rows(near_dup.components(df).collect(), expected)
+    kept = near_dup.keep_one(df)
+    assert kept.columns == df.columns
+    same_rows([(r.doc_id, r.text) for r in kept.collect()], [(i, t) for (i, t), e in zip(rows, expected) if e[3]])
+    groups = {parent[k] for k in range(len(rows)) if sets[k] and rows[k][0] is not None}
+    assert {parent[k] for k, e in enumerate(expected) if e[3] and sets[k] and rows[k][0] is not None} == groups
+
+
 def test_near_duplicate_chains_through_members_of_a_bucket(spark):
     """A group whose members are linked with each other, often not with the smallest one."""
     rng = random.Random(2)
@@ -271,22 +296,56 @@ def test_personal_data_base_equals_the_patterns(docs, rows):
         joined = ",".join(f"{k}:{s}:{e}" for s, _, k, e in found)
         expected.append((i, *(sum(f[2] == k for f in found) for k in pii.KINDS), hashlib.sha256(joined.encode()).hexdigest(), joined))
     assert sum(e[1] + e[2] + e[3] + e[4] for e in expected) >= 4
-    same_rows(got, expected)
+    same_rows([r[:6] for r in got], [e[:6] for e in expected])
+    for r, e in zip(sorted(got, key=str), sorted(expected, key=str)):  # base spans stay, added ones touch none of them
+        spans, base = (set(x.split(",")) - {""} for x in (r["spans"], e[6]))
+        assert base <= spans
+        place = lambda x: tuple(map(int, x.split(":")[1:]))
+        assert all(place(x)[1] <= place(y)[0] or place(y)[1] <= place(x)[0] for x in spans - base for y in base)
+
+
+def test_personal_data_learner_tells_forms_from_look_alikes(spark):
+    detector = pii.fit(spark)
+    found = lambda t: [(k, t[s:e]) for k, s, e, base in detector.spans(t) if not base]
+    for clean in ("we met at noon dot The", "they look at this dot and", "serial 111-222-3333 of part", "version 300.1.2.3", "p+1 23",
+                  "it was late and cost 5@10 each", "chapter 1.2.2021.400 says", "order 123.456.7890 shipped"):
+        assert found(clean) == [], clean
+    assert found("then mail foo@bar") == [("email", "foo@bar")]
+    assert found("contact: jane at mailbox dot org please") == [("email", "jane at mailbox dot org")]
+    assert found("call (017) 555-7713 today") == [("phone", "(017) 555-7713")]
+    assert found("from host 10[.]2[.]33[.]4 again") == [("ip", "10[.]2[.]33[.]4")]
+    assert pii.Detector([], [], {}).spans("call (017) 555-7713") == []
 
 
-def test_personal_data_trees_add_only_what_is_like_the_base():
-    found = pii.Detector([(13, 0.5, (-3.0,), (3.0,))], [1.0], dict.fromkeys(pii.KINDS, 0.9)).spans("call (017) 555-7713, mail x@host")
-    assert all(not base for *_, base in found)
-    assert pii.Detector([], [], {}).spans("call (017) 555-7713") == []
+def test_personal_data_examples_are_not_labelled_by_the_checks():
+    rows = pii.proposals(pii.pii_examples.examples(pii.KINDS, 100))
+    for kind in pii.KINDS:
+        labels = [y for k, y, held, _ in rows if k == kind and held]
+        assert 10 < sum(labels) < len(labels) - 10
+
 
+def test_personal_data_on_held_out_examples(spark):
+    """New examples from another seed: precision and recall of the added spans."""
+    detector = pii.fit(spark)
+    good = wrong = missed = 0
+    for text, kind, s, e, personal in pii.pii_examples.examples(pii.KINDS, 150, seed=99):
+        hit = any(k == kind and 5 * (min(e, f) - max(s, b)) >= 4 * (max(e, f) - min(s, b)) for k, b, f, base in detector.spans(text) if not base)
+        good, wrong, missed = good + (hit and personal), wrong + (hit and not personal), missed + (personal and not hit)
+    assert wrong <= 0.02 * good and missed <= 0.05 * good
 
-def test_personal_data_kinds_are_calibrated_from_all_documents(spark):
-    """A kind that few documents hold: 400 addresses in 24,000 documents."""
-    rng = random.Random(14)
-    rows = [(k, f"mail me at {prose(rng, 1)[:4].strip(',.')}{k}@host{k % 7}.example.org now" if k % 60 == 0 else
-             f"card {rng.randrange(10 ** 15, 10 ** 16)} paid" if k % 8 == 1 else "nothing here") for k in range(24_000)]
-    detector = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert detector.thresholds["email"] <= 1 and detector.thresholds["ip"] == 2
+
+def test_personal_data_of_long_digit_runs_and_of_many_matches(spark):
+    detector = pii.fit(spark)
+    assert [s[:3] for s in detector.spans("0" * 5000 + ".1.2.3")] == [("ip", 0, 5006)]
+    assert detector.spans("9" * 5000 + ".1.2.3 " + "7" * 9000) == []
+    assert sum(k == "card" and base for k, _, _, base in detector.spans("4111 1111 1111 1111, " * 8000)) == 8000
+
+
+def test_personal_data_spans_do_not_depend_on_the_table(spark):
+    one = "call (017) 555-7713 or mail foo@bar"
+    alone = pii.digests(spark.createDataFrame([(1, one)], "doc_id long, text string")).first()
+    among = pii.digests(spark.createDataFrame([(1, one)] + [(k, f"serial {k} of part, +{k} 23") for k in range(2, 3000)], "doc_id long, text string"))
+    assert among.filter("doc_id = 1").first() == alone and alone["spans"].count(",") == 1
 
 
 def test_quality(docs, rows, empty):
@@ -334,7 +393,16 @@ def test_leaks_verbatim_and_paraphrased(spark, docs, empty):
     assert len(expected - got) <= 3 and not got - expected
     assert decontam.leaks(df, table.filter("1 = 0")).count() == 0 and decontam.leaks(empty, table).count() == 0
     kept = decontam.clean(df, table)
-    assert kept.columns == df.columns and kept.count() == len(rows) - len({g[0] for g in got})
+    leaked = len({g[0] for g in got}) + 1  # and the copy under a null id
+    assert kept.columns == df.columns and kept.count() == len(rows) - leaked
+    assert kept.filter("doc_id is null").count() == 0
+
+
+def test_rows_are_cleaned_by_their_own_text(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    rows = [(None, item), (None, "quite another text about nothing at all"), (4, "before " + item + " after"), (4, "a clean text under the same id"), (5, None), (None, None)]
+    kept = decontam.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    same_rows(kept.collect(), [r for r in rows if r[1] is None or item not in r[1]])
 
 
 def test_leaks_do_not_depend_on_the_size_of_the_benchmark(spark):
