@@ -13,21 +13,26 @@ article.  Given labels, an article's decision depends only on the labels of
     label(a) <- F(labels)(a)    evaluated for all articles at once,
 
 reached from "every article alone" in at most n rounds (each round fixes at
-least the next article in order; in practice a handful).  One round is a
-few joins and aggregations:
-
-  1. candidate labels of a = labels of its *candidate partners* m: earlier
-     articles of another source with cos(a, m) > θ² and t_a - t_m ≤ (M-1)·W.
-     Any cluster a could join has such a member (if cos(a, Σ) > θ then some
-     member has cos > θ²; a cluster holds ≤ M articles, gaps ≤ W), so no
-     decision is lost.  The partner table is computed once by the blocked
-     similarity join (time bands of width (M-1)·W, hash blocks inside).
-  2. prefix state of each candidate label *before a*: members with a
-     smaller order key → vector sum, last update, source membership.
-  3. eligibility (window, source) and cosine to the prefix sum; best label
-     by (cosine desc, first member asc); join when cosine > θ.
-
-Each round's labels are written as a table in the shared checkpoint folder
+least the next article in order; in practice a handful).  One round:
+
+  1. cluster states: of each label and source the first member counts (a
+     cluster takes one article of a source), so a label has no more members than
+     there are sources, whatever the labels of the round are.  Sorted by time they
+     give the label's states: vector sum, sources and last update after each
+     member, valid until the next member.
+  2. an article meets the states of its own and the previous time band of
+     width W, in blocks of bounded size: the state that is valid at its time and
+     at most W old is the cluster as the sequential pass would see it.  A block
+     keeps the best cluster of each article only, so no list of pairs is made and
+     neither work nor rows grow with the number of sources, or with the length of
+     the archive but in proportion.
+  3. the best state by (cosine desc, first member asc); join when cosine > threshold.
+
+Rounds are semi-naive: an article whose best cluster was touched meets all states again, any
+other only the states of touched clusters, which may beat the best it has; only time bands
+near a change take part.
+
+Each round's labels and states are written as tables in the shared checkpoint folder
 (``spark.checkpoint.dir``) and read back, so the lineage never grows and a
 lost executor recomputes at most one round.
 """
@@ -41,7 +46,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fx
 from ..functions.dates import parse_ntz
 from ..session import materialize
-from .similarity import blocked_join, epoch_us, has_content, to_double, unit_matrix_fn
+from .similarity import epoch_us, has_content, to_double, unit_matrix_fn
 
 HOUR_US = 3_600_000_000
 
@@ -64,169 +69,141 @@ def prepare(articles: DataFrame, time_col: str = "published_at", source_col: str
     return good, rejects
 
 
-def candidate_pairs(points: DataFrame, threshold: float, window_hours: float, n_sources: int,
-                    block_rows: int = 2048) -> DataFrame:
-    """Step 1: (a, m, cos) with m earlier than a, other source, cos > θ² and t_a-t_m ≤ (M-1)·W."""
-    bound_us = int(max(n_sources - 1, 1) * window_hours * HOUR_US)
-    band_us = max(bound_us, HOUR_US)
-    floor_cos = threshold * threshold - 1e-9
-    p = points.withColumn("band", F.floor(F.col("t_us") / F.lit(band_us)).cast("long"))
-    cols = ["id", "src", "t_us", "vec", "band"]
+STATE_SCHEMA = ("label long, first_t long, first_id long, id long, t_us long, next_t long, next_id long, "
+                "vec array<double>, srcs array<string>, k int")
+BEST_SCHEMA = "id long, label long, cos double, first_t long, first_id long"
 
-    unit = unit_matrix_fn()
 
-    def pairs(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        s = unit(lpdf["vec"]) @ unit(rpdf["vec"]).T
-        lt, rt = lpdf["t_us"].to_numpy()[:, None], rpdf["t_us"].to_numpy()[None, :]
-        li, ri = lpdf["id"].to_numpy()[:, None], rpdf["id"].to_numpy()[None, :]
-        earlier = (rt < lt) | ((rt == lt) & (ri < li))
-        other = lpdf["src"].to_numpy()[:, None] != rpdf["src"].to_numpy()[None, :]
+def cluster_states(labels: DataFrame, points: DataFrame) -> DataFrame:
+    """Step 1: a row per counting member of each label, with the cluster's state after it.
+
+    ``srcs`` lists the label's sources in the order of joining; the first ``k`` are in."""
+    counting = labels.groupBy("label", "src").agg(F.min(F.struct("t_us", "id")).alias("m")) \
+        .select("label", "src", "m.t_us", "m.id").join(points.select("id", "vec"), "id")
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t_us", "id"], kind="stable")
+        t, i = pdf["t_us"].to_numpy(), pdf["id"].to_numpy()
+        sums = np.cumsum(np.stack(pdf["vec"].to_list()).astype(np.float64), axis=0)
+        srcs = pdf["src"].tolist()
+        return pd.DataFrame({
+            "label": pdf["label"].to_numpy(), "first_t": t[0], "first_id": i[0], "id": i, "t_us": t,
+            "next_t": pd.Series([*t[1:], None], dtype="Int64"), "next_id": pd.Series([*i[1:], None], dtype="Int64"),
+            "vec": list(sums), "srcs": [srcs] * len(i), "k": np.arange(1, len(i) + 1, dtype=np.int32)})
+
+    return counting.groupBy("label").applyInPandas(states, STATE_SCHEMA)
+
+
+def band_of(window_hours: float) -> Column:
+    """Time bands of width W: a state that an article may join lies in its own or the previous band."""
+    return F.floor(F.col("t_us") / F.lit(max(int(window_hours * HOUR_US), HOUR_US))).cast("long").alias("band")
+
+
+def best_states(articles: DataFrame, states: DataFrame, blocks: DataFrame, threshold: float, window_hours: float) -> DataFrame:
+    """Steps 2 and 3: of each article (id, src, t_us, vec, band, redo) the best eligible cluster with cosine > ``threshold``
+    among all states (.., band, touched) if ``redo``, else among the touched ones.
+
+    ``blocks`` (band, nb): a band's rows are cut into nb blocks by a hash; every block of articles meets every block of
+    states of its band and of the band before in one task."""
+    window_us = int(window_hours * HOUR_US)
+    unit = unit_matrix_fn()
+    none = pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("id", "int64"), ("label", "int64"), ("cos", "float64"),
+                                                              ("first_t", "int64"), ("first_id", "int64"))})
+
+    def best(art: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
+        if not len(art) or not len(st):
+            return none
+        st = st.sort_values(["first_t", "first_id"], kind="stable")  # among equals the first place wins
+        cos = unit(art["vec"]) @ unit(st["vec"]).T
+        at, a = art["t_us"].to_numpy()[:, None], art["id"].to_numpy()[:, None]
+        t, i = st["t_us"].to_numpy()[None, :], st["id"].to_numpy()[None, :]
+        last = st["next_t"].isna().to_numpy()[None, :]
+        nt, ni = (st[c].fillna(0).to_numpy(dtype=np.int64)[None, :] for c in ("next_t", "next_id"))
+        seen = (t < at) | ((t == at) & (i < a))
+        current = last | (nt > at) | ((nt == at) & (ni >= a))
         with np.errstate(invalid="ignore"):
-            keep = (s > floor_cos) & earlier & other & (lt - rt <= bound_us)
-        a_idx, m_idx = np.nonzero(keep)
-        return pd.DataFrame({"a": lpdf["id"].to_numpy()[a_idx], "m": rpdf["id"].to_numpy()[m_idx],
-                             "cos": s[a_idx, m_idx]})
-
-    return blocked_join(p.select(cols), p.select(cols), "band", [0, 1], "id", pairs,
-                        "a long, m long, cos double", block_rows)
-
-
-EVAL_SCHEMA = "a long, L long, cos double, ok boolean, first_t long, first_id long"
-
-
-def _eval_label(window_us: int):
-    """Per cogroup task (a bucket of labels, one chunk): for every query article a and
-    candidate label L, the prefix state of L before a and the cosine of a to it.
-    Members are summed in (time, id) order, vectorised per label."""
-
-    def one(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame | None:
-        m = m.sort_values(["mt", "mid"], kind="stable")
-        mt, mid = m["mt"].to_numpy(), m["mid"].to_numpy()
-        msrc = m["msrc"].to_numpy()
-        prefix = np.cumsum(np.stack([np.asarray(v, dtype=np.float64) for v in m["mvec"]]), axis=0)
-        at, a = q["at"].to_numpy(), q["a"].to_numpy()
-        before = (mt[None, :] < at[:, None]) | ((mt[None, :] == at[:, None]) & (mid[None, :] < a[:, None]))
-        idx = before.sum(axis=1)                     # members before a form a prefix of the sorted list
-        qi = np.nonzero(idx > 0)[0]
-        if len(qi) == 0:
-            return None
-        k = idx[qi] - 1
-        s = prefix[k]
-        av = np.stack([np.asarray(v, dtype=np.float64) for v in q["avec"].to_numpy()[qi]])
-        d = np.linalg.norm(av, axis=1) * np.linalg.norm(s, axis=1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            cos = np.where(d > 0, np.einsum("ij,ij->i", av, s) / d, np.nan)
-        dup = ((msrc[None, :] == q["asrc"].to_numpy()[qi, None]) & before[qi]).any(axis=1)
-        ok = (at[qi] - mt[k] <= window_us) & ~dup & ~np.isnan(cos)
-        return pd.DataFrame({"a": a[qi], "L": q["L"].to_numpy()[qi], "cos": cos, "ok": ok,
-                             "first_t": np.full(len(qi), mt[0]), "first_id": np.full(len(qi), mid[0])})
-
-    def run(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(m):
-            mg = dict(tuple(m.groupby("L", sort=False)))
-            for lab, qg in q.groupby("L", sort=False):
-                mm = mg.get(lab)
-                if mm is not None:
-                    r = one(qg, mm)
-                    if r is not None:
-                        out.append(r)
-        if not out:
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "L": pd.Series([], dtype="int64"),
-                                 "cos": pd.Series([], dtype="float64"), "ok": pd.Series([], dtype="bool"),
-                                 "first_t": pd.Series([], dtype="int64"), "first_id": pd.Series([], dtype="int64")})
-        return pd.concat(out, ignore_index=True)
-
-    return run
-
-
-def _round(labels: DataFrame, points: DataFrame, pairs: DataFrame, active: DataFrame,
-           threshold: float, window_us: int, chunk_rows: int = 4096,
-           max_cand: int | None = None) -> DataFrame:
-    """One evaluation of F for the ``active`` articles (id): (id, label, score).
-
-    Candidate labels of a = labels of its partners.  Queries (a, L) and the members of
-    each L meet in one cogroup task per (L, chunk); a label with many queries is split
-    into chunks of at most ``chunk_rows`` queries and its members are copied to each."""
-    act_pairs = pairs.select("a", "m").join(active.select(F.col("id").alias("a")), "a", "left_semi")
-    cand = act_pairs.join(labels.select(F.col("id").alias("m"), F.col("label").alias("L")), "m") \
-        .select("a", "L").distinct()
-    cand = materialize(cand, "c4-cand")
-    # tasks: labels hashed into buckets sized to the candidate volume (bounded by the pair
-    # count, known once); a label with many queries is also split into chunks, its members
-    # copied to each chunk
-    n_cand = cand.count() if max_cand is None else max_cand
-    n_buckets = max(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                    -(-n_cand // chunk_rows))
-    nchunks = cand.groupBy("L").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_c"))
-    bucket = F.pmod(F.xxhash64("L"), F.lit(n_buckets)).cast("int")
-    q = cand.join(nchunks, "L").join(
-        points.select(F.col("id").alias("a"), F.col("src").alias("asrc"), F.col("t_us").alias("at"),
-                      F.col("vec").alias("avec")), "a") \
-        .withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("_c")).cast("int")).drop("_c") \
-        .withColumn("bucket", bucket)
-    members = labels.select(F.col("id").alias("mid"), F.col("label").alias("L")) \
-        .join(nchunks, "L") \
-        .join(points.select(F.col("id").alias("mid"), F.col("src").alias("msrc"), F.col("t_us").alias("mt"),
-                            F.col("vec").alias("mvec")), "mid") \
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).drop("_c") \
-        .withColumn("bucket", bucket)
-    ev = q.groupBy("bucket", "chunk").cogroup(members.groupBy("bucket", "chunk")) \
-        .applyInPandas(_eval_label(window_us), EVAL_SCHEMA)
-    best = ev.filter(F.col("ok")).groupBy("a").agg(
-        F.max_by(F.struct("L", "cos"), F.struct(F.col("cos"), F.struct(
-            (-F.col("first_t")).alias("t"), (-F.col("first_id")).alias("i")))).alias("b"))
-    j = active.select("id").join(best.withColumnRenamed("a", "id"), "id", "left")
-    join_it = F.col("b.cos") > threshold
-    return j.select("id",
-                    F.when(join_it, F.col("b.L")).otherwise(F.col("id")).alias("label"),
-                    F.when(join_it, F.col("b.cos")).otherwise(F.lit(1.0)).alias("score"))
+            ok = seen & current & (at - t <= window_us) & (cos > threshold)
+        cos = np.where(ok, cos, -np.inf)
+        sources = [frozenset(list(s)[:k]) for s, k in zip(st["srcs"], st["k"])]
+        src = art["src"].tolist()
+        j = cos.argmax(axis=1)
+        todo = np.flatnonzero(ok.any(axis=1))
+        won = np.zeros(len(art), dtype=bool)
+        while len(todo):  # the best one that has no article of this source yet
+            j[todo] = cos[todo].argmax(axis=1)
+            todo = todo[cos[todo, j[todo]] > -np.inf]
+            free = np.fromiter((src[x] not in sources[y] for x, y in zip(todo, j[todo])), dtype=bool, count=len(todo))
+            won[todo[free]] = True
+            todo = todo[~free]
+            cos[todo, j[todo]] = -np.inf
+        w = np.flatnonzero(won)
+        return pd.DataFrame({"id": art["id"].to_numpy()[w], "label": st["label"].to_numpy()[j[w]], "cos": cos[w, j[w]],
+                             "first_t": st["first_t"].to_numpy()[j[w]], "first_id": st["first_id"].to_numpy()[j[w]]})
+
+    def run(art: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
+        redo = art["redo"].to_numpy(dtype=bool) if len(art) else np.empty(0, bool)
+        return pd.concat([best(art[redo], st), best(art[~redo], st[st["touched"].to_numpy(dtype=bool)] if len(st) else st)])
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).drop("nb")
+
+    partner = blocks.select(F.col("band").alias("with"), F.col("nb").alias("other"))
+    pair = dealt(articles).withColumn("with", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(partner, "with") \
+        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).select("band", "with", F.col("block").alias("i"), "j", "id", "src", "t_us", "vec", "redo")
+    back = dealt(states).withColumn("with", F.col("band")).withColumn("band", F.explode(F.array(F.col("with"), F.col("with") + 1))) \
+        .join(blocks.select("band", F.col("nb").alias("other")), "band").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("other") - 1))) \
+        .select("band", "with", "i", F.col("block").alias("j"), *[f.split(" ")[0] for f in STATE_SCHEMA.split(", ")], "touched")
+    key = ("band", "with", "i", "j")
+    found = pair.groupBy(*key).cogroup(back.groupBy(*key)).applyInPandas(run, BEST_SCHEMA)
+    return found.groupBy("id").agg(F.max_by(F.struct("label", "cos", "first_t", "first_id"), _rank("cos", "first_t", "first_id")).alias("n"))
+
+
+def _rank(cos: str, first_t: str, first_id: str) -> Column:
+    """A higher cosine first, then the cluster that began earlier."""
+    return F.struct(F.col(cos).alias("c"), (-F.col(first_t)).alias("t"), (-F.col(first_id)).alias("i"))
 
 
 def cluster_labels(points: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD,
                    window_hours: float = fx.TIME_WINDOW_HOURS,
-                   block_rows: int = 2048, pairs: DataFrame | None = None,
-                   stats: dict | None = None) -> DataFrame:
-    """C-4 over prepared points (id, src, t_us, vec): (id, label, score), label = first member id.
-
-    Semi-naive rounds: after a round, only articles that have a candidate partner whose
-    label is one of the labels touched by a change are evaluated again; every other
-    article's inputs are unchanged, so its value is already final for this labelling."""
-    if not 0 < threshold < 1:
-        raise ValueError("threshold must be in (0, 1) for the exact candidate bound")
-    pts = materialize(points, "c4-points")
-    n_sources = pts.agg(F.count_distinct("src")).first()[0] or 1
-    if pairs is None:
-        pairs = candidate_pairs(pts, threshold, window_hours, n_sources, block_rows)
-    pairs = materialize(pairs, "c4-pairs")
-    n_pairs = pairs.count()  # bounds every round's (article, label) candidates
-    window_us = int(window_hours * HOUR_US)
-    labels = pts.select("id", F.col("id").alias("label"), F.lit(1.0).alias("score"))
-    # Articles without partners never join anything: only the others are evaluated.
-    active = pairs.select(F.col("a").alias("id")).distinct()
-    rounds = 0
+                   block_rows: int = 2048, stats: dict | None = None) -> DataFrame:
+    """C-4 over prepared points (id, src, t_us, vec): (id, label, score), label = first member id."""
+    pts = materialize(points.select("*", band_of(window_hours)), "c4-points")
+    spark = pts.sparkSession
+    # one row per window of the archive; a band has no more states than articles
+    sizes = pts.groupBy("band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nb")).collect()
+    blocks = spark.createDataFrame([(r["band"], r["nb"]) for r in sizes], "band long, nb int")
+    bands = {r["band"] for r in sizes}
+    # cos, first_t, first_id: of the cluster that an article has joined (null: it is alone)
+    labels = pts.select("id", "src", "t_us", "band", F.col("id").alias("label"),
+                        *[F.lit(None).cast(t).alias(c) for c, t in (("cos", "double"), ("first_t", "long"), ("first_id", "long"))])
+    states = materialize(cluster_states(labels, pts).select("*", band_of(window_hours), F.lit(True).alias("touched")), "c4-states")
+    articles, rounds = pts.withColumn("redo", F.lit(True)), 0
+    held = F.when(F.col("cos").isNotNull(), F.struct("label", "cos", "first_t", "first_id"))
     while True:  # ends: every round fixes at least the next article in order
         rounds += 1
-        upd = _round(labels, pts, pairs, active, threshold, window_us, max_cand=n_pairs) \
-            .select("id", F.col("label").alias("_nl"), F.col("score").alias("_ns"))
-        # one written table per round: the new labelling, with the old label kept for the delta
-        # (scores can move while labels stay, so the round's values are always taken)
-        labels = materialize(
-            labels.join(upd, "id", "left").select(
-                "id", F.coalesce("_nl", "label").alias("label"), F.coalesce("_ns", "score").alias("score"),
-                F.col("label").alias("old")), "c4-labels")
-        delta = labels.filter(F.col("label") != F.col("old"))
-        labels = labels.drop("old")
-        if delta.isEmpty():
+        own, there = F.col("band").isin(sorted(bands)), F.col("band").isin(sorted(bands | {b - 1 for b in bands}))
+        fresh = best_states(articles.filter(own), states.filter(there), blocks, threshold, window_hours)
+        j = labels.join(fresh, "id", "left")
+        if rounds == 1:
+            taken = F.col("n")
+        else:
+            j = j.join(again.select("id", F.lit(True).alias("redo")), "id", "left")
+            beats = F.col("cos").isNull() | (_rank("n.cos", "n.first_t", "n.first_id") > _rank("cos", "first_t", "first_id"))
+            taken = F.when(F.col("redo") | (F.col("n").isNotNull() & beats), F.col("n")).otherwise(held)
+        labels = materialize(j.withColumn("b", taken).select(
+            "id", "src", "t_us", "band", F.coalesce("b.label", "id").alias("label"), F.col("label").alias("old"), "b.cos", "b.first_t", "b.first_id"), "c4-labels")
+        touched = materialize(labels.filter("label <> old").select(F.explode(F.array("old", "label")).alias("label")).distinct(), "c4-touched")
+        if touched.isEmpty():
             if stats is not None:
                 stats["rounds"] = rounds
-            return labels
-        touched = delta.select(F.col("old").alias("L")).unionByName(delta.select(F.col("label").alias("L"))) \
-            .distinct()
-        lab_m = labels.select(F.col("id").alias("m"), F.col("label").alias("L"))
-        # lineage of the next active set ends at the written labels and pairs
-        active = pairs.select("a", "m").join(lab_m, "m").join(touched, "L", "left_semi") \
-            .select(F.col("a").alias("id")).distinct()
+            return labels.select("id", "label", F.coalesce("cos", F.lit(1.0)).alias("score"))
+        labels = labels.drop("old")
+        changed = cluster_states(labels.join(touched, "label", "left_semi"), pts).select("*", band_of(window_hours), F.lit(True).alias("touched"))
+        states = materialize(states.join(touched, "label", "left_anti").withColumn("touched", F.lit(False)).unionByName(changed), "c4-states")
+        again = materialize(labels.filter("cos is not null").join(touched, "label", "left_semi").select("id", "band"), "c4-again")
+        seen = states.filter("touched").select("band").unionByName(again.select("band")).distinct().collect()  # one row per window at most
+        bands = {x for r in seen for x in (r["band"], r["band"] + 1)}
+        articles = pts.join(again.select("id", F.lit(True).alias("redo")), "id", "left").withColumn("redo", F.coalesce("redo", F.lit(False)))
 
 
 def event_clusters(articles: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD,

@@ -65,7 +65,35 @@ def best_cluster_for_vector(spark, sf_dir):
     return b.select("id", "cluster_id", F.bround("similarity", 6).alias("similarity"))
 
 
-@query("event_clusters")
+# The sequential pass as a recursive query: one article a step, the live clusters as a list in the order they began.
+_SEQUENTIAL_SQL = f"""
+o AS MATERIALIZED (
+  select row_number() over (order by a.created_at_s, a.id) as k, a.id, a.src, a.created_at_s as t, a.v from (
+    select a.id, cast(a.source_id as varchar) as src, strptime(a.published_at, '%Y-%m-%d %H:%M:%S') as created_at_s,
+      list_transform(e.embedding, lambda x: cast(x as double)) as v
+    from v_articles a join embeddings e on e.vec_id = a.id
+    where regexp_matches(coalesce(a.headline, '') || coalesce(a.description, ''), '[^\s]')) a),
+run AS (
+  select 0::BIGINT as k, []::STRUCT(root BIGINT, s DOUBLE[], last TIMESTAMP, srcs VARCHAR[])[] as live,
+    null::BIGINT as id, null::BIGINT as label, null::DOUBLE as score
+  union all
+  select k,
+    case when best > {TEST_THRESHOLD} then
+      list_transform(live, lambda c, i: case when i = list_position(sims, best) then
+        {{'root': c.root, 's': list_transform(range(1, len(v) + 1), lambda j: c.s[j] + v[j]), 'last': t, 'srcs': list_append(c.srcs, src)}} else c end)
+    else list_append(live, {{'root': id, 's': v, 'last': t, 'srcs': [src]}}) end,
+    id, case when best > {TEST_THRESHOLD} then live[list_position(sims, best)].root else id end,
+    case when best > {TEST_THRESHOLD} then best else 1.0 end
+  from (select *, list_max(sims) as best from (
+    select *, list_transform(live, lambda c: case when list_contains(c.srcs, src) then -1.0 else list_cosine_similarity(c.s, v) end) as sims from (
+      select o.k, o.id, o.src, o.t, o.v, list_filter(run.live, lambda c: date_diff('microsecond', c.last, o.t) <= 300 * 3600000000) as live
+      from run join o on o.k = run.k + 1))))
+"""
+
+
+@query("event_clusters", "WITH RECURSIVE " + _SEQUENTIAL_SQL + """
+select label as cluster_id, id as article_id, round_even(score, 6) as similarity_score from run where id is not null""")
 def event_clusters(spark, sf_dir):
     t = DriverTables(spark, sf_dir)
-    return clustering.event_clusters(t.vectors, threshold=TEST_THRESHOLD)
+    links = clustering.event_clusters(t.vectors, threshold=TEST_THRESHOLD)
+    return links.select("cluster_id", "article_id", F.bround("similarity_score", 6).alias("similarity_score"))

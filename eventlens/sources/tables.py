@@ -198,6 +198,8 @@ v_asof AS (
 def with_views(sql: str) -> str:
     """Prefix an oracle query with the view CTEs (unused CTEs cost nothing)."""
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return "WITH RECURSIVE " + ORACLE_VIEWS_SQL.strip() + ",\n" + body[15:]
     if body.lower().startswith("with "):
         return "WITH " + ORACLE_VIEWS_SQL.strip() + ",\n" + body[5:]
     return "WITH " + ORACLE_VIEWS_SQL.strip() + "\n" + body

@@ -38,4 +38,4 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_documented():
     """Of the library's own queries; those of the corpus operators have their tests beside them."""
-    assert set(REGISTRY) - set(SQL) <= {"event_clusters", "tfidf_embeddings"}
+    assert set(REGISTRY) - set(SQL) <= {"tfidf_embeddings"}
