@@ -40,14 +40,22 @@ def insert_new(batch: DataFrame, table: DataFrame) -> DataFrame:
     return dedup_batch(batch).join(existing, "content_hash", "left_anti")
 
 
+#: Ids of a hash that one chunk may hold.
+CHUNK = 4096
+
+
 def mark_duplicates(articles: DataFrame) -> DataFrame:
     """G-7: among rows without a hash, the first of each hash gets it, the others
-    get ``DUPLICATE_OF_<first id>``.  Output: id, content_hash, is_duplicate."""
+    get ``DUPLICATE_OF_<first id>``.  Output: id, content_hash, is_duplicate.
+
+    Ids are gathered in chunks of a hash and an id range, so the first id meets a row per chunk and not
+    a row per article; a hash that a third of the rows hold is spread over its chunks."""
     if "content_hash" in articles.columns:  # rows hashed before are neither marked again nor kept as the first
         articles = articles.filter(F.col("content_hash").isNull()).drop("content_hash")
-    h = with_content_hash(articles)
-    keep = first_per_hash(h)
-    j = h.join(keep, "content_hash")
+    h = with_content_hash(articles).select("content_hash", "id")
+    chunks = h.groupBy("content_hash", F.floor(F.col("id") / CHUNK).alias("part")).agg(F.collect_list("id").alias("ids"))
+    keep = chunks.groupBy("content_hash").agg(F.min(F.array_min("ids")).alias("keep_id"))
+    j = chunks.join(keep, "content_hash").select("content_hash", "keep_id", F.explode("ids").alias("id"))
     dup = F.col("id") != F.col("keep_id")
     return j.select(
         "id",

@@ -12,6 +12,8 @@ The hosted extraction model is not part of the engine.  Two ways in:
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,46 @@ def ngrams(spaced: Column, max_n: int) -> Column:
     return F.array_distinct(F.flatten(F.array(*grams)))
 
 
+#: Terms of a lexicon, and characters of a term, that are matched by one pattern; other lexicons meet the n-grams in a join.
+TRIE_TERMS, TRIE_CHARS = 20_000, 200
+
+
+def trie_pattern(terms: list[str]) -> str:
+    """A pattern whose first group is the longest term that starts at a word and ends with one.
+
+    The terms form a trie, so a word that begins no term fails at its first differing character."""
+    root: dict = {}
+    for term in terms:
+        node = root
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def part(node: dict) -> str:
+        ways = [re.escape(c) + part(child) for c, child in sorted(node.items()) if c]
+        if "" in node:
+            ways.append("(?![^ ])")  # tried last: the longest term wins
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return f"(?<![^ ])(?=({part(root)}))[^ ]+"
+
+
+def term_hits(tok: DataFrame, lex: DataFrame) -> DataFrame:
+    """(_doc, lexicon columns), one row per document and lexicon row whose term it holds; ``tok`` is (_doc, _w)."""
+    terms = [r.term for r in lex.select("term").filter("term <> ''").distinct().limit(TRIE_TERMS + 1).collect()]
+    if not terms:
+        return tok.select("_doc").filter("false").crossJoin(lex)
+    if len(terms) > TRIE_TERMS or max(map(len, terms)) > TRIE_CHARS:
+        max_n = lex.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+        return tok.select("_doc", F.explode(ngrams(F.col("_w"), max_n)).alias("term")).join(lex, "term")
+    found = tok.select("_doc", F.explode(F.array_distinct(F.regexp_extract_all("_w", F.lit(trie_pattern(terms)), F.lit(1)))).alias("found"))
+    # the longest term at a word stands for the shorter ones that begin it
+    known = set(terms)
+    begins = [(t, " ".join(w[:k])) for t in terms for w in [t.split(" ")] for k in range(1, len(w) + 1) if " ".join(w[:k]) in known]
+    implied = tok.sparkSession.createDataFrame(begins, "found string, term string")
+    return found.join(implied, "found").select("_doc", "term").distinct().join(lex, "term")
+
+
 def gazetteer_entities(docs: DataFrame, gazetteer: DataFrame, topics: DataFrame | None = None,
                        text_col: str = "text", id_col: str = "id",
                        kinds: list[str] = ENTITY_LIST_KEYS) -> DataFrame:
@@ -99,12 +141,9 @@ def gazetteer_entities(docs: DataFrame, gazetteer: DataFrame, topics: DataFrame
     if topics is not None:
         lex = lex.unionByName(topics.select("term", F.lit(None).cast("string").alias("kind"),
                                             "topic", F.col("rank").cast("int")))
-    max_n = lex.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     tok = docs.select(F.col(id_col).alias("_doc"), spaced_words(F.col(text_col)).alias("_w"))
-    grams = tok.select("_doc", F.explode(ngrams(F.col("_w"), max_n)).alias("term"))
-    # one pass over the token stream: a single join with the whole lexicon, a single
-    # aggregation per document (entity lists + topic hits)
-    hits = grams.join(lex, "term")
+    # one pass over the texts, a single aggregation per document (entity lists + topic hits)
+    hits = term_hits(tok, lex)
     agg = hits.groupBy("_doc").agg(
         *[F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("kind") == k, F.col("term"))))).alias(k)
           for k in kinds],

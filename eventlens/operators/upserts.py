@@ -62,11 +62,17 @@ def get_or_create_sources(sources: DataFrame, incoming: DataFrame) -> DataFrame:
     return sources.unionByName(new)
 
 
+def _order(changes: DataFrame, order: str | None, columns) -> Column:
+    """What decides which of several change rows of a key is the later one: the column ``order``, then the row's own values."""
+    own = F.struct(*[c for c in columns if c in changes.columns])
+    return own if order is None else F.struct(F.col(order).alias("o"), own.alias("v"))
+
+
 def update_source_details(sources: DataFrame, details: DataFrame,
-                          columns=("name", "bias", "owner", "founded_at", "hq_location")) -> DataFrame:
+                          columns=("name", "bias", "owner", "founded_at", "hq_location"), order: str | None = None) -> DataFrame:
     """H-3 / D-J8: on url match overwrite the listed columns, nulls included.  Of detail rows
-    that repeat a url the last in order of the listed columns counts."""
-    d = (details.groupBy(F.col("url").alias("_u")).agg(F.max(F.struct(*columns)).alias("_d"))
+    that repeat a url the last one counts as a whole: by the column ``order``, else by the listed columns."""
+    d = (details.groupBy(F.col("url").alias("_u")).agg(F.max_by(F.struct(*columns), _order(details, order, columns)).alias("_d"))
          .select("_u", *[F.col(f"_d.{c}").alias(f"_d_{c}") for c in columns]))
     j = sources.join(d, sources.url == d._u, "left")
     hit = F.col("_u").isNotNull()
@@ -82,16 +88,18 @@ def details_not_found(sources: DataFrame, details: DataFrame) -> DataFrame:
     return details.join(sources.select("url"), "url", "left_anti")
 
 
-def update_partial(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """H-4 / H-5: set the listed columns where the change row gives a non-null value.  Of change
-    rows that repeat a key the largest non-null value of each column counts."""
+def update_partial(table: DataFrame, changes: DataFrame, key: str, columns: list[str], order: str | None = None) -> DataFrame:
+    """H-4 / H-5: set the listed columns where the change row gives a non-null value.  Change rows
+    that repeat a key are applied one after the other by the column ``order`` (else by their listed
+    values), so each column ends with its last non-null value; one partial aggregation, whatever a key's rows."""
+    listed = [c for c in columns if c in changes.columns and c in table.columns]
+    later = _order(changes, order, listed)
     ch = changes.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_rows"), *[
-        F.max(c).alias(f"_n_{c}") for c in columns if c in changes.columns]).drop("_rows")
+        F.max_by(c, F.when(F.col(c).isNotNull(), later)).alias(f"_n_{c}") for c in listed]).drop("_rows")
     j = table.join(ch, table[key] == ch._k, "left")
-    for c in columns:
-        if c in changes.columns and c in table.columns:
-            j = j.withColumn(c, F.coalesce(F.col(f"_n_{c}"), F.col(c)))
-    return j.drop("_k", *[f"_n_{c}" for c in columns if c in changes.columns])
+    for c in listed:
+        j = j.withColumn(c, F.coalesce(F.col(f"_n_{c}"), F.col(c)))
+    return j.drop("_k", *[f"_n_{c}" for c in listed])
 
 
 def mark_processed(articles: DataFrame, ids: DataFrame, at: Column) -> DataFrame:

@@ -32,17 +32,18 @@ def mark_processed(spark, sf_dir):
 
 
 @query("update_partial", """
-WITH ch AS (select source as url, upper(max(case when lang = 'en' then source end)) as name, max(lang) as language
-            from documents where doc_id % 2 = 0 group by source)
+WITH d AS (select source as url, doc_id, lang as language, case when lang = 'en' then source || ' ' || doc_id end as name from documents),
+ch AS (select url, arg_max(name, doc_id) filter (where name is not null) as name,
+         arg_max(language, doc_id) filter (where language is not null) as language from d group by url)
 select s.id, s.url, coalesce(ch.name, s.name) as name, coalesce(ch.language, s.language) as language
 from v_sources s left join ch on ch.url = s.url""")
 def update_partial(spark, sf_dir):
-    """H-4: one change row per document, so keys repeat; null values change nothing."""
+    """H-4: one change row per document, applied in order of its id, so keys repeat with other values; nulls change nothing."""
     t = DriverTables(spark, sf_dir)
-    d = t.raw("documents").filter("doc_id % 2 = 0")
-    changes = d.select(F.col("source").alias("url"), F.upper(F.when(F.col("lang") == "en", F.col("source"))).alias("name"),
-                       F.col("lang").alias("language"))
-    return upserts.update_partial(t.sources, changes, "url", ["name", "language"]).select("id", "url", "name", "language")
+    changes = t.raw("documents").select(
+        F.col("source").alias("url"), "doc_id", F.col("lang").alias("language"),
+        F.when(F.col("lang") == "en", F.concat_ws(" ", "source", "doc_id")).alias("name"))
+    return upserts.update_partial(t.sources, changes, "url", ["name", "language"], order="doc_id").select("id", "url", "name", "language")
 
 
 @query("rejected_registrations", """

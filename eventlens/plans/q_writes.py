@@ -77,7 +77,11 @@ def source_details_update(spark, sf_dir):
     none = F.lit(None).cast("string")
     s = t.sources.select("id", "url", "name", "bias", none.alias("owner"), none.alias("founded_at"),
                          none.alias("hq_location"))
-    return upserts.update_source_details(s, _details(t))
+    # the same urls sent before with other values: the last row of a url counts as a whole
+    last = _details(t).withColumn("seq", F.lit(2))
+    sent = last.select("url", F.lit("zz").alias("name"), F.lit("zz").alias("bias"), F.lit("zz").alias("owner"),
+                       F.lit(None).cast("string").alias("founded_at"), F.lit("zz").alias("hq_location"), F.lit(1).alias("seq"))
+    return upserts.update_source_details(s, sent.unionByName(last), order="seq")
 
 
 @query("source_details_not_found", "WITH " + _DETAILS_SQL + """
