@@ -96,3 +96,26 @@ def test_rejects_unparseable_dates(spark):
     good, rej = C.prepare(df)
     assert [r.id for r in good.collect()] == [1]
     assert {(r.id, r.reason) for r in rej.collect()} == {(2, "unparseable date"), (3, "empty content")}
+
+
+def test_states_grow_with_the_archive_and_not_with_the_sources(spark):
+    """Over 24 windows a band's articles meet the states of two bands, however many sources there are."""
+    rng = np.random.default_rng(11)
+    for sources in (2, 40):
+        rows = [(i, f"s{i % sources}", (i // 6) * 10 * H, rng.normal(size=4).tolist()) for i in range(24 * 6)]
+        pts = _points(spark, rows).withColumn("band", C.band_of(10))
+        labels = pts.withColumn("label", F.col("id") - F.col("id") % 6)  # six articles a label
+        states = C.cluster_states(labels, pts)
+        assert states.count() == (24 * 2 if sources == 2 else 24 * 6)  # at most one counting member per source
+        assert states.filter(F.size("srcs") > min(sources, 6)).count() == 0
+        per_band = {r["band"]: r["n"] for r in pts.groupBy("band").agg(F.count("*").alias("n")).collect()}
+        assert len(per_band) == 24 and sum(n * (n + per_band.get(b - 1, 0)) for b, n in per_band.items()) <= 2 * 24 * 36
+
+
+def test_bands_blocks_and_chains_equal_the_sequential_pass(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(4, 6))
+    rows = [(i, f"s{rng.integers(0, 3)}", int(rng.integers(0, 400)) * H, (centers[rng.integers(0, 4)] + 0.5 * rng.normal(size=6)).tolist()) for i in range(80)]
+    got = {r.id: (r.label, r.score) for r in C.cluster_labels(_points(spark, rows), 0.5, 15, block_rows=4).collect()}
+    for k, (lab, sc) in sequential_reference(rows, 0.5, 15).items():
+        assert got[k][0] == lab and abs(got[k][1] - sc) < 1e-9

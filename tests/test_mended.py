@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from eventlens.functions import dates, text
-from eventlens.operators import dedup, notify, serving, upserts
+from eventlens.operators import dedup, entities, notify, serving, upserts
 from eventlens.operators.relevance import is_relevant
 from eventlens.plans.run_once import cluster_new, tfidf_embeddings
 
@@ -21,6 +21,49 @@ def test_repeated_change_keys_do_not_multiply_rows(spark):
     assert upserts.update_partial(table, changes, "id", ["name"]).count() == 2
     details = spark.createDataFrame([("u1", "x"), ("u1", "z")], "url string, name string")
     assert sorted(r.name for r in upserts.update_source_details(table, details, columns=("name",)).collect()) == ["b", "z"]
+
+
+def test_conflicting_changes_of_a_key_are_applied_in_order(spark):
+    """The last call wins, and no row comes out that nobody sent."""
+    table = spark.createDataFrame([(1, "u", "old", "o"), (2, "w", "kept", "k")], "id long, url string, name string, owner string")
+    details = spark.createDataFrame([(1, "u", "z", "aa"), (3, "u", "b", "zz"), (2, "u", "zzz", None)], "seq int, url string, name string, owner string")
+    got = upserts.update_source_details(table, details, columns=("name", "owner"), order="seq")
+    assert {(r.url, r.name, r.owner) for r in got.collect()} == {("u", "b", "zz"), ("w", "kept", "k")}
+    last = upserts.update_source_details(table, details.filter("seq < 3"), columns=("name", "owner"), order="seq")
+    assert last.filter("url = 'u'").select("name", "owner").collect() == [("zzz", None)]  # nulls of the last row included
+    changes = spark.createDataFrame([(1, 1, "c", "x"), (1, 2, "a", None), (1, 3, None, None)], "id long, seq int, name string, owner string")
+    got = upserts.update_partial(table, changes, "id", ["name", "owner"], order="seq")
+    assert {(r.id, r.name, r.owner) for r in got.collect()} == {(1, "a", "x"), (2, "kept", "k")}
+    unordered = spark.createDataFrame([("u", "z", "aa"), ("u", "b", "zz")], "url string, name string, owner string")
+    row = upserts.update_source_details(table, unordered, columns=("name", "owner")).filter("url = 'u'").first()
+    assert (row.name, row.owner) in {("z", "aa"), ("b", "zz")}
+
+
+def test_a_hot_hash_is_marked_in_chunks(spark):
+    n = 3 * dedup.CHUNK
+    df = spark.range(n).select("id", F.lit("same").alias("headline"), F.when(F.col("id") % 3 == 0, "one").otherwise(F.col("id").cast("string")).alias("description"))
+    got = dedup.mark_duplicates(df)
+    counts = got.groupBy("is_duplicate").count().collect()
+    assert {r["is_duplicate"]: r["count"] for r in counts} == {False: n - n // 3 + 1, True: n // 3 - 1}
+    assert got.filter("is_duplicate and content_hash <> 'DUPLICATE_OF_0'").count() == 0
+
+
+def test_terms_of_the_trie_equal_all_n_grams(spark):
+    import random
+    rng = random.Random(4)
+    words = ["port", "sudan", "red", "sea", "a.b", "north", "portal", "x+y"]
+    terms = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) for _ in range(40)})
+    docs = [(k, " ".join(rng.choice([*words, "the", "ports"]) for _ in range(rng.randrange(0, 25)))) for k in range(60)]
+    tok = spark.createDataFrame(docs, "_doc long, _w string")
+    lex = spark.createDataFrame([(t, "k") for t in terms], "term string, kind string")
+    got = {(r["_doc"], r["term"]) for r in entities.term_hits(tok, lex).collect()}
+    want = {(k, t) for k, text in docs for t in terms for w in [text.split(" ")] for n in [len(t.split(" "))]
+            for i in range(len(w) - n + 1) if " ".join(w[i:i + n]) == t}
+    assert got == want and len(want) > 100
+
+
+def test_repeated_ids_of_processed_rows_do_not_multiply_them(spark):
+    table = spark.createDataFrame([(1, "u1", "a", None), (2, "u2", "b", None)], "id long, url string, name string, updated_at timestamp_ntz")
     ids = spark.createDataFrame([(1,), (1,)], "id long")
     assert upserts.mark_processed(table, ids, F.current_timestamp().cast("timestamp_ntz")).count() == 2
 
