@@ -72,7 +72,7 @@ o AS MATERIALIZED (
     select a.id, cast(a.source_id as varchar) as src, strptime(a.published_at, '%Y-%m-%d %H:%M:%S') as created_at_s,
       list_transform(e.embedding, lambda x: cast(x as double)) as v
     from v_articles a join embeddings e on e.vec_id = a.id
-    where regexp_matches(coalesce(a.headline, '') || coalesce(a.description, ''), '[^\s]')) a),
+    where regexp_matches(coalesce(a.headline, '') || coalesce(a.description, ''), '[^\\s]')) a),
 run AS (
   select 0::BIGINT as k, []::STRUCT(root BIGINT, s DOUBLE[], last TIMESTAMP, srcs VARCHAR[])[] as live,
     null::BIGINT as id, null::BIGINT as label, null::DOUBLE as score
