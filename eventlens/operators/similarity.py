@@ -1,26 +1,21 @@
-"""Vector similarity (C-1 … C-3, C-6, C-8, C-9) and the blocked similarity join.
+"""Vector similarity (C-1 … C-3, C-6, C-8, C-9) and the pruned search of the best cluster.
 
 Scalar vector maths is written with Spark's higher-order functions
-(``zip_with`` / ``aggregate``), so it stays in the JVM.  Comparing many
-vectors with many vectors is done by a *blocked* join: rows are cut into
-blocks of bounded size, each (left block, right block) pair is one
-``cogroup().applyInPandas`` task doing a NumPy matrix product, and only the
-pairs that pass the threshold (or the best pair per row) leave the task.
-Pairs are never materialised as rows before the filter, and no block holds
-more than ``block_rows`` rows, whatever the skew of the banding key.
+(``zip_with`` / ``aggregate``), so it stays in the JVM.  Many vectors meet many centroids in
+blocks of bounded size, a ``cogroup().applyInPandas`` task with a NumPy matrix product each;
+the triangle inequality on a few pivots decides which blocks meet, and only the best centroid
+of a vector leaves a task.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed_values as fx
 from ..functions.text import arabic_normalize_v2
+from ..session import materialize
 
 
 
@@ -90,60 +85,8 @@ def update_centroid(centroid, n, vec) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# Blocked similarity join
+# Best cluster among many
 # ---------------------------------------------------------------------------
-def _blocks(df: DataFrame, band: str, id_col: str, block_rows: int) -> DataFrame:
-    """Attach (band, block, nblocks): each band is cut into ceil(count/block_rows) hash blocks."""
-    counts = df.groupBy(band).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select(band, F.greatest(F.lit(1), F.ceil(F.col("_n") / block_rows)).cast("int").alias("_nb"))
-    j = df.join(counts, band)
-    return j.withColumn("_blk", F.pmod(F.xxhash64(id_col), F.col("_nb")).cast("int")), counts
-
-
-def _replicate(df: DataFrame, counts: DataFrame, band: str, offsets: list[int], left: bool) -> DataFrame:
-    """Give each row one copy per partner block of the partner bands (band + offset)."""
-    parts = []
-    for off in offsets:
-        # partner band of a left row in band b is b - off; of a right row in band b, b + off
-        partner = counts.select((F.col(band) + off if left else F.col(band) - off).alias(band),
-                                F.col("_nb").alias("_pnb"))
-        x = df.join(partner, band)
-        blk = F.explode(F.sequence(F.lit(0), F.col("_pnb") - 1)).alias("_pblk")
-        x = x.select("*", blk)
-        if left:
-            key = F.struct(F.col(band).alias("lb"), F.col("_blk").alias("li"),
-                           (F.col(band) - off).alias("rb"), F.col("_pblk").alias("rj"))
-        else:
-            key = F.struct((F.col(band) + off).alias("lb"), F.col("_pblk").alias("li"),
-                           F.col(band).alias("rb"), F.col("_blk").alias("rj"))
-        parts.append(x.withColumn("_key", key).drop("_nb", "_pnb", "_pblk", "_blk"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def blocked_join(left: DataFrame, right: DataFrame, band: str, offsets: list[int],
-                 id_col: str, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-                 schema: str, block_rows: int = 2048) -> DataFrame:
-    """Run ``fn(left_block, right_block)`` for every left row block against every right
-    row block of the bands ``band - offset``; return the union of the results."""
-    # fresh attribute ids per side, so that a self-join (left is right) stays unambiguous
-    left = left.select(*[F.col(c).alias(c) for c in left.columns])
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    lb, lcounts = _blocks(left, band, id_col, block_rows)
-    rb, rcounts = _blocks(right, band, id_col, block_rows)
-    lrep = _replicate(lb, rcounts, band, offsets, left=True)
-    rrep = _replicate(rb, lcounts, band, offsets, left=False)
-
-    def run(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(lpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({f.split(" ")[0]: [] for f in schema.split(", ")})
-        return fn(lpdf, rpdf)
-
-    return lrep.groupBy("_key").cogroup(rrep.groupBy("_key")).applyInPandas(run, schema)
-
-
 def unit_matrix_fn():
     """Row-normalising helper for task-side code, built as a closure so that it is shipped
     by value with the task (workers need not import this package)."""
@@ -158,26 +101,103 @@ def unit_matrix_fn():
     return unit
 
 
+#: Centroids of the sample that pivots come from, pivots, rows of a block.
+PIVOT_SAMPLE, PIVOTS = 2048, 48
+
+
+def choose_pivots(cents: DataFrame, wanted: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> np.ndarray:
+    """Unit vectors among at most about ``sample`` centroids (cluster_id, centroid), each the farthest from those before it."""
+    n = cents.count()
+    kept = cents if n <= sample else cents.filter(F.pmod(F.xxhash64("cluster_id"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
+    rows = [r["centroid"] for r in kept.select(F.col("cluster_id"), to_double("centroid").alias("centroid")).orderBy("cluster_id").collect()]
+    m = np.array([v for v in rows if v and all(x is not None for x in v) and any(v)], dtype=np.float64)
+    if not len(m):
+        return np.zeros((0, 0))
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    picked, near = [0], m @ m[0]
+    while len(picked) < min(wanted, len(m)):
+        picked.append(int(near.argmin()))
+        near = np.maximum(near, m @ m[picked[-1]])
+    return m[picked]
+
+
+def centroid_cells(cents: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Centroids (cluster_id, centroid) with their cell, the nearest pivot, and their angle to it."""
+    unit = unit_matrix_fn()
+
+    def place(it):
+        for pdf in it:
+            if len(pdf):
+                angle = np.arccos(np.clip(np.nan_to_num(unit(pdf["centroid"])) @ pivots.T, -1.0, 1.0))
+                cell = angle.argmin(axis=1)
+                yield pdf.assign(cell=cell.astype(np.int32), angle=angle[np.arange(len(cell)), cell])
+
+    src = cents.select(F.col("cluster_id").cast("long").alias("cluster_id"), to_double("centroid").alias("centroid"))
+    return src.mapInPandas(place, "cluster_id long, centroid array<double>, cell int, angle double")
+
+
+def reachable_cells(vectors: DataFrame, pivots: np.ndarray, ranges: dict[int, tuple[float, float]], threshold: float) -> DataFrame:
+    """(id, v, cell): a row for each cell that can hold a centroid with cosine >= ``threshold``.
+
+    A centroid lies at ``low`` to ``high`` from its pivot, a vector at ``a``: by the triangle inequality the angle between
+    them is at least a - high and low - a."""
+    unit = unit_matrix_fn()
+    cells = np.array(sorted(ranges), dtype=np.int32)
+    low, high = (np.array([ranges[c][k] for c in sorted(ranges)]) for k in (0, 1))
+    most = np.arccos(np.clip(threshold, -1.0, 1.0)) + 1e-6  # more than all rounding of the angles
+
+    def reach(it):
+        for pdf in it:
+            if len(pdf):
+                a = np.arccos(np.clip(unit(pdf["v"]) @ pivots[cells].T, -1.0, 1.0))
+                with np.errstate(invalid="ignore"):
+                    at, c = np.nonzero(np.maximum(a - high, low - a) <= most)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[at], "v": pdf["v"].to_numpy()[at], "cell": cells[c]})
+
+    return vectors.mapInPandas(reach, "id long, v array<double>, cell int")
+
+
 def best_cluster_for_vectors(vectors: DataFrame, cents: DataFrame, as_of: Column | None = None,
                              threshold: float = fx.SIMILARITY_THRESHOLD,
                              hours: float = fx.BEST_CLUSTER_WINDOW_HOURS,
                              block_rows: int = 2048) -> DataFrame:
     """C-8 for a batch: for every vector (id, embedding) the active cluster (cluster_id,
     centroid, created_at) with the highest cosine ≥ ``threshold`` (lowest id wins ties).
-    Vectors without such a cluster are left out."""
+    Vectors without such a cluster are left out.
+
+    Exact, without comparing all with all: centroids lie in the cells of a few pivots, and a vector meets only the
+    cells that the triangle inequality leaves.  Cells and the vectors that reach them are cut into blocks."""
     c = cents
     if as_of is not None:
         c = c.filter(F.col("created_at") >= as_of - F.expr(f"INTERVAL {int(hours * 3600)} SECONDS"))
-    left = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").alias("v"), F.lit(0).alias("band"))
-    right = c.select(F.col("cluster_id").cast("long").alias("id"), F.col("centroid").alias("v"),
-                     F.lit(0).alias("band"))
+    c = materialize(c.select("cluster_id", "centroid"), "c8-centroids")
+    v = materialize(vectors.select(F.col("id").cast("long").alias("id"), to_double("embedding").alias("v")).filter("v is not null"), "c8-vectors")
+    pivots = choose_pivots(c)
+    none = v.sparkSession.createDataFrame([], "id long, cluster_id long, similarity double")
+    if not len(pivots):
+        return none
+    cells = materialize(centroid_cells(c, pivots), "c8-cells")
+    held = {r["cell"]: r for r in cells.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).collect()}
+    pairs = materialize(reachable_cells(v, pivots, {k: (r["low"], r["high"]) for k, r in held.items()}, threshold), "c8-reach")
+    asked = {r["cell"]: r["n"] for r in pairs.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row per pivot
+    if not asked:
+        return none
+    plan = F.create_map(*[F.lit(x) for k, n in asked.items() for x in (k, F.struct(
+        F.lit(-(-n // block_rows)).alias("left"), F.lit(-(-held[k]["n"] // block_rows)).alias("right")))])[F.col("cell")]
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"plan.{side}") - 1))
+    own = lambda key, side: F.pmod(F.xxhash64(key), F.col(f"plan.{side}")).cast("int")
+    left = pairs.withColumn("plan", plan).withColumn("i", own("id", "left")).withColumn("j", every("right")).drop("plan")
+    right = cells.filter(F.col("cell").isin(sorted(asked))).withColumn("plan", plan).withColumn("j", own("cluster_id", "right")) \
+        .withColumn("i", every("left")).select("cell", "i", "j", "cluster_id", "centroid")
 
     unit = unit_matrix_fn()
 
     def best(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        s = unit(lpdf["v"]) @ unit(rpdf["v"]).T
+        if not len(lpdf) or not len(rpdf):
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "cluster_id": pd.Series([], dtype="int64"), "similarity": pd.Series([], dtype="float64")})
+        s = unit(lpdf["v"]) @ unit(rpdf["centroid"]).T
         s = np.where(np.isnan(s), -np.inf, s)
-        rid = rpdf["id"].to_numpy()
+        rid = rpdf["cluster_id"].to_numpy()
         order = np.argsort(rid, kind="stable")
         s, rid = s[:, order], rid[order]
         j = np.argmax(s, axis=1)  # first (lowest id) among equal maxima
@@ -185,8 +205,8 @@ def best_cluster_for_vectors(vectors: DataFrame, cents: DataFrame, as_of: Column
         ok = sim >= threshold
         return pd.DataFrame({"id": lpdf["id"].to_numpy()[ok], "cluster_id": rid[j][ok], "similarity": sim[ok]})
 
-    cand = blocked_join(left, right, "band", [0], "id", best,
-                        "id long, cluster_id long, similarity double", block_rows)
+    key = ("cell", "i", "j")
+    cand = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, "id long, cluster_id long, similarity double")
     return cand.groupBy("id").agg(
         F.max_by(F.struct("cluster_id", "similarity"),
                  F.struct(F.col("similarity"), -F.col("cluster_id"))).alias("b")

@@ -103,7 +103,7 @@ def stream_ingest(spark, sf_dir):
     a.repartition("feed").write.partitionBy("feed").text(f"{root}/land")
     reg = feeds.registry_from(a.select(F.concat(F.lit("feed="), "feed").alias("feed_key"),
                                        F.col("feed").alias("source")).distinct())
-    q = jobs.feed_file_stream(spark, f"{root}/land", glob="*.txt").writeStream \
+    q = feeds.feed_item_stream(spark, f"{root}/land", glob="*.txt").writeStream \
         .foreachBatch(jobs.upsert_batch(f"{root}/tables", reg, TEST_LEXICON)) \
         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()

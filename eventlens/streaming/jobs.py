@@ -23,14 +23,8 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fx
 from ..operators import clustering, similarity
 from ..operators.relevance import Lexicon
-from ..sources.feeds import items_from_text, parse_items
-
-
-def feed_file_stream(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
-    """Streaming (path, text) per newly landed file."""
-    return spark.readStream.format("text").option("wholetext", True) \
-        .option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path) \
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+from ..session import materialize
+from ..sources.feeds import feed_item_stream, items_from_text, parse_items
 
 
 def upsert_batch(table_path: str, registry: DataFrame, lexicon: Lexicon = Lexicon()):
@@ -47,7 +41,7 @@ def upsert_batch(table_path: str, registry: DataFrame, lexicon: Lexicon = Lexico
         sources = spark.read.schema(SOURCES).parquet(f"{table_path}/sources")
         as_of = F.current_timestamp().cast("timestamp_ntz")
         res = ingest(parsed, registry, sources, articles, as_of, lexicon)
-        new = res.new_articles.checkpoint()  # ids fixed before the two writes
+        new = materialize(res.new_articles, "ingest-new")  # ids fixed before the two writes
         new_src = res.sources.join(sources.select("url"), "url", "left_anti")
         new_src.write.mode("append").parquet(f"{table_path}/sources")
         new.write.mode("append").parquet(f"{table_path}/articles")
@@ -58,7 +52,7 @@ def upsert_batch(table_path: str, registry: DataFrame, lexicon: Lexicon = Lexico
 def start_ingest(spark: SparkSession, landing: str, table_path: str, checkpoint: str,
                  registry: DataFrame, lexicon: Lexicon = Lexicon()):
     """L-1: process every file landed so far, then stop (AvailableNow)."""
-    return feed_file_stream(spark, landing).writeStream \
+    return feed_item_stream(spark, landing).writeStream \
         .foreachBatch(upsert_batch(table_path, registry, lexicon)) \
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -90,10 +84,19 @@ def velocity_from_windows(counts: DataFrame, width_hours: int = fx.RECENT_HOURS)
 def assign_batch(batch: DataFrame, centroids: DataFrame, as_of, threshold: float = fx.SIMILARITY_THRESHOLD,
                  window_hours: float = fx.TIME_WINDOW_HOURS) -> tuple[DataFrame, DataFrame]:
     """L-4: (links to existing clusters, links of new clusters) for one micro-batch of
-    (id, source_id, headline, description, published_at, embedding)."""
+    (id, source_id, headline, description, published_at, embedding).
+
+    A cluster takes one article of a source: of the batch's matches the first by (published_at, id), and none of
+    a source that the cluster has (``sources``, a list of strings, if the centroids carry it).  What is not taken is clustered
+    with the rest."""
     best = similarity.best_cluster_for_vectors(batch.select("id", "embedding"), centroids, as_of, threshold)
-    matched = best.select("cluster_id", F.col("id").alias("article_id"), F.col("similarity").alias("similarity_score"))
-    rest = batch.join(best.select("id"), "id", "left_anti")
+    j = best.join(batch.select("id", F.col("source_id").cast("string").alias("src"), "published_at"), "id")
+    if "sources" in centroids.columns:
+        j = j.join(centroids.select("cluster_id", "sources"), "cluster_id").filter(
+            ~F.coalesce(F.array_contains("sources", F.col("src")), F.lit(False)))
+    taken = j.groupBy("cluster_id", "src").agg(F.min_by(F.struct("id", "similarity"), F.struct("published_at", "id")).alias("m"))
+    matched = materialize(taken.select("cluster_id", F.col("m.id").alias("article_id"), F.col("m.similarity").alias("similarity_score")), "l4-matched")
+    rest = batch.join(matched.select(F.col("article_id").alias("id")), "id", "left_anti")
     pts, _ = clustering.prepare(rest)
     lab = clustering.cluster_labels(pts, threshold, window_hours)
     fresh = lab.select(F.col("label").alias("cluster_id"), F.col("id").alias("article_id"),

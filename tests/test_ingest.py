@@ -54,6 +54,32 @@ def test_items_parse_and_rejects(spark, tmp_dir):
     assert feeds.item_rejects(items).count() == 1                   # the broken item only
 
 
+def test_files_without_items_and_large_feeds(spark, tmp_dir):
+    """An empty file, a feed without items and a feed of many items with one malformed one."""
+    root = f"{tmp_dir}/land"
+    os.makedirs(f"{root}/feedA")
+    for name, text in (("empty", ""), ("none", "<rss><channel><title>A</title></channel></rss>"), ("cut", "<rss><channel><item><title>never closed")):
+        with open(f"{root}/feedA/{name}.xml", "w") as f:
+            f.write(text)
+    n = 20_000
+    with open(f"{root}/feedA/large.xml", "w") as f:
+        f.write("<rss><channel>\n")
+        for k in range(n):
+            f.write("<item><title>broken <b>item</title></item>\n" if k == 777 else
+                    f"<item><title>t{k}</title><description>{'word ' * 100}</description><link>http://a/{k}</link></item>\n")
+        f.write("</channel></rss>")
+    items = feeds.items_from_text(feeds.read_feed_files(spark, root))
+    parsed = feeds.parse_items(items)
+    assert parsed.count() == n - 1 and parsed.select("article_url").distinct().count() == n - 1
+    bad = feeds.item_rejects(items).collect()  # an item that is never closed is one, too
+    assert sorted((r.path.rsplit("/", 1)[1], r.reason) for r in bad) == [("cut.xml", "malformed item"), ("large.xml", "malformed item")]
+    order = [r.headline for r in parsed.orderBy("path", "item_no").limit(3).collect()]
+    assert order == ["t0", "t1", "t2"]
+    rejects = feeds.file_rejects(feeds.landed_files(spark, root), items).collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in rejects) == ["empty.xml", "none.xml"]
+    assert {r.reason for r in rejects} == {"no item"}
+
+
 def test_ingest_dedup_and_rerun(spark, tmp_dir):
     _land(f"{tmp_dir}/land")
     reg = feeds.feed_registry(spark, [("feedA", "https://www.aljazeera.net"), ("feedB", "https://sudanile.com/")])

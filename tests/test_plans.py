@@ -31,10 +31,7 @@ def test_topk_limits_before_shuffle(spark):
 
 
 def test_no_cartesian_products(spark):
-    # (best_cluster_for_vector is left out on purpose: every vector is compared with every
-    # active centroid — the rule being reproduced — in bounded blocks; its single band key is
-    # a literal, which Catalyst folds into a join with the one-row band-count table.)
     for name in ("clusters_filtered", "cluster_summary", "gazetteer_entities",
-                 "popular_clusters", "token_upsert", "coverage_velocity", "earliest_article"):
+                 "popular_clusters", "token_upsert", "coverage_velocity", "earliest_article", "best_cluster_for_vector"):
         plan = _plan(spark, name)
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
