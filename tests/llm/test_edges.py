@@ -244,29 +244,35 @@ def test_url_models_tell_classes_apart(spark):
     assert all(got[300 + k] == "allow" and got[400 + k] == "block" for k in range(20))
 
 
-def test_nearest_equals_brute_force(spark):
+@pytest.mark.parametrize("shard_bytes", [vp_search.SHARD_BYTES, 12_000])
+def test_nearest_equals_brute_force(spark, shard_bytes):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 12)).astype(np.float32)
     x[100:400] = x[7]  # ties
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    rows += [(40, x[40].tolist()), (60, x[9].tolist()), (61, x[7].tolist())]  # repeated ids: the same vector and others
+    usable = list(rows)
     rows += [(2000, None), (2020, []), (2040, [0.0] * 12), (2060, [float("nan")] * 12), (2080, [None] + [1.0] * 11), (2100, [float("inf")] * 12),
-             (2120, [1.0, 2.0]), (None, [1.0] * 12), (40, x[40].tolist())]
+             (2120, [1.0, 2.0]), (None, [1.0] * 12)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("v", F.lit(1))
-    found = {}
-    for r in vp_search.nearest(df, F.col("id") % 20 == 0, shard_rows=250, query_block=16).collect():
-        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    x = x.astype(np.float64)
-    assert set(found) == set(range(0, 900, 20))
-    for q, got in found.items():
-        s = (x * x[q]).sum(axis=1)
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in vp_search.nearest(df, F.col("id") % 20 == 0, shard_bytes=shard_bytes).collect())
+    ids, y = np.array([i for i, _ in usable]), np.array([v for _, v in usable], dtype=np.float64)
+    expected = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = np.array([float(np.einsum("d,d->", v, y[q])) for v in y])
         s[q] = -np.inf
-        order = np.lexsort((np.arange(900), -np.round(s, 12)))[:20]
-        got.sort()
-        assert [g[0] for g in got] == list(range(1, 21)) and [g[1] for g in got] == order.tolist()
-        assert np.allclose([g[2] for g in got], s[order], rtol=0, atol=1e-12)
+        order = np.lexsort((ids, -np.round(s, 12)))[:20]
+        expected += [(int(ids[q]), r + 1, int(ids[o]), round(s[o], 9)) for r, o in enumerate(order)]
+    assert got == sorted(expected)
     assert vp_search.nearest(df.filter("1 = 0"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_nearest_in_few_rows(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in vp_search.nearest(df, F.col("id") % 20 == 0).collect()] == [(20, 1, 3, 0.5)]
+    assert vp_search.nearest(df.filter("vec_id = 20"), F.col("id") % 20 == 0).count() == 0
+
+
 def test_relaxed_pruning_keeps_recall():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 8))
