@@ -38,6 +38,21 @@ def definitions() -> dict[str, str]:
         "el_blindspot_caption": f"(t STRING) RETURNS STRING RETURN try_element_at({_map(fx.BLINDSPOT_CAPTIONS)}, t)",
         "el_topic": f"(k STRING) RETURNS STRING RETURN coalesce(try_element_at({_map(fx.TOPIC_MAP)}, k), k)",
         "el_truncate": "(x STRING, n INT) RETURNS STRING RETURN substring(x, 1, n)",
+        "el_bias_css": f"(b STRING) RETURNS STRING RETURN coalesce(try_element_at({_map(fx.BIAS_CSS)}, b), 'unknown')",
+        "el_language_label": f"(c STRING) RETURNS STRING RETURN CASE WHEN c = 'ar' THEN {_lit(fx.LANGUAGE_AR_LABEL)} ELSE c END",
+        "el_local_label": f"(c STRING) RETURNS STRING RETURN CASE WHEN c = 'local' THEN {_lit(fx.LABEL_LOCAL)} ELSE {_lit(fx.LABEL_INTERNATIONAL)} END",
+        "el_page_numbers": "(page BIGINT, total BIGINT, per_page BIGINT) RETURNS ARRAY<BIGINT> RETURN "
+                           "CASE WHEN least((total + per_page - 1) div per_page, page + 2) >= greatest(1, page - 2) "
+                           "THEN sequence(greatest(1, page - 2), least((total + per_page - 1) div per_page, page + 2)) ELSE CAST(array() AS ARRAY<BIGINT>) END",
+        # functions that return tables
+        "el_feed_items": "(feed STRING) RETURNS TABLE(item_no INT, title STRING, description STRING, link STRING, pub_date STRING) RETURN "
+                         "SELECT i.item_no, i.x.title, i.x.description, i.x.link, i.x.pubDate FROM (SELECT item_no, from_xml(item, "
+                         "'title STRING, description STRING, link STRING, pubDate STRING') AS x FROM (SELECT posexplode(regexp_extract_all("
+                         "el_feed_items.feed, '(?s)<item\\\\b.*?</item>', 0)) AS (item_no, item))) i",
+        "el_entities": "(response STRING) RETURNS TABLE(kind STRING, term STRING) RETURN SELECT e.kind, e.term FROM (SELECT kind, explode(terms) AS term FROM "
+                       "(SELECT explode(map(" + ", ".join(
+                           f"{_lit(k)}, try_variant_get(try_parse_json(el_entities.response), '$.{k}', 'array<string>')" for k in fx.ENTITY_LIST_KEYS)
+                       + ")) AS (kind, terms))) e",
     }
 
 

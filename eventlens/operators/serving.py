@@ -229,9 +229,11 @@ def cluster_detail(links: DataFrame, articles: DataFrame, sources: DataFrame,
                    entities: DataFrame, clusters: DataFrame) -> DataFrame:
     """F-17 nested: per cluster an array of article structs in article order.
 
-    The array is bounded by the one-article-per-source rule (at most one
-    entry per source)."""
+    A cluster has one article of a source; should the links hold more, the first of each source
+    is shown (its limit is applied before the shuffle), so no array is longer than there are sources."""
     rows = cluster_detail_rows(links, articles, sources, entities)
+    w = Window.partitionBy("cluster_id", F.coalesce("source_id", -F.col("article_id"))).orderBy(parse_ntz("published_at").asc_nulls_last(), "article_id")
+    rows = rows.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 1").drop("_rn")
     ent = [k for k in ENTITY_LIST_KEYS if k in rows.columns]
     art = F.struct(
         parse_ntz("published_at").alias("_t"), F.col("article_id").alias("id"), "headline",
@@ -243,6 +245,16 @@ def cluster_detail(links: DataFrame, articles: DataFrame, sources: DataFrame,
     return clusters.join(g, clusters.id == g.cluster_id).drop("cluster_id")
 
 
+def source_detail(sources: DataFrame, articles: DataFrame, k: int = 20) -> DataFrame:
+    """J-4: a row per source with all its attributes, its number of articles and its newest ``k`` as an array."""
+    w = Window.partitionBy("source_id").orderBy(F.desc_nulls_last("published_at"), F.desc("id"))
+    top = articles.select("source_id", "id", "headline", "published_at", "category").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    recent = top.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "headline", "published_at", "category"))).alias("recent"))
+    totals = articles.groupBy("source_id").agg(F.count(F.lit(1)).alias("total_articles"))
+    return sources.withColumnRenamed("id", "source_id").join(totals, "source_id", "left").join(recent, "source_id", "left") \
+        .withColumn("total_articles", F.coalesce("total_articles", F.lit(0).cast("long")))
+
+
 # ---------------------------------------------------------------------------
 # G-5 popular clusters
 # ---------------------------------------------------------------------------

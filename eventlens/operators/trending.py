@@ -83,3 +83,28 @@ def coverage_history_rows(refreshed: DataFrame) -> DataFrame:
         F.col("recent_count").alias("recent"), F.col("previous_count").alias("previous"),
         F.col("coverage_velocity").alias("velocity"),
     )
+
+
+def coverage_history(links: DataFrame, articles: DataFrame, until: Column, step_hours: int = fx.RECENT_HOURS,
+                     recent_hours: int = fx.RECENT_HOURS, previous_hours: int = fx.PREVIOUS_HOURS,
+                     threshold: float = fx.TRENDING_VELOCITY) -> DataFrame:
+    """L-5 + F-4 in one pass: (cluster_id, checked_at, recent, previous, velocity) at every check time, the multiples of
+    ``step_hours`` since 1970 up to ``until``, at which the cluster has an article in either span.
+
+    An article counts as recent at the checks of the ``recent_hours`` after it and as previous at those up to
+    ``previous_hours``.  Articles are counted per cluster and step first, so a cluster with a third of all articles
+    sends a row per step, and each step adds to the same few checks; no window over a cluster's rows is needed."""
+    if recent_hours % step_hours or previous_hours % step_hours:
+        raise ValueError("the spans must be multiples of the step")
+    step, recent, both = step_hours * 3_600_000_000, recent_hours // step_hours, previous_hours // step_hours
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("created_at"))
+    a = articles.filter(F.col("created_at") <= until).select(F.col("id").alias("article_id"), F.floor((us + (step - 1)) / step).cast("long").alias("first"))
+    steps = links.select("cluster_id", "article_id").join(a, "article_id").groupBy("cluster_id", "first").agg(F.count(F.lit(1)).alias("n"))
+    seen = steps.withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(both - 1))))
+    counts = seen.groupBy("cluster_id", (F.col("first") + F.col("age")).alias("check")).agg(
+        F.sum(F.when(F.col("age") < recent, F.col("n")).otherwise(0)).alias("recent"),
+        F.sum(F.when(F.col("age") >= recent, F.col("n")).otherwise(0)).alias("previous"))
+    at = F.timestamp_add("HOUR", (F.col("check") * step_hours).cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    v = velocity(F.col("recent"), F.col("previous"))
+    return counts.select("cluster_id", at.alias("checked_at"), "recent", "previous", F.bround(v, 2).alias("velocity"), (v > threshold).alias("rising")) \
+        .filter(F.col("checked_at") <= until)
