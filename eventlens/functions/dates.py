@@ -49,6 +49,63 @@ NAIVE_FORMATS = [
 ]
 
 
+#: The free-form parser's words.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+MONTH_RE = (r"\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b")
+WEEKDAY_RE = r"\b(?:mon(?:day)?|tue(?:s|sday)?|wed(?:nesday)?|thu(?:rs|rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)\b"
+CLOCK_RE = r"(?:^|(?<=[ t,]))([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,][0-9]{1,9})?)? ?((?:am|pm)\b)?(?: ?(z|utc|gmt)\b| ?([+-][0-9]{2}):?([0-9]{2})(?![0-9]))?"
+JUMP_RE = r"[ ,.;/'-]|\b(?:at|on|and|of|ad|t|m)\b"
+
+
+def parse_free_date(c, app_tz: str = fx.APP_TIMEZONE) -> Column:
+    """E-7 for texts in no listed format: the classes of the tokens decide, in whatever order they come.
+
+    A clock time (with am or pm, and a zone), a month's name, a weekday, numbers and separators are told apart; any
+    other token makes the text unparseable.  With a month's name two numbers are day and year, without one three
+    numbers are year-month-day if the first is no day, else month-day-year, or day-month-year if the first is no month.
+    A year of two digits is the one within fifty years of today.  A text without a day, a month or a
+    year is null: it would have to be filled from today's date."""
+    x = F.lower(F.trim(_c(c)))
+    x = F.regexp_replace(x, r"^([0-9]{4})([0-9]{2})([0-9]{2})(?:[t ]?([0-9]{2})([0-9]{2})([0-9]{2}))?$", "$1-$2-$3 0$4:0$5:0$6")
+    x = F.regexp_replace(x, r" 0?([0-9]{0,2}):0?([0-9]{0,2}):0?([0-9]{0,2})$", " $1:$2:$3")
+    x = F.regexp_replace(x, r" ::$", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"\b([ap])\.m\.", "$1m"), r"(?<=[0-9])(st|nd|rd|th)\b", "")
+    x = F.regexp_replace(x, r"\b([0-9]{1,2}) ?(am|pm)\b", "$1:00 $2")
+    x = F.regexp_replace(x, r":([0-9]{2}):00 (am|pm)\b", ":$1 $2")
+    x = F.regexp_replace(x, r"(?<=[0-9])t(?=[0-9]{1,2}:)", " t")
+    clock = lambda k: F.regexp_extract(x, CLOCK_RE, k)
+    number = lambda text: F.when(text != "", text.cast("int"))
+    hour, half = number(clock(1)), clock(4)
+    hour = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    rest = F.regexp_replace(F.regexp_replace(x, CLOCK_RE, " "), WEEKDAY_RE, " ")
+    name = F.regexp_extract(rest, MONTH_RE, 1)
+    before = F.size(F.regexp_extract_all(F.call_function("substring_index", rest, name, F.lit(1)), F.lit("[0-9]+"), F.lit(0)))  # numbers before the month
+    digits = F.regexp_extract_all(rest, F.lit("[0-9]+"), F.lit(0))
+    left = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, MONTH_RE, " "), "[0-9]+", ""), JUMP_RE, "")
+    n = F.transform(digits, lambda d: F.when(F.length(d) <= 4, d.cast("int")))
+    a, b, d3 = (F.get(n, F.lit(k)) for k in range(3))
+    whole = lambda k: F.length(F.get(digits, F.lit(k))) > 2  # noqa: E731  a year with its century
+    named, three = (name != "") & (F.size(n) == 2), (name == "") & (F.size(n) == 3)
+    first_is_year = whole(0) | (a > 31) | ((before == 2) & ~whole(1) & (b <= 31))
+    year_first = whole(0) | (a > 31)
+    year = F.when(named, F.when(first_is_year, a).otherwise(b)).when(three, F.when(year_first, a).otherwise(d3))
+    century = F.when(named, F.when(first_is_year, whole(0)).otherwise(whole(1))).when(three, F.when(year_first, whole(0)).otherwise(whole(2)))
+    day = F.when(named, F.when(first_is_year, b).otherwise(a)).when(three, F.when(year_first, d3).when(a > 12, a).otherwise(b))
+    month = F.when(named, F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(name, 1, 3)).cast("int")).when(
+        three, F.when(year_first, b).when(a > 12, b).otherwise(a))
+    now = F.year(F.current_date())
+    near = F.when(year + 2000 >= now + 50, year + 1900).otherwise(year + 2000)
+    year = F.when(century, year).otherwise(near)
+    zero = F.lit(0)
+    wall = F.try_make_timestamp_ntz(year, month, day, F.coalesce(hour, F.when(clock(1) == "", zero)), F.coalesce(number(clock(2)), zero),
+                                    F.coalesce(number(clock(3)), zero).cast("decimal(8,6)"))
+    sign = F.when(F.substring(clock(6), 1, 1) == "-", -1).otherwise(1)
+    shift = sign * (F.abs(number(clock(6))) * 60 + number(clock(7)))
+    utc = F.when(clock(5) != "", wall).when(clock(6) != "", F.timestamp_add("MINUTE", -shift, wall))
+    local = F.coalesce(F.convert_timezone(F.lit("UTC"), F.lit(app_tz), utc), wall)
+    return F.when((left == "") & (named | three), local)
+
+
 def parse_feed_date(c, app_tz: str = fx.APP_TIMEZONE) -> Column:
     """E-8 parse-or-null: a feed date as wall clock of ``app_tz`` (NTZ).
 
@@ -57,8 +114,9 @@ def parse_feed_date(c, app_tz: str = fx.APP_TIMEZONE) -> Column:
     raw = F.regexp_replace(F.trim(_c(c)), r"^[A-Za-z]{3,9},\s*", "")
     zoned = F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)) for f in ZONED_FORMATS])
     naive = F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)) for f in NAIVE_FORMATS]).cast("timestamp_ntz")
-    return F.when(raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), parse_iso(raw, app_tz)) \
+    listed = F.when(raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), parse_iso(raw, app_tz)) \
         .otherwise(F.coalesce(_wall(zoned, app_tz), naive))
+    return F.coalesce(listed, parse_free_date(c, app_tz))
 
 
 def standardize_feed_date(c, app_tz: str = fx.APP_TIMEZONE) -> Column:

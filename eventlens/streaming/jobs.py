@@ -5,7 +5,7 @@ idempotence.  Here the same DataFrame functions run inside streaming queries;
 ``Trigger.AvailableNow`` replaces the scheduler.
 
 * L-1 ingest: landed files → items → parsed articles → ``foreachBatch`` upsert
-  (anti join on content_hash against the stored table, then append): exact,
+  (anti join on content_hash against the key index, ``keys.py``, then append): exact,
   unbounded de-duplication across runs, and replays of a micro-batch are
   harmless because the anti join sees the rows already written.
 * L-2 bounded-state dedup: ``dropDuplicatesWithinWatermark`` on the hash.
@@ -21,30 +21,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
+from ..functions.text import content_hash
 from ..operators import clustering, similarity
 from ..operators.relevance import Lexicon
 from ..session import materialize
 from ..sources.feeds import feed_item_stream, items_from_text, parse_items
+from .keys import KeyIndex
 
 
 def upsert_batch(table_path: str, registry: DataFrame, lexicon: Lexicon = Lexicon()):
-    """``foreachBatch`` body of L-1: ingest one micro-batch into the article table."""
+    """``foreachBatch`` body of L-1: ingest one micro-batch into the article table.
+
+    Which hashes are stored comes from the key index, of which a batch reads its own prefixes only.  A batch
+    that is replayed finds its rows there, or in article files that were not indexed yet, and adds nothing."""
     from ..plans.run_once import ingest
-    from ..schema import ARTICLES, SOURCES
+    from ..schema import SOURCES
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        parsed = parse_items(items_from_text(batch))
-        for name, schema in (("articles", ARTICLES), ("sources", SOURCES)):  # a no-op but for the first batch
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{table_path}/{name}")
-        articles = spark.read.schema(ARTICLES).parquet(f"{table_path}/articles")
+        parsed = materialize(parse_items(items_from_text(batch)), "ingest-items")  # read and parsed once
+        spark.createDataFrame([], SOURCES).write.mode("ignore").parquet(f"{table_path}/sources")  # a no-op but for the first batch
         sources = spark.read.schema(SOURCES).parquet(f"{table_path}/sources")
+        index = KeyIndex(spark, table_path)
+        stored = index.stored(parsed.select(content_hash(F.col("headline"), F.col("description")).alias("content_hash")))
         as_of = F.current_timestamp().cast("timestamp_ntz")
-        res = ingest(parsed, registry, sources, articles, as_of, lexicon)
+        res = ingest(parsed, registry, sources, stored, as_of, lexicon)
         new = materialize(res.new_articles, "ingest-new")  # ids fixed before the two writes
         new_src = res.sources.join(sources.select("url"), "url", "left_anti")
         new_src.write.mode("append").parquet(f"{table_path}/sources")
         new.write.mode("append").parquet(f"{table_path}/articles")
+        index.refresh()
 
     return run
 
