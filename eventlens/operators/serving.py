@@ -337,9 +337,27 @@ def topic_sidebar(clusters: DataFrame, links: DataFrame, entities: DataFrame, to
     return page(filter_clusters(clusters, links, entities, category=topic, topic_map=topic_map), k, 0)
 
 
+def cluster_cards(page_clusters: DataFrame, links: DataFrame, articles: DataFrame, sources: DataFrame,
+                  entities: DataFrame, as_of: Column) -> DataFrame:
+    """J-2: what a listed cluster's card shows beside its title: category label (F-16), dominant side and its share (E-18),
+    and the age of its first article (E-11), for the page's clusters only."""
+    from ..functions.dates import time_ago
+    from .bias import bias_distribution, dominant_side
+    pg = materialize(page_clusters.select("id", "title"), "cards-page")
+    lk = materialize(links.join(pg.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi"), "cards-links")
+    ids = lk.select(F.col("article_id").alias("id")).distinct()
+    art = materialize(articles.join(ids, "id", "left_semi"), "cards-articles")
+    ent = entities.join(ids.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    first = lk.join(art.select(F.col("id").alias("article_id"), parse_ntz("published_at").alias("t")), "article_id") \
+        .groupBy("cluster_id").agg(F.min("t").alias("t"))
+    cards = pg.withColumnRenamed("id", "cluster_id").join(category_label(lk, art, ent), "cluster_id", "left") \
+        .join(dominant_side(bias_distribution(lk, art, sources)), "cluster_id", "left").join(first, "cluster_id", "left")
+    return cards.select(F.col("cluster_id").alias("id"), "title", "category_label", "dominant_label", "dominant_pct", time_ago(F.col("t"), as_of).alias("ago"))
+
+
 def homepage(clusters: DataFrame, links: DataFrame, articles: DataFrame, sources: DataFrame,
              entities: DataFrame, as_of: Column, page_no: int = 1, per_page: int = 100) -> dict:
-    """J-2: the homepage's parts as DataFrames (page, totals, page list, cities, sidebar, trending)."""
+    """J-2: the homepage's parts as DataFrames (page, totals, page list, cities, sidebar, trending, cards)."""
     from ..functions.dates import page_numbers
     from .trending import refresh_trending, trending_topk
     total = clusters.agg(F.count(F.lit(1)).alias("total"))
@@ -353,4 +371,5 @@ def homepage(clusters: DataFrame, links: DataFrame, articles: DataFrame, sources
         "cities": distinct_values(entities, "cities", "city"),
         "sidebar": topic_sidebar(clusters, links, entities),
         "trending": trending_topk(refreshed, as_of, 5),
+        "cards": cluster_cards(pg, links, articles, sources, entities, as_of),
     }

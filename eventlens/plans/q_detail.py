@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from ..operators import serving, trending, upserts
 from ..sources.tables import DriverTables
 from .q_writes import _DETAILS_SQL, _details
-from .registry import query
+from . import q_bias, q_serving  # noqa: F401  (their texts are parts of the cards' one)
+from .registry import REGISTRY, query
 
 
 @query("cluster_detail_nested", """
@@ -61,3 +62,19 @@ def coverage_history(spark, sf_dir):
     """L-5: velocity of every cluster at every check, one pass."""
     t = DriverTables(spark, sf_dir)
     return trending.coverage_history(t.links, t.articles, t.as_of())
+
+
+def _part(name: str) -> str:
+    return "(" + REGISTRY[name].sql + ")"
+
+
+@query("homepage_cards", f"""
+WITH pg AS (select id, title from v_clusters order by published_at desc nulls last, id desc limit 30)
+select pg.id, pg.title, c.category_label, d.dominant_label, d.dominant_pct
+from pg left join {_part("category_label")} c on c.cluster_id = pg.id
+left join {_part("dominant_side")} d on d.cluster_id = pg.id""")
+def homepage_cards(spark, sf_dir):
+    """J-2: the cards of the first page (their age is checked with ``time_ago``)."""
+    t = DriverTables(spark, sf_dir)
+    cards = serving.cluster_cards(serving.page(t.clusters, 30, 0), t.links, t.articles, t.sources, t.entities, t.as_of())
+    return cards.drop("ago")

@@ -10,7 +10,9 @@ SF = "/root/testdata/sf0.001"
 def test_homepage_parts(spark):
     t = DriverTables(spark, SF)
     parts = serving.homepage(t.clusters, t.links, t.articles, t.sources, t.entities, t.as_of(), 1, 20)
-    assert set(parts) == {"clusters", "pages", "cities", "sidebar", "trending"}
+    assert set(parts) == {"clusters", "pages", "cities", "sidebar", "trending", "cards"}
+    cards = parts["cards"].collect()
+    assert len(cards) == 20 and all(c.category_label and c.dominant_label and c.ago for c in cards)
     assert parts["clusters"].count() == 20
     page = parts["pages"].collect()[0]
     assert page.page_numbers == [1, 2, 3]          # 49 clusters / 20 per page
