@@ -74,24 +74,35 @@ STATE_SCHEMA = ("label long, first_t long, first_id long, id long, t_us long, ne
 BEST_SCHEMA = "id long, label long, cos double, first_t long, first_id long"
 
 
-def cluster_states(labels: DataFrame, points: DataFrame) -> DataFrame:
+def cluster_states(labels: DataFrame, points: DataFrame, buckets: int = 8) -> DataFrame:
     """Step 1: a row per counting member of each label, with the cluster's state after it.
 
-    ``srcs`` lists the label's sources in the order of joining; the first ``k`` are in."""
+    ``srcs`` lists the label's sources in the order of joining; the first ``k`` are in.  Labels are
+    dealt to ``buckets`` by a hash; a task works on a bucket's labels together."""
     counting = labels.groupBy("label", "src").agg(F.min(F.struct("t_us", "id")).alias("m")) \
         .select("label", "src", "m.t_us", "m.id").join(points.select("id", "vec"), "id")
 
     def states(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_us", "id"], kind="stable")
-        t, i = pdf["t_us"].to_numpy(), pdf["id"].to_numpy()
-        sums = np.cumsum(np.stack(pdf["vec"].to_list()).astype(np.float64), axis=0)
-        srcs = pdf["src"].tolist()
+        pdf = pdf.sort_values(["label", "t_us", "id"], kind="stable")
+        label, t, i = (pdf[c].to_numpy() for c in ("label", "t_us", "id"))
+        starts = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+        sizes = np.diff(np.r_[starts, len(label)])
+        sums = np.stack(pdf["vec"].to_list()).astype(np.float64)
+        src = pdf["src"].tolist()
+        srcs = []
+        for s, n in zip(starts.tolist(), sizes.tolist()):
+            if n > 1:
+                sums[s:s + n] = np.cumsum(sums[s:s + n], axis=0)
+            srcs += [src[s:s + n]] * n
+        last = np.zeros(len(label), dtype=bool)
+        last[starts + sizes - 1] = True
+        following = lambda x: pd.Series(pd.arrays.IntegerArray(np.r_[x[1:], 0].astype(np.int64), last))
         return pd.DataFrame({
-            "label": pdf["label"].to_numpy(), "first_t": t[0], "first_id": i[0], "id": i, "t_us": t,
-            "next_t": pd.Series([*t[1:], None], dtype="Int64"), "next_id": pd.Series([*i[1:], None], dtype="Int64"),
-            "vec": list(sums), "srcs": [srcs] * len(i), "k": np.arange(1, len(i) + 1, dtype=np.int32)})
+            "label": label, "first_t": np.repeat(t[starts], sizes), "first_id": np.repeat(i[starts], sizes), "id": i, "t_us": t,
+            "next_t": following(t), "next_id": following(i), "vec": list(sums), "srcs": srcs,
+            "k": (np.arange(len(label)) - np.repeat(starts, sizes) + 1).astype(np.int32)})
 
-    return counting.groupBy("label").applyInPandas(states, STATE_SCHEMA)
+    return counting.groupBy(F.pmod(F.xxhash64("label"), F.lit(buckets)).alias("bucket")).applyInPandas(states, STATE_SCHEMA)
 
 
 def band_of(window_hours: float) -> Column:
@@ -173,10 +184,11 @@ def cluster_labels(points: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD
     sizes = pts.groupBy("band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nb")).collect()
     blocks = spark.createDataFrame([(r["band"], r["nb"]) for r in sizes], "band long, nb int")
     bands = {r["band"] for r in sizes}
+    buckets = max(8, sum(r["nb"] for r in sizes))  # of labels, each of about a block's rows
     # cos, first_t, first_id: of the cluster that an article has joined (null: it is alone)
     labels = pts.select("id", "src", "t_us", "band", F.col("id").alias("label"),
                         *[F.lit(None).cast(t).alias(c) for c, t in (("cos", "double"), ("first_t", "long"), ("first_id", "long"))])
-    states = materialize(cluster_states(labels, pts).select("*", band_of(window_hours), F.lit(True).alias("touched")), "c4-states")
+    states = materialize(cluster_states(labels, pts, buckets).select("*", band_of(window_hours), F.lit(True).alias("touched")), "c4-states")
     articles, rounds = pts.withColumn("redo", F.lit(True)), 0
     held = F.when(F.col("cos").isNotNull(), F.struct("label", "cos", "first_t", "first_id"))
     while True:  # ends: every round fixes at least the next article in order
@@ -198,7 +210,7 @@ def cluster_labels(points: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD
                 stats["rounds"] = rounds
             return labels.select("id", "label", F.coalesce("cos", F.lit(1.0)).alias("score"))
         labels = labels.drop("old")
-        changed = cluster_states(labels.join(touched, "label", "left_semi"), pts).select("*", band_of(window_hours), F.lit(True).alias("touched"))
+        changed = cluster_states(labels.join(touched, "label", "left_semi"), pts, buckets).select("*", band_of(window_hours), F.lit(True).alias("touched"))
         states = materialize(states.join(touched, "label", "left_anti").withColumn("touched", F.lit(False)).unionByName(changed), "c4-states")
         again = materialize(labels.filter("cos is not null").join(touched, "label", "left_semi").select("id", "band"), "c4-again")
         seen = states.filter("touched").select("band").unionByName(again.select("band")).distinct().collect()  # one row per window at most
