@@ -6,38 +6,30 @@ hours, source not yet in the cluster) whose centroid is most similar, when
 that cosine is > ``threshold`` (earliest-created cluster wins ties);
 otherwise it starts a new cluster.
 
-Distributed plan.  Label every article with the id of its cluster's first
-article.  Given labels, an article's decision depends only on the labels of
-*earlier* articles, so the sequential result is the unique fixpoint of
-
-    label(a) <- F(labels)(a)    evaluated for all articles at once,
-
-reached from "every article alone" in at most n rounds (each round fixes at
-least the next article in order; in practice a handful).  One round:
-
-  1. cluster states: of each label and source the first member counts (a
-     cluster takes one article of a source), so a label has no more members than
-     there are sources, whatever the labels of the round are.  Sorted by time they
-     give the label's states: vector sum, sources and last update after each
-     member, valid until the next member.
-  2. an article meets the states of its own and the previous time band of
-     width W, in blocks of bounded size: the state that is valid at its time and
-     at most W old is the cluster as the sequential pass would see it.  A block
-     keeps the best cluster of each article only, so no list of pairs is made and
-     neither work nor rows grow with the number of sources, or with the length of
-     the archive but in proportion.
-  3. the best state by (cosine desc, first member asc); join when cosine > threshold.
-
-Rounds are semi-naive: an article whose best cluster was touched meets all states again, any
-other only the states of touched clusters, which may beat the best it has; only time bands
-near a change take part.
-
-Each round's labels and states are written as tables in the shared checkpoint folder
-(``spark.checkpoint.dir``) and read back, so the lineage never grows and a
-lost executor recomputes at most one round.
+Distributed plan.  The order is cut into chunks of bounded size (``2 * block_rows`` articles); a chunk takes two steps:
+
+  1. search: its articles meet all live clusters (last update within the window) as they
+     stood before the chunk, dealt over up to ``SEARCH_TASKS`` tasks that each work on
+     ``block_rows`` states at a time, one matrix product each.  Only the best ``CANDIDATES``
+     clusters of an article leave a task.  All the quadratic work is here, and every article
+     meets every live cluster once.
+  2. resolve: one task applies the rule in order.  An article meets the clusters that the chunk
+     has changed so far, with their states of that moment, and of all others, whose states
+     stand, the best candidate.  If all candidates have changed and a cluster beyond them could still win, the
+     chunk ends before that article, and the next one begins there.  The first
+     article of a chunk is always decided.
+
+So the passes over the articles follow their number and not the depth of their decisions, and a task
+holds a chunk and its candidates, whatever the length of the archive.
+
+Each chunk's labels and changed states are written as a table in the shared checkpoint folder
+(``spark.checkpoint.dir``) and read back; every ``COMPACT`` chunks the live states are written as one
+table.  The lineage never grows and a lost executor recomputes at most one chunk.
 """
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,6 +38,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fx
 from ..functions.dates import parse_ntz
 from ..session import materialize
+from .upserts import next_ids
 from .similarity import epoch_us, has_content, to_double, unit_matrix_fn
 
 HOUR_US = 3_600_000_000
@@ -75,7 +68,7 @@ BEST_SCHEMA = "id long, label long, cos double, first_t long, first_id long"
 
 
 def cluster_states(labels: DataFrame, points: DataFrame, buckets: int = 8) -> DataFrame:
-    """Step 1: a row per counting member of each label, with the cluster's state after it.
+    """A row per counting member of each label of given ``labels``, with the cluster's state after it.
 
     ``srcs`` lists the label's sources in the order of joining; the first ``k`` are in.  Labels are
     dealt to ``buckets`` by a hash; a task works on a bucket's labels together."""
@@ -110,112 +103,188 @@ def band_of(window_hours: float) -> Column:
     return F.floor(F.col("t_us") / F.lit(max(int(window_hours * HOUR_US), HOUR_US))).cast("long").alias("band")
 
 
-def best_states(articles: DataFrame, states: DataFrame, blocks: DataFrame, threshold: float, window_hours: float) -> DataFrame:
-    """Steps 2 and 3: of each article (id, src, t_us, vec, band, redo) the best eligible cluster with cosine > ``threshold``
-    among all states (.., band, touched) if ``redo``, else among the touched ones.
-
-    ``blocks`` (band, nb): a band's rows are cut into nb blocks by a hash; every block of articles meets every block of
-    states of its band and of the band before in one task."""
-    window_us = int(window_hours * HOUR_US)
-    unit = unit_matrix_fn()
-    none = pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("id", "int64"), ("label", "int64"), ("cos", "float64"),
-                                                              ("first_t", "int64"), ("first_id", "int64"))})
-
-    def best(art: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
-        if not len(art) or not len(st):
-            return none
-        st = st.sort_values(["first_t", "first_id"], kind="stable")  # among equals the first place wins
-        cos = unit(art["vec"]) @ unit(st["vec"]).T
-        at, a = art["t_us"].to_numpy()[:, None], art["id"].to_numpy()[:, None]
-        t, i = st["t_us"].to_numpy()[None, :], st["id"].to_numpy()[None, :]
-        last = st["next_t"].isna().to_numpy()[None, :]
-        nt, ni = (st[c].fillna(0).to_numpy(dtype=np.int64)[None, :] for c in ("next_t", "next_id"))
-        seen = (t < at) | ((t == at) & (i < a))
-        current = last | (nt > at) | ((nt == at) & (ni >= a))
-        with np.errstate(invalid="ignore"):
-            ok = seen & current & (at - t <= window_us) & (cos > threshold)
-        cos = np.where(ok, cos, -np.inf)
-        sources = [frozenset(list(s)[:k]) for s, k in zip(st["srcs"], st["k"])]
-        src = art["src"].tolist()
-        j = cos.argmax(axis=1)
-        todo = np.flatnonzero(ok.any(axis=1))
-        won = np.zeros(len(art), dtype=bool)
-        while len(todo):  # the best one that has no article of this source yet
-            j[todo] = cos[todo].argmax(axis=1)
-            todo = todo[cos[todo, j[todo]] > -np.inf]
-            free = np.fromiter((src[x] not in sources[y] for x, y in zip(todo, j[todo])), dtype=bool, count=len(todo))
-            won[todo[free]] = True
-            todo = todo[~free]
-            cos[todo, j[todo]] = -np.inf
-        w = np.flatnonzero(won)
-        return pd.DataFrame({"id": art["id"].to_numpy()[w], "label": st["label"].to_numpy()[j[w]], "cos": cos[w, j[w]],
-                             "first_t": st["first_t"].to_numpy()[j[w]], "first_id": st["first_id"].to_numpy()[j[w]]})
+RESULT_SCHEMA = "kind string, id long, label long, score double, first_t long, last_t long, vec array<double>, srcs array<string>"
+BLOCK_SCHEMA = RESULT_SCHEMA + ", art binary, labels binary, cosines binary, full binary"
+#: Candidates that an article brings along from the states before its chunk, tasks that search them, chunks between two compactions.
+CANDIDATES, SEARCH_TASKS, COMPACT = 32, 24, 8
 
-    def run(art: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
-        redo = art["redo"].to_numpy(dtype=bool) if len(art) else np.empty(0, bool)
-        return pd.concat([best(art[redo], st), best(art[~redo], st[st["touched"].to_numpy(dtype=bool)] if len(st) else st)])
 
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).drop("nb")
+def _search(threshold: float, window_us: int, block_rows: int, wanted: int):
+    """Step 1, a task: the chunk's articles against a share of the live states, ``block_rows`` at a time.
 
-    partner = blocks.select(F.col("band").alias("with"), F.col("nb").alias("other"))
-    pair = dealt(articles).withColumn("with", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(partner, "with") \
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).select("band", "with", F.col("block").alias("i"), "j", "id", "src", "t_us", "vec", "redo")
-    back = dealt(states).withColumn("with", F.col("band")).withColumn("band", F.explode(F.array(F.col("with"), F.col("with") + 1))) \
-        .join(blocks.select("band", F.col("nb").alias("other")), "band").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("other") - 1))) \
-        .select("band", "with", "i", F.col("block").alias("j"), *[f.split(" ")[0] for f in STATE_SCHEMA.split(", ")], "touched")
-    key = ("band", "with", "i", "j")
-    found = pair.groupBy(*key).cogroup(back.groupBy(*key)).applyInPandas(run, BEST_SCHEMA)
-    return found.groupBy("id").agg(F.max_by(F.struct("label", "cos", "first_t", "first_id"), _rank("cos", "first_t", "first_id")).alias("n"))
+    Gives the states that are a candidate of any article, and one packed row: (article's place, label, cosine) of each article's
+    best ``wanted`` states by (cosine desc, first member asc), and whether the article had more."""
+    unit = unit_matrix_fn()
 
+    def run(art: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
+        columns = ["kind", "id", "label", "score", "first_t", "last_t", "vec", "srcs", "art", "labels", "cosines", "full"]
+        if not len(art) or not len(st):
+            return pd.DataFrame(columns=columns)
+        art = art.sort_values("n", kind="stable")
+        st = st.sort_values(["first_t", "label"], kind="stable").reset_index(drop=True)
+        u, at = unit(art["vec"]), art["t_us"].to_numpy()[:, None]
+        code: dict = {}
+        own = np.array([code.setdefault(s, len(code)) for s in art["src"]])
+        full = np.zeros(len(art), dtype=bool)
+        rows, cols, cosines = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for first in range(0, len(st), block_rows):
+            part = st.iloc[first:first + block_rows]
+            has = np.zeros((len(code), len(part)), dtype=bool)
+            for k, srcs in enumerate(part["srcs"]):
+                has[[code[s] for s in srcs if s in code], k] = True
+            cos = u @ unit(part["vec"]).T
+            with np.errstate(invalid="ignore"):
+                ok = (cos > threshold) & (at - part["last_t"].to_numpy()[None, :] <= window_us) & ~has[own]
+            r, c = np.nonzero(ok)
+            rows, cols, cosines = np.r_[rows, r], np.r_[cols, c + first], np.r_[cosines, cos[r, c]]
+            order = np.lexsort((cols, -cosines, rows))  # among equals the first place wins
+            rows, cols, cosines = rows[order], cols[order], cosines[order]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            full[rows[rank >= wanted]] = True
+            keep = rank < wanted
+            rows, cols, cosines = rows[keep], cols[keep], cosines[keep]
+        label = st["label"].to_numpy(dtype=np.int64)
+        out = st.iloc[np.unique(cols)][["label", "first_t", "last_t", "vec", "srcs"]].assign(kind="state")
+        packed = pd.DataFrame({"kind": ["packed"], "art": [rows.astype(np.int64).tobytes()], "labels": [label[cols].tobytes()],
+                               "cosines": [cosines.tobytes()], "full": [full.tobytes()]})
+        out = pd.concat([out, packed]).reindex(columns=columns).astype(object)
+        return out.where(out.notna(), None)
+
+    return run
+
+
+def _resolve(threshold: float, window_us: int, wanted: int):
+    """Step 2, one task: the sequential rule over a chunk, whose articles meet the clusters that the chunk has changed so far
+    and, of the others, the best candidate of step 1.  Ends early at an article whose candidates have all changed, if a
+    state that is not among them could win; the next chunk begins there."""
+    unit = unit_matrix_fn()
 
-def _rank(cos: str, first_t: str, first_id: str) -> Column:
-    """A higher cosine first, then the cluster that began earlier."""
-    return F.struct(F.col(cos).alias("c"), (-F.col(first_t)).alias("t"), (-F.col(first_id)).alias("i"))
+    def run(art: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        art = art.sort_values("n", kind="stable")
+        ids, t, src = art["id"].tolist(), art["t_us"].tolist(), art["src"].tolist()
+        v, u = np.stack([np.asarray(x, dtype=np.float64) for x in art["vec"]]), unit(art["vec"])
+        packed = found[found["kind"] == "packed"]
+        states = found[found["kind"] == "state"]
+        before = {r[0]: r[1:] for r in zip(states["label"].astype("int64").tolist(), states["first_t"].astype("int64").tolist(),
+                                           states["vec"], states["srcs"])}
+        read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in packed[c]]) if len(packed) else np.empty(0, kind)
+        rows, labels, cosines = read("art", np.int64), read("labels", np.int64), read("cosines", np.float64)
+        full = np.zeros(len(art), dtype=bool)
+        for x in packed["full"]:
+            full |= np.frombuffer(x, bool)
+        first_t = np.array([before[x][0] for x in labels.tolist()], dtype=np.int64)
+        order = np.lexsort((labels, first_t, -cosines, rows))
+        rows, labels, cosines = rows[order], labels[order], cosines[order]
+        starts = np.searchsorted(rows, np.arange(len(art) + 1))
+        full |= np.diff(starts) > wanted
+        labels = labels.tolist()
+        n, d = v.shape
+        sums, units, last = np.zeros((n, d)), np.zeros((n, d)), np.zeros(n, dtype=np.int64)
+        code: dict = {}
+        own = [code.setdefault(s, len(code)) for s in src]
+        has = np.zeros((len(code), n), dtype=bool)
+        place: dict[int, int] = {}  # label -> row of the changed clusters
+        key, members, out = [], [], []
+        # the same sums for every row, so equal vectors have equal cosines
+        cosine = lambda m, x: np.einsum("ij,j->i", m, x)
+        for i in range(n):
+            best, where, count = (-np.inf, 0, 0), None, len(key)
+            if count:
+                cos = cosine(units[:count], u[i])
+                with np.errstate(invalid="ignore"):
+                    cos = np.where((cos > threshold) & (t[i] - last[:count] <= window_us) & ~has[own[i], :count], cos, -np.inf)
+                top = cos.max()
+                if top > -np.inf:
+                    where = min(np.flatnonzero(cos == top).tolist(), key=key.__getitem__)
+                    best = (float(top), -key[where][0], -key[where][1])
+            mine = range(starts[i], min(starts[i + 1], starts[i] + wanted))
+            fresh = next((k for k in mine if labels[k] not in place), None)
+            if fresh is None:
+                if full[i] and best[0] <= cosines[mine[-1]] + 1e-9:
+                    break  # never the first article: nothing has changed yet
+            else:
+                label = labels[fresh]
+                began, vec, srcs = before[label]
+                total = np.asarray(vec, dtype=np.float64)
+                cos = float(cosine(unit([total]), u[i])[0])
+                if (cos, -began, -label) > best:
+                    best, where = (cos, -began, -label), count
+                    place[label] = count
+                    key.append((began, label)), members.append(list(srcs))
+                    sums[count] = total
+                    has[[code[s] for s in srcs if s in code], count] = True
+            if where is None:  # a cluster of its own
+                where, score = count, 1.0
+                place[ids[i]] = count
+                key.append((t[i], ids[i])), members.append([])
+            else:
+                score = best[0]
+            sums[where] += v[i]
+            units[where] = unit([sums[where]])[0]
+            last[where] = t[i]
+            has[own[i], where] = True
+            members[where].append(src[i])
+            out.append((ids[i], key[where][1], score))
+        decided = pd.DataFrame(out, columns=["id", "label", "score"]).assign(kind="article")
+        changed = pd.DataFrame({"kind": "state", "label": [k[1] for k in key], "first_t": [k[0] for k in key], "last_t": last[:len(key)],
+                                "vec": list(sums[:len(key)]), "srcs": members})
+        done = pd.concat([decided, changed]).reindex(columns=["kind", "id", "label", "score", "first_t", "last_t", "vec", "srcs"]).astype(object)
+        return done.where(done.notna(), None)
+
+    return run
 
 
 def cluster_labels(points: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD,
                    window_hours: float = fx.TIME_WINDOW_HOURS,
                    block_rows: int = 2048, stats: dict | None = None) -> DataFrame:
-    """C-4 over prepared points (id, src, t_us, vec): (id, label, score), label = first member id."""
-    pts = materialize(points.select("*", band_of(window_hours)), "c4-points")
-    spark = pts.sparkSession
-    # one row per window of the archive; a band has no more states than articles
-    sizes = pts.groupBy("band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nb")).collect()
-    blocks = spark.createDataFrame([(r["band"], r["nb"]) for r in sizes], "band long, nb int")
-    bands = {r["band"] for r in sizes}
-    buckets = max(8, sum(r["nb"] for r in sizes))  # of labels, each of about a block's rows
-    # cos, first_t, first_id: of the cluster that an article has joined (null: it is alone)
-    labels = pts.select("id", "src", "t_us", "band", F.col("id").alias("label"),
-                        *[F.lit(None).cast(t).alias(c) for c, t in (("cos", "double"), ("first_t", "long"), ("first_id", "long"))])
-    states = materialize(cluster_states(labels, pts, buckets).select("*", band_of(window_hours), F.lit(True).alias("touched")), "c4-states")
-    articles, rounds = pts.withColumn("redo", F.lit(True)), 0
-    held = F.when(F.col("cos").isNotNull(), F.struct("label", "cos", "first_t", "first_id"))
-    while True:  # ends: every round fixes at least the next article in order
-        rounds += 1
-        own, there = F.col("band").isin(sorted(bands)), F.col("band").isin(sorted(bands | {b - 1 for b in bands}))
-        fresh = best_states(articles.filter(own), states.filter(there), blocks, threshold, window_hours)
-        j = labels.join(fresh, "id", "left")
-        if rounds == 1:
-            taken = F.col("n")
-        else:
-            j = j.join(again.select("id", F.lit(True).alias("redo")), "id", "left")
-            beats = F.col("cos").isNull() | (_rank("n.cos", "n.first_t", "n.first_id") > _rank("cos", "first_t", "first_id"))
-            taken = F.when(F.col("redo") | (F.col("n").isNotNull() & beats), F.col("n")).otherwise(held)
-        labels = materialize(j.withColumn("b", taken).select(
-            "id", "src", "t_us", "band", F.coalesce("b.label", "id").alias("label"), F.col("label").alias("old"), "b.cos", "b.first_t", "b.first_id"), "c4-labels")
-        touched = materialize(labels.filter("label <> old").select(F.explode(F.array("old", "label")).alias("label")).distinct(), "c4-touched")
-        if touched.isEmpty():
-            if stats is not None:
-                stats["rounds"] = rounds
-            return labels.select("id", "label", F.coalesce("cos", F.lit(1.0)).alias("score"))
-        labels = labels.drop("old")
-        changed = cluster_states(labels.join(touched, "label", "left_semi"), pts, buckets).select("*", band_of(window_hours), F.lit(True).alias("touched"))
-        states = materialize(states.join(touched, "label", "left_anti").withColumn("touched", F.lit(False)).unionByName(changed), "c4-states")
-        again = materialize(labels.filter("cos is not null").join(touched, "label", "left_semi").select("id", "band"), "c4-again")
-        seen = states.filter("touched").select("band").unionByName(again.select("band")).distinct().collect()  # one row per window at most
-        bands = {x for r in seen for x in (r["band"], r["band"] + 1)}
-        articles = pts.join(again.select("id", F.lit(True).alias("redo")), "id", "left").withColumn("redo", F.coalesce("redo", F.lit(False)))
+    """C-4 over prepared points (id, src, t_us, vec): (id, label, score), label = first member id.
+
+    Rows that repeat an id are one article; a null id stays alone and takes no part."""
+    spark, window_us, chunk = points.sparkSession, int(window_hours * HOUR_US), 2 * block_rows
+    pts = materialize(points, "c4-points")
+    one = pts.filter("id is not null").groupBy("id").agg(F.min(F.struct("t_us", "src", "vec")).alias("p")).select("id", "p.*")
+    arts = materialize(next_ids(one, spark.range(0).withColumnRenamed("id", "n"), ["t_us", "id"], col="n"), "c4-order")
+    total = arts.count()
+    no_states = [F.lit(None).cast(kind).alias(c) for c, kind in (f.split(" ") for f in RESULT_SCHEMA.split(", "))]
+    results, base, recent = None, spark.range(0).select(*no_states), []
+    done = chunks = 0
+    while done < total:
+        chunks += 1
+        part = arts.filter(F.col("n").between(done + 1, done + chunk))
+        begin = part.agg(F.min("t_us")).scalar()
+        live = _newest(base, recent).filter(F.col("last_t") >= begin - window_us)
+        tasks = min(SEARCH_TASKS, -(-done // block_rows)) or 1  # there are no more states than articles
+        dealt = live.withColumn("task", F.pmod(F.xxhash64("label"), F.lit(tasks)).cast("int"))
+        asked = part.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+        found = asked.groupBy("task").cogroup(dealt.groupBy("task")).applyInPandas(
+            _search(threshold, window_us, block_rows, CANDIDATES), BLOCK_SCHEMA)
+        one_chunk = F.lit(chunks).alias("chunk")
+        made = part.groupBy(one_chunk).cogroup(found.groupBy(one_chunk)).applyInPandas(
+            _resolve(threshold, window_us, CANDIDATES), RESULT_SCHEMA)
+        made = materialize(made, "c4-chunk")
+        recent.append(made)
+        done += made.filter("kind = 'article'").count()
+        if len(recent) == COMPACT or done == total:
+            kept = functools.reduce(DataFrame.unionByName, recent).filter("kind = 'article'")
+            results = kept if results is None else results.unionByName(kept)
+            if done < total:
+                base, recent = materialize(_newest(base, recent).filter(F.col("last_t") >= begin - window_us), "c4-states"), []
+    if stats is not None:
+        stats["chunks"] = chunks
+    own = pts.select("id")
+    if results is None:
+        return own.select("id", F.col("id").alias("label"), F.lit(1.0).alias("score"))
+    return own.join(results.select("id", "label", "score"), "id", "left").select(
+        "id", F.coalesce("label", "id").alias("label"), F.coalesce("score", F.lit(1.0)).alias("score"))
+
+
+def _newest(base: DataFrame, recent: list[DataFrame]) -> DataFrame:
+    """The states after the chunks ``recent``: of each label the latest one.  Only the chunks' own states are grouped."""
+    if not recent:
+        return base
+    later = functools.reduce(DataFrame.unionByName, [r.filter("kind = 'state'").withColumn("at", F.lit(k)) for k, r in enumerate(recent)])
+    later = later.groupBy("label").agg(F.max_by(F.struct(*[c for c in base.columns if c != "label"]), "at").alias("s")).select("label", "s.*")
+    return base.join(later.select("label"), "label", "left_anti").select(*base.columns).unionByName(later.select(*base.columns))
 
 
 def event_clusters(articles: DataFrame, threshold: float = fx.SIMILARITY_THRESHOLD,
