@@ -284,7 +284,8 @@ def cluster_summaries(page_clusters: DataFrame, links: DataFrame, articles: Data
     """J-1: one flat row per listed cluster that has articles.
 
     The page and its links are written once, so the planner knows that they are small; one
-    join of them with article, source and entities and one aggregation give all the columns.
+    join of them with article, source and entities and one aggregation give all the columns but
+    the first article's text, which is read for the clusters' first articles only.
     ``trending`` (id, is_trending) overrides the stored flag when given."""
     pg = materialize(page_clusters.withColumnRenamed("id", "cluster_id"), "summary-page")
     lk = materialize(links.select("cluster_id", "article_id").join(pg.select("cluster_id"), "cluster_id", "left_semi"), "summary-links")
@@ -294,12 +295,18 @@ def cluster_summaries(page_clusters: DataFrame, links: DataFrame, articles: Data
         *[F.min(F.array_min(kind) if kind in entities.columns else none).alias(name)
           for kind, name in (("cities", "city"), ("countries", "country"))])
     image = F.col("image_url") if "image_url" in articles.columns else none
-    art = articles.select(F.col("id").alias("article_id"), "source_id", "description", "published_at", image.alias("image_url"))
+    t = parse_ntz("published_at").alias("t")
+    art = articles.select(F.col("id").alias("article_id"), "source_id", "published_at")
     src = sources.select(F.col("id").alias("source_id"), bias_side(F.col("bias")).alias("side"))
-    key = F.struct(parse_ntz("published_at").alias("t"), F.col("article_id"))
-    g = lk.join(art, "article_id").join(src, "source_id", "left").join(ent, "article_id", "left").groupBy("cluster_id").agg(
-        F.min_by(F.struct("description", "image_url"), key).alias("first"), F.min(parse_iso("published_at")).alias("_m"),
-        F.min("city").alias("city"), F.min("country").alias("country"), *side_aggregates())
+    g = materialize(lk.join(art, "article_id").join(src, "source_id", "left").join(ent, "article_id", "left").groupBy("cluster_id").agg(
+        F.min(F.struct(t, F.col("article_id"))).alias("_f"), F.min(parse_iso("published_at")).alias("_m"),
+        F.min("city").alias("city"), F.min("country").alias("country"), *side_aggregates()), "summary-clusters")
+    wanted = g.select("cluster_id", F.col("_f.article_id").alias("_a"), F.col("_f.t").alias("_t"))
+    text = materialize(articles.select("id", "published_at", "description", image.alias("image_url")).join(
+        wanted.select(F.col("_a").alias("id")), "id", "left_semi"), "summary-texts").select(F.col("id").alias("_a"), t, "description", "image_url")
+    first = wanted.join(text, "_a").filter(F.col("_t").eqNullSafe(F.col("t"))).groupBy("cluster_id").agg(
+        F.min(F.struct("description", "image_url")).alias("first"))
+    g = g.join(first, "cluster_id")
     c = pg.withColumnRenamed("title", "headline")
     if trending is not None:
         c = c.drop("is_trending").join(trending.select(F.col("id").alias("cluster_id"), "is_trending"), "cluster_id", "left")

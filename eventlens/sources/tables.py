@@ -46,17 +46,21 @@ def sources_view(documents: DataFrame) -> DataFrame:
 
 
 def articles_view(documents: DataFrame, events: DataFrame) -> DataFrame:
-    d = documents.select("doc_id", "text", "source")
-    e = events.select("event_id", "ts")
-    j = d.join(e, d.doc_id == e.event_id, "inner")
-    headline = F.substring_index("text", ".", 1)
     sid = _source_num()
+    # the text is cut before the join, so a query that reads no description shuffles none
+    d = documents.select(
+        "doc_id", "source",
+        F.substring_index("text", ".", 1).alias("headline"),
+        F.expr("substr(text, length(substring_index(text, '.', 1)) + 2)").alias("description"))
+    # the date text stands below the join, too: above it, it keeps semi joins by id from reaching the documents
+    e = events.select("event_id", "ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+    j = d.join(e, d.doc_id == e.event_id, "inner")
     return j.select(
         F.col("doc_id").alias("id"),
         sid.alias("source_id"),
-        headline.alias("headline"),
-        F.expr("substr(text, length(substring_index(text, '.', 1)) + 2)").alias("description"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("published_at"),
+        "headline",
+        "description",
+        "published_at",
         F.col("ts").alias("created_at"),
         F.when(sid < 13, "international").otherwise("local").alias("category"),
     )
