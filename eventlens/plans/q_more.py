@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities as E
 from ..operators import serving
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources import feeds
 from ..sources.tables import DriverTables
 from ..streaming import jobs
@@ -100,9 +100,9 @@ def stream_ingest(spark, sf_dir):
         F.lit("</link></item></channel></rss>"))
     a = t.articles.select(F.concat(F.lit("src"), F.col("source_id").cast("string")).alias("feed"),
                           item.alias("value"))
-    a.repartition("feed").write.partitionBy("feed").text(f"{root}/land")
-    reg = feeds.registry_from(a.select(F.concat(F.lit("feed="), "feed").alias("feed_key"),
-                                       F.col("feed").alias("source")).distinct())
+    a.write.partitionBy("feed").text(f"{root}/land")  # a task writes a file for each of its feeds
+    reg = materialize(feeds.registry_from(a.select(F.concat(F.lit("feed="), "feed").alias("feed_key"),
+                                                   F.col("feed").alias("source")).distinct()), "stream-registry")
     q = feeds.feed_item_stream(spark, f"{root}/land", glob="*.txt").writeStream \
         .foreachBatch(jobs.upsert_batch(f"{root}/tables", reg, TEST_LEXICON)) \
         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start()

@@ -25,6 +25,7 @@ from ..functions.text import content_hash
 from ..operators import bias, clustering, trending, upserts
 from ..operators.dedup import first_rows
 from ..operators.relevance import Lexicon, relevance_gate
+from ..session import materialize
 from ..sources.feeds import feed_key
 
 
@@ -49,18 +50,19 @@ def ingest(parsed: DataFrame, registry: DataFrame, sources: DataFrame, articles:
     x = keyed.join(registry, "feed_key")
     reg_src = registry.select(F.col("source").alias("url"), F.col("source").alias("name"),
                               F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("bias"))
-    src = upserts.get_or_create_sources(sources, reg_src)
+    src = materialize(upserts.get_or_create_sources(sources, reg_src), "ingest-sources")  # the planner knows its size
     x = x.join(src.select(F.col("id").alias("source_id"), F.col("url").alias("source")), "source")
     read = x.groupBy("source_id").agg(F.count(F.lit(1)).alias("processed"))
     x = relevance_gate(x, lexicon, filter_local, parity)
     relevant = x.groupBy("source_id").agg(F.count(F.lit(1)).alias("relevant"))
     x = x.withColumn("published_at", F.nullif(F.col("published_at"), F.lit("N/A")))
     x = x.withColumn("content_hash", content_hash(F.col("headline"), F.col("description")))
-    # first occurrence per hash inside the batch: feed order (path, item number)
-    x = first_rows(x, F.struct("path", "item_no"))
     existing = articles.select("content_hash").where(F.col("content_hash").isNotNull())
-    new = x.join(existing, "content_hash", "left_anti")
-    new = upserts.next_ids(new, articles, ["content_hash"])  # ids in hash order (deterministic)
+    # ids in hash order (deterministic), given to the bare hashes: only these are sorted and written
+    ids = upserts.next_ids(x.select("content_hash").distinct().join(existing, "content_hash", "left_anti"), articles, ["content_hash"])
+    ids = ids.select(F.col("content_hash").alias("_hash"), "id")
+    # first occurrence per hash inside the batch: feed order (path, item number)
+    new = first_rows(x, F.struct("path", "item_no")).join(ids, F.col("content_hash").eqNullSafe(F.col("_hash")))
     new = new.select("id", "source_id", "headline", "description", "published_at",
                      as_of.alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"),
                      "article_url", "image_url", "category", "content_hash")

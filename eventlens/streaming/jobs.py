@@ -46,10 +46,9 @@ def upsert_batch(table_path: str, registry: DataFrame, lexicon: Lexicon = Lexico
         stored = index.stored(parsed.select(content_hash(F.col("headline"), F.col("description")).alias("content_hash")))
         as_of = F.current_timestamp().cast("timestamp_ntz")
         res = ingest(parsed, registry, sources, stored, as_of, lexicon)
-        new = materialize(res.new_articles, "ingest-new")  # ids fixed before the two writes
         new_src = res.sources.join(sources.select("url"), "url", "left_anti")
         new_src.write.mode("append").parquet(f"{table_path}/sources")
-        new.write.mode("append").parquet(f"{table_path}/articles")
+        res.new_articles.write.mode("append").parquet(f"{table_path}/articles")  # the ids are fixed in a table of their own
         index.refresh()
 
     return run

@@ -17,6 +17,8 @@ from ..schema import ARTICLES
 
 PREFIX = 3
 KEYS, MARKS = "content_hash string, prefix string", "upto timestamp, last_id long"
+#: A Bloom filter as large as a file's keys need (a megabyte a file otherwise, whatever it holds).
+BLOOM = {"parquet.bloom.filter.enabled#content_hash": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 _NEVER = dt.datetime(1970, 1, 1)
 
 
@@ -61,11 +63,11 @@ class KeyIndex:
         if r["upto"] is None:
             return
         keys = new.filter("content_hash is not null").select("content_hash", prefix_of().alias("prefix")).distinct()
-        keys.repartition("prefix").write.mode("append").option("parquet.bloom.filter.enabled#content_hash", "true") \
+        keys.repartition("prefix").write.mode("append").options(**BLOOM) \
             .partitionBy("prefix").parquet(f"{self.root}/keys")
         self.spark.createDataFrame([(r["upto"], max(last, r["last_id"] or 0))], MARKS).write.mode("append").parquet(f"{self.root}/marks")
 
     def compact(self, into: str) -> None:
         """Writes the keys once each, a file per prefix, under another folder, to be swapped in by the user."""
         keys = self.spark.read.schema(KEYS).parquet(f"{self.root}/keys")
-        keys.distinct().repartition("prefix").write.option("parquet.bloom.filter.enabled#content_hash", "true").partitionBy("prefix").parquet(into)
+        keys.distinct().repartition("prefix").write.options(**BLOOM).partitionBy("prefix").parquet(into)
