@@ -17,8 +17,8 @@ from ..schema import ARTICLES
 
 PREFIX = 3
 KEYS, MARKS = "content_hash string, prefix string", "upto timestamp, last_id long"
-#: A Bloom filter as large as a file's keys need (a megabyte a file otherwise, whatever it holds).
-BLOOM = {"parquet.bloom.filter.enabled#content_hash": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+#: A Bloom filter of 16 to 256 kB, as the keys of a file need (a megabyte in every file otherwise, whatever it holds).
+BLOOM = {"parquet.bloom.filter.enabled#content_hash": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "262144"}
 _NEVER = dt.datetime(1970, 1, 1)
 
 
