@@ -484,3 +484,13 @@ def test_pipeline_rows_equal_the_stages_by_hand(spark):
     for i, r in got.items():
         if not any(True for *_, passed in pii.matches(table[i]) if passed):
             assert r.n_tokens == len(ref.encode(table[i], add_special_tokens=False).ids)
+
+
+def test_op5_document_frequencies_hash_a_document_s_words_once(spark, monkeypatch):
+    """A word counts once a document, however often it stands there, and only its distinct words are hashed."""
+    from eventlens.llm import decontam
+    docs = spark.createDataFrame([("a a a b",), ("b b",), (None,), ("",)], "text string")
+    idf = decontam.inverse_document_frequencies(docs)
+    a, b = decontam.dims([b"a", b"b"])
+    assert np.allclose(idf[[a, b]], np.log1p(4 / np.array([2.0, 3.0])))
+    assert len(decontam.dims(set(decontam.tokens("a a a b")))) == 2
