@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, words
 
 #: Fixed value: the pre-tokeniser pattern of the vocabulary's format.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -193,7 +193,8 @@ def _batches(spark: SparkSession, path: str, work):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in it:
-            yield work(codec, batch)
+            for part in words.slices(batch, 1):
+                yield work(codec, part)
 
     return run
 

@@ -73,7 +73,7 @@ def band_keys(filled: np.ndarray) -> np.ndarray:
 
 
 def _profiles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
+    for batch in (part for whole in it for part in words.slices(whole, 1)):
         ids, sizes, sets, bands = batch.column(0), [], [], []
         for text in batch.column(1).to_pylist():
             s = words.shingle_set(text)
@@ -93,7 +93,7 @@ def set_key(packed: bytes) -> bytes:
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
+    for batch in (part for whole in it for part in words.slices(whole, 0)):
         sets = [words.shingle_set(t).tobytes() for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.binary()), pa.array(sets, pa.binary())], names=["set_key", "shingles"])
 

@@ -1,7 +1,11 @@
-"""Words, word hashes and shingle sets of texts, as NumPy arrays inside a task."""
+"""Words, word hashes and shingle sets of texts, as NumPy arrays inside a task; slices of its batches."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from xxhash import xxh3_64_intdigest
 
 U64 = np.uint64
@@ -9,6 +13,22 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 SHINGLE = 5
+#: Bytes of the texts that a task turns into Python objects at once, unless a single one is longer.
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive parts, each ending with the row that brings its values of a string or binary ``column``
+    to ``size`` bytes.  Spark's batches go by rows, so with long texts a whole batch and its results are large."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    first = total = 0
+    for end, n in enumerate(lengths.tolist(), 1):
+        total += n
+        if total >= size:
+            yield batch.slice(first, end - first)
+            first, total = end, 0
+    if first < batch.num_rows or not batch.num_rows:
+        yield batch.slice(first)
 
 
 def split(text: str | None) -> list[bytes]:
