@@ -33,14 +33,15 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import common
+from .words import slices
 
 #: Hashed vocabulary, passages of one block on average, blocks of one pass over the documents, extra dimensions of the projection.
 DIMENSIONS, ITEM_BLOCK, PASS_BLOCKS, EXTRA, POWER_ROUNDS = 1 << 18, 128, 8, 16, 2
 #: Words of the longest passage.
 LONGEST = 32
 COSINE, SURE, LIKELY, ANSWER = 0.3, 0.8, 0.6, 0.6
-#: Characters of the documents that a task works on at once.
-SLICE_CHARS = 60_000
+#: Bytes of the documents that a task works on at once; tasks that cut the items, and so files that every product reads.
+SLICE_BYTES, CUT_TASKS = 60_000, 8
 #: Letters, digits and bytes over 127 make words; the rest separates them.
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -69,7 +70,7 @@ def inverse_document_frequencies(docs: DataFrame, text_col: str = "text") -> np.
     """log(1 + documents / (1 + documents with the word)) per hashed word, over all documents."""
     def counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS, dtype=np.int64), 0
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole, 0)):
             for text in batch.column(0).to_pylist():
                 total[dims(set(tokens(text)))] += 1  # an entry that is named twice is still raised once
                 n += 1
@@ -149,15 +150,8 @@ def latent_space(items: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, rank
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
-    ids, texts, size = [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        ids.append(i), texts.append(t)
-        size += len(t or "")
-        if size >= SLICE_CHARS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+    for part in slices(batch, 1, SLICE_BYTES):
+        yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
 class _Block:
@@ -302,7 +296,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     kind = src.schema["id"].dataType.simpleString()
     all_items = common.columns(benchmark, item=item_col, text=item_text_col).filter("item is not null and text is not null").distinct()
     idf = inverse_document_frequencies(docs, text_col)
-    cut = common.materialize(all_items.select(F.col("item").cast("long").alias("item"), "text").mapInArrow(
+    cut = common.materialize(all_items.coalesce(CUT_TASKS).select(F.col("item").cast("long").alias("item"), "text").mapInArrow(
         _passages, "item long, whole string, first int, stride int, text string"), "leak-passages")
     sizes = sorted((r["stride"], r["count"]) for r in cut.groupBy("stride").count().collect())  # a few strides
     todo = [(stride, n, b) for stride, count in sizes for n in [1 + count // ITEM_BLOCK] for b in range(n)]

@@ -44,3 +44,27 @@ def test_bpe_gives_out_slices(spark):
     out = list(bpe._batches(spark, public_tokenizers.path("byte_bpe_50k.json"), work)(iter([BATCH])))
     assert len(seen) > 4 and bounded(seen)  # was one batch, whatever its size
     assert pa.Table.from_batches(out).equals(pa.Table.from_batches([BATCH]))
+
+
+def test_a_small_benchmark_is_cut_into_few_files(spark, monkeypatch):
+    files, real = {}, decontam.common.materialize
+
+    def noted(df, name):
+        out = real(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(decontam.common, "materialize", noted)
+    item = lambda k: " ".join(f"w{k}x{j}" for j in range(20))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        docs = spark.createDataFrame([(k, f"before it {item(k)} after it") for k in range(6)] + [(6, None), (7, "nothing here")], "doc_id long, text string")
+        items = spark.createDataFrame([(k, item(k)) for k in range(48)] * 2, "item_id long, text string")
+        got = sorted((r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(k, k) for k in range(6)]
+    assert files["leak-passages"] <= decontam.CUT_TASKS  # was one for each shuffle partition with an item
